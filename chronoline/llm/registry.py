@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoline.llm import line_dedup, packing, quality_rules, simhash, url_filter
+from chronoline.llm import bpe, line_dedup, packing, quality_rules, simhash, url_filter
 from chronoline.llm.common import table
 
 
+def vocabulary_path() -> str:
+    """The public byte-level vocabulary that the driver's machine offers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -31,6 +38,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), keep_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op7_packing": op7_packing,
     "op8_url_filters": op8_url_filters,
+    "op9_bpe": op9_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
