@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoline.llm import bpe, line_dedup, packing, quality_classifier, quality_rules, simhash, url_filter
+from chronoline.llm import bpe, html_extract, line_dedup, packing, quality_classifier, quality_rules, simhash, url_filter
 from chronoline.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
     "op8_url_filters": op8_url_filters,
     "op9_bpe": op9_bpe,
