@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoline.llm import bpe, html_extract, line_dedup, packing, quality_classifier, quality_rules, simhash, url_filter
+from chronoline.llm import bpe, html_extract, line_dedup, media_audio, packing, quality_classifier, quality_rules, simhash, url_filter
 from chronoline.llm.common import table
 
 
@@ -29,6 +29,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_audio.media_features(table(spark, sf_dir, "documents"))
+    loud = F.round(F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end"] - s["start"]), 3)
+    tenths = F.transform("tensors", lambda t: F.transform(t, lambda v: F.bround(v * 10).cast("int")))
+    feature = F.concat_ws(":", F.col("n_frames"), F.size("tensors"), F.size("segments"), loud, F.hex(F.xxhash64(tenths)))
+    digests = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return found.select(*digests, feature.alias("feature"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +67,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_media_audio": op4_media_audio,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
