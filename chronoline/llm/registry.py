@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoline.llm import bpe, html_extract, line_dedup, media_audio, packing, quality_classifier, quality_rules, simhash, url_filter
+from chronoline.llm import bpe, html_extract, license_scan, line_dedup, media_audio, packing, quality_classifier, quality_rules, simhash, url_filter
 from chronoline.llm.common import table
 
 
@@ -18,6 +18,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path: source, language and a block of a thousand ids stand for the directories."""
+    part = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+    block = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat_ws("/", part("source"), part("lang"), block, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan_licences(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -65,6 +73,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_media_audio": op4_media_audio,
@@ -77,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle(),
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_quality_rules": quality_rules.oracle(),
     "op8_url_filters": url_filter.oracle(),
