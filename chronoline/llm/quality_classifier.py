@@ -177,3 +177,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
             )
 
     return table.select("doc_id", "held_out", "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score the threshold or more, with all their columns; texts are scored in place and never shuffle."""
+    model = fit(training_table(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t.as_py()) for t in batch.column(at)]).reshape(len(batch), len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

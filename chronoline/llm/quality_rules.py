@@ -53,12 +53,12 @@ THRESHOLDS = (
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each step is one projection, so that no array is computed twice."""
+    """Each step is one projection, so that no array is computed twice; _row carries the whole row, and is pruned where unused."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    df = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     df = df.select(
-        "doc_id", words_of(F.col("text")).alias("words"), lines.alias("lines"),
+        "_row", "doc_id", words_of(F.col("text")).alias("words"), lines.alias("lines"),
         F.length(F.regexp_replace("text", SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("text", r"[^!]+", "")).cast("long").alias("n_shouts"),
@@ -70,7 +70,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         lambda w, i: F.struct(F.xxhash64(w, *(following(i, k) for k in range(1, WINDOW))).alias("h"), i.alias("i")),
     )
     df = df.select(
-        "doc_id", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_shouts",
+        "_row", "doc_id", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_shouts",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
@@ -119,6 +119,15 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, id_col:
     return df.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
+def keep_documents(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns.
+
+    The filter reads a row id, which holds it above the projections: pushed under them it would repeat each one.
+    """
+    judged = judge_quality(docs, rules).select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
+    return judged.where(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
+
+
 def oracle(rules: tuple[Rule, ...] = THRESHOLDS) -> str:
     stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
     ratio = lambda a, b: f"(case when {b} > 0 then {a}::double / {b} else 0.0 end)"

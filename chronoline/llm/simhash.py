@@ -247,3 +247,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     grouped = group_fingerprints(checkpoint(fingerprints(docs, k)), max_bits)
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id and component_id of every document with an id, where texts within max_bits or at the similarity link.
+
+    Equal word sequences fold first, so that copies are one node; the vantage-point search links fingerprints
+    within max_bits and ``similarity.similar_links`` the rest.
+    """
+    from chronoline.llm.similarity import similar_links, sketches
+
+    table = checkpoint(sketches(docs, k))
+    nodes = checkpoint(table.groupBy("digest").agg(F.min("id").alias("id"))).join(table, ["digest", "id"]).dropDuplicates(["id"])
+    nodes = checkpoint(nodes.select("id", "fp", "n", "routes", "sketch", "digest"))
+    by_print = checkpoint(nodes.groupBy("fp").agg(F.min("id").alias("id")))
+    found = links(by_print, max_bits).union(similar_links(nodes, similarity))
+    roots = components(found)
+    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("digest", F.coalesce("root", "id").alias("component_id"))
+    return table.select(F.col("id").alias("doc_id"), "digest").join(named, "digest").select("doc_id", "component_id").distinct()
