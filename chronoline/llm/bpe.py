@@ -41,7 +41,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoline.llm.common import checkpoint
+
 LEXICON_SIZE = 50_000
+MIN_COUNT = 4
 COUNTER_WORDS = 200_000
 MEMO_PIECES = 300_000
 BLOCK_CHARS = 4_000_000
@@ -396,7 +399,7 @@ def all_text(chunks: list) -> bool:
 
 
 def frequent_words(docs: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
-    """The most frequent white-space words of all texts, each with the space before it; ties in word order."""
+    """The most frequent white-space words of all texts, at most ``size``: all words above one level of a count histogram."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -414,7 +417,18 @@ def frequent_words(docs: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
             yield flush()
 
     counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = checkpoint(counted.where(F.col("n") >= MIN_COUNT))
+    level = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("long")
+    steps = counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # at most 64 levels a doubling
+    total, lowest = 0, None
+    for step in steps:
+        total += step["count"]
+        if total > size:
+            break
+        lowest = step["level"]
+    if lowest is None:
+        return []
+    return sorted(r["word"] for r in counted.where(level >= lowest).select("word").collect())  # at most size rows
 
 
 def compile_lexicon(words: list[str], vocab: Vocabulary) -> dict[str, np.ndarray]:
@@ -423,18 +437,29 @@ def compile_lexicon(words: list[str], vocab: Vocabulary) -> dict[str, np.ndarray
     return build_lexicon({p: merge_piece(p, vocab) for p in pieces})
 
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_lexicon(sc, lexicon: dict[str, np.ndarray]) -> str:
+    """Gives the lexicon's file to Spark's file server, once an application and content; returns its name."""
+    path = os.path.join(tempfile.mkdtemp(prefix="chronoline-lexicon-"), "lexicon")
+    pack_lexicon(lexicon, path)
+    with open(path, "rb") as f:
+        name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:16]}"
+    if (sc.applicationId, name) not in _SHIPPED:
+        os.rename(path, named := os.path.join(os.path.dirname(path), name))
+        sc.addFile(named)
+        _SHIPPED.add((sc.applicationId, name))
+    return name
+
+
 def encode_documents(docs: DataFrame, vocab_path: str, lexicon_size: int = LEXICON_SIZE, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids as array<int>."""
     docs = docs.select("doc_id", "text")
     vocab = load_vocabulary(vocab_path)
     lexicon = compile_lexicon(frequent_words(docs, lexicon_size), vocab)
-    local = tempfile.mkdtemp(prefix="chronoline-lexicon-")  # Spark's file server ships it from the driver
     sc = docs.sparkSession.sparkContext
-    pack_lexicon(lexicon, path := os.path.join(local, "lexicon"))
-    with open(path, "rb") as f:
-        name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:16]}"
-    os.rename(path, named := os.path.join(local, name))
-    sc.addFile(named)
+    name = ship_lexicon(sc, lexicon)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = sc.broadcast(vocab)  # bounded by the vocabulary file
 
