@@ -9,8 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOTE_NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
-FILLERS = ("oh", "ooh", "ah", "yeah", "hey", "na", "la", "uh", "mm")
-MINOR_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "in", "nor", "of", "on", "or", "the", "to", "up", "with")
+#: Words that lyrics add or leave out at will.
+FILLERS = ("ooh", "ooo", "oh", "ohh", "mmm", "mm", "yeah", "and", "but")
+#: Words that stay lower inside a title.
+MINOR_WORDS = (
+    "a", "an", "the", "and", "but", "or", "nor", "for", "so", "yet", "as", "at", "by", "in", "into", "of", "off", "on", "onto", "out", "over",
+    "per", "to", "up", "via", "with", "from",
+)
 MIN_TEMPO, MAX_TEMPO = 60.0, 200.0
 GOLDEN_SECONDS = 0.6
 
@@ -49,18 +54,22 @@ def artist_matches(ours: Column, theirs: Column) -> Column:
 
 
 def case_shape(word: Column) -> Column:
-    """none, simple (first letter or nothing upper), upper (two letters or more, all upper) or mixed."""
-    letters = F.regexp_replace(word, "[^A-Za-z]", "")
+    """none, simple (no letter upper but the first), upper (two letters or more, all upper) or mixed."""
+    letters = F.regexp_replace(word, r"[^\p{L}]", "")
+    rest = F.substr(letters, F.lit(2))
     return (
         F.when(letters == "", "none")
         .when((F.length(letters) > 1) & (letters == F.upper(letters)), "upper")
-        .when(F.substr(letters, F.lit(2)) == F.lower(F.substr(letters, F.lit(2))), "simple")
+        .when(rest == F.lower(rest), "simple")
         .otherwise("mixed")
     )
 
 
 def _capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))
+    """The first letter in upper case, whatever stands before it."""
+    head = F.regexp_extract(word, r"^([^\p{L}]*)", 1)
+    at = F.length(head) + 1
+    return F.concat(head, F.upper(F.substr(word, at, F.lit(1))), F.substr(word, at + 1))
 
 
 def headline_case(text: Column, minor: tuple[str, ...] = MINOR_WORDS) -> Column:
@@ -69,9 +78,9 @@ def headline_case(text: Column, minor: tuple[str, ...] = MINOR_WORDS) -> Column:
     last = F.size(words) - 1
 
     def one(word: Column, i: Column) -> Column:
-        shape = case_shape(word)
-        inside = (i > 0) & (i < last)
-        return F.when(shape.isin("none", "upper", "mixed"), word).when(inside & F.lower(word).isin(*minor), F.lower(word)).otherwise(_capital(F.lower(word)))
+        low = F.lower(word)
+        is_minor = (i > 0) & (i < last) & F.regexp_replace(low, r"[^\p{L}]", "").isin(*minor)
+        return F.when(case_shape(word) != "simple", word).when(is_minor, low).otherwise(_capital(low))
 
     return F.array_join(F.transform(words, one), " ")
 
@@ -193,13 +202,14 @@ def image_kind(content: Column) -> Column:
     return F.when(F.startswith(head, F.lit("FFD8FF")), ".jpg").when(F.startswith(head, F.lit("89504E470D0A1A0A")), ".png")
 
 
-def effective_duration(claimed: Column, last_line: Column) -> Column:
-    """Time of the last line where it is not under the claimed duration."""
-    return F.when(last_line >= claimed, last_line).otherwise(F.coalesce(claimed, last_line))
+def effective_duration(claimed: Column, synced: Column, last_line: Column) -> Column:
+    """Time of the last synced line where it is not under the claimed duration, else the claim."""
+    has = claimed.isNotNull() & (F.coalesce(synced, F.lit("")) != "") & last_line.isNotNull()
+    return F.when(has & (last_line >= claimed), last_line).otherwise(claimed)
 
 
 def candidate_score(instrumental: Column, plain: Column, synced: Column, duration: Column, wanted: Column, window: float = 60.0) -> Column:
-    """-1 without usable lyrics, else 1 less the share of the window that durations differ by; 0 if one is unknown."""
+    """-1 unless there are plain and synced lyrics, else 1 less the share of the window that durations differ by; 0 if one is unknown."""
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
-    near = F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(duration - wanted) / window), F.lit(0.0))
-    return F.when(F.coalesce(instrumental, F.lit(False)) | (empty(plain) & empty(synced)), F.lit(-1.0)).otherwise(near)
+    near = F.when(duration != 0, F.greatest(F.lit(0.0), 1 - F.abs(duration - wanted) / window))
+    return F.when(F.coalesce(instrumental, F.lit(False)) | empty(plain) | empty(synced), F.lit(-1.0)).otherwise(F.coalesce(near, F.lit(0.0)))

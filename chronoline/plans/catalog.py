@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoline.plans import sequence_queries
+from chronoline.plans import estimator_queries, sequence_queries
 
-MODULES = (sequence_queries,)
+MODULES = (sequence_queries, estimator_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

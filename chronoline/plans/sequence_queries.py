@@ -246,10 +246,10 @@ with p as (select *, {_TITLE} as t from part),
 n as (select *, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\\s+'), lambda w: regexp_replace(lower(w), '[^a-z0-9'']', '', 'g')), lambda w: w <> ''), ' ') as line from p)
 select p_partkey, regexp_replace(lower(t), '[^a-z0-9'']', '', 'g') as norm, trim(lower(trim(t)), '.,!?"''') as edges, line,
   array_to_string(list_transform(string_split(t, ' '), lambda w, i: case
-     when regexp_replace(w, '[^A-Za-z]', '', 'g') = '' then w
-     when length(regexp_replace(w, '[^A-Za-z]', '', 'g')) > 1 and regexp_replace(w, '[^A-Za-z]', '', 'g') = upper(regexp_replace(w, '[^A-Za-z]', '', 'g')) then w
-     when substr(regexp_replace(w, '[^A-Za-z]', '', 'g'), 2) <> lower(substr(regexp_replace(w, '[^A-Za-z]', '', 'g'), 2)) then w
-     when i > 1 and i < len(string_split(t, ' ')) and lower(w) in ({', '.join(f"'{w}'" for w in S.MINOR_WORDS)}) then lower(w)
+     when regexp_replace(w, '[^\\p{{L}}]', '', 'g') = '' then w
+     when length(regexp_replace(w, '[^\\p{{L}}]', '', 'g')) > 1 and regexp_replace(w, '[^\\p{{L}}]', '', 'g') = upper(regexp_replace(w, '[^\\p{{L}}]', '', 'g')) then w
+     when substr(regexp_replace(w, '[^\\p{{L}}]', '', 'g'), 2) <> lower(substr(regexp_replace(w, '[^\\p{{L}}]', '', 'g'), 2)) then w
+     when i > 1 and i < len(string_split(t, ' ')) and regexp_replace(lower(w), '[^\\p{{L}}]', '', 'g') in ({', '.join(f"'{w}'" for w in S.MINOR_WORDS)}) then lower(w)
      else upper(substr(w, 1, 1)) || lower(substr(w, 2)) end), ' ') as headline,
   regexp_replace(regexp_replace(t, '[<>:"/\\\\|?*]', '', 'g'), '[ .]+$', '') as file_name,
   trim(split_part(t, ' - ', 1)) as artist, trim(substr(t, instr(t, ' - ') + 3)) as title,
