@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoline.llm.common import checkpoint
+
 MIN_CHARS = 40
 MIN_DOCS = 5
 BITS_PER_LINE = 8
@@ -168,9 +170,10 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """(doc_id, keys): the digests whose lines each document loses."""
     n_lines = docs.select(F.sum(F.length("text") / 80 + 1).cast("long").alias("n")).first()["n"] or 0
     bits = filter_bits(n_lines, max_filter_bits)
-    found = suspects(docs, build_twice_filter(docs, bits, min_chars), bits, min_chars)
+    found = checkpoint(suspects(docs, build_twice_filter(docs, bits, min_chars), bits, min_chars))
     confirmed = found.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-    confirmed = confirmed.where(F.col("n_docs") >= min_docs).select("key", "keeper")
+    # written out, so that both sides of the join are plain exchanges and a hot key can be split
+    confirmed = checkpoint(confirmed.where(F.col("n_docs") >= min_docs).select("key", "keeper"))
     losing = found.join(confirmed, "key").where(F.col("doc_id") < F.col("keeper"))
     return losing.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
