@@ -98,8 +98,10 @@ def key_fit(mass: DataFrame, key: list[str]) -> DataFrame:
     rows = [(m, mode, tonic, (pc + tonic) % 12, p[pc]) for m, (mode, p) in enumerate((("major", MAJOR_PROFILE), ("minor", MINOR_PROFILE))) for tonic in range(12) for pc in range(12)]
     profiles = spark.createDataFrame(rows, "mode_rank int, mode string, tonic int, pc int, weight double")  # 288 rows
     joined = mass.join(F.broadcast(profiles), "pc")
-    fits = joined.groupBy(*key, "mode_rank", "mode", "tonic").agg(F.corr("weight", "mass").alias("corr"))
-    fits = fits.withColumn("corr", F.bround(F.when(F.isnan("corr") | F.col("corr").isNull(), 0.0).otherwise(F.col("corr")), 9))
+    fits = joined.groupBy(*key, "mode_rank", "mode", "tonic").agg(
+        F.try_divide(F.covar_pop("weight", "mass"), F.stddev_pop("weight") * F.stddev_pop("mass")).alias("corr")
+    )
+    fits = fits.withColumn("corr", F.bround(F.coalesce("corr", F.lit(0.0)), 9))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("corr"), "mode_rank", "tonic"))
     return fits.withColumn("_r", rank).where("_r = 1").select(*key, "tonic", "mode", "corr")
 

@@ -174,13 +174,13 @@ def parse_tagged_lyrics(lyrics: DataFrame, key: str, text: str) -> DataFrame:
     stamp = r"\[(\d+):(\d{2})(?:[.:](\d{1,3}))?\]"
     found = lines.withColumn("stamps", F.regexp_extract_all("raw", F.lit(f"({stamp})"), F.lit(1))).where(F.size("stamps") > 0)
     lyric = F.btrim(F.regexp_extract("raw", r"^.*\[\d+:\d{2}(?:[.:]\d{1,3})?\](.*)$", 1), F.lit(" \t\r"))
-    rows = found.select(key, "at", lyric.alias("lyric"), F.posexplode("stamps").alias("k", "s"))
-    fraction = F.rpad(F.regexp_extract("s", stamp, 3), 3, "0").try_cast("long")
-    ms = F.regexp_extract("s", stamp, 1).try_cast("long") * 60000 + F.regexp_extract("s", stamp, 2).try_cast("long") * 1000 + F.coalesce(fraction, F.lit(0))
+    rows = found.select(key, "at", lyric.alias("lyric"), F.posexplode("stamps").alias("_nth", "_stamp"))
+    fraction = F.rpad(F.regexp_extract("_stamp", stamp, 3), 3, "0").try_cast("long")
+    ms = F.regexp_extract("_stamp", stamp, 1).try_cast("long") * 60000 + F.regexp_extract("_stamp", stamp, 2).try_cast("long") * 1000 + F.coalesce(fraction, F.lit(0))
     timed = rows.withColumn("ms", ms)
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     minutes = F.when(F.col("ms") >= 6_000_000, F.floor(F.col("ms") / 60000).cast("string")).otherwise(two(F.floor(F.col("ms") / 60000)))
     shown = F.concat(F.lit("["), minutes, F.lit(":"), two(F.floor(F.col("ms") % 60000 / 1000)), F.lit("."), two(F.floor(F.col("ms") % 1000 / 10)), F.lit("]"), "lyric")
-    packed = timed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ms", "at", "k", "lyric", shown.alias("shown")))).alias("rows"))
+    packed = timed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ms", "at", "_nth", "lyric", shown.alias("shown")))).alias("rows"))
     texts = packed.select(key, F.array_join(F.transform("rows", lambda r: r["shown"]), "\n").alias("synced"), F.array_join(F.transform("rows", lambda r: r["lyric"]), "\n").alias("plain"))
     return texts.join(heads, key, "left")
