@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoline.functions.syllables import syllables
+from chronoline.operators import alignment as A
 from chronoline.operators import calibration as K
 from chronoline.operators import ordered as O
 from chronoline.operators import phrasing as P
@@ -12,6 +13,7 @@ from chronoline.plans import pipelines
 from chronoline.plans.estimator_queries import _candidates, seconds
 from chronoline.plans.sequence_queries import EV, KEY, ORDER, PRE, UPTO, WIN, events
 from chronoline.session import table
+from chronoline.sources import charts as C
 
 
 
@@ -106,7 +108,26 @@ def refreshed_pitches(spark, sf_dir):
     return pipelines.refresh_pitches(notes, frames, 1.0, 24.0).select("song_id", "pos", "pitch", "new_pitch")
 
 
+def _turn_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), "text")
+    return C.parse_lyrics(c, "k", "text")
+
+
+def reconciled_lines(spark, sf_dir):
+    """Lines of each turn against the same lines without every fourth, four seconds apart."""
+    ours = _turn_lines(spark, sf_dir)
+    theirs = ours.where("line_no % 4 <> 3").withColumn("t", F.col("line_no") * 4.0)
+    return A.reconcile_lines(ours, theirs, "k").select("k", "our_line", F.round("t", 4).alias("t"))
+
+
+def voted_lines(spark, sf_dir):
+    tokens = C.tokenize(_turn_lines(spark, sf_dir), "k")
+    other = tokens.where("pos % 5 <> 4").withColumn("line_no", F.col("line_no") + 10)
+    return A.line_votes(A.match_words(tokens, other, ["k"], "norm", "norm"), tokens, other, "k")
+
+
 QUERIES = {
+    "reconciled_lines": reconciled_lines, "voted_lines": voted_lines,
     "strict_lines": strict_lines, "overflow_lines": overflow_lines, "free_lines": free_lines, "key_nudge": key_nudge, "calibration_tiers": calibration_tiers,
     "word_syllables": word_syllables, "generated_charts": generated_charts, "retimed_words": retimed_words, "refreshed_pitches": refreshed_pitches,
 }
