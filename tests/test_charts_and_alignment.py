@@ -84,3 +84,14 @@ def test_listings(spark):
     report = spark.createDataFrame([("/v/a.mp4",), ("   Resolution",), ("",), ("ERROR: x",), ("No videos",)], "value string")
     assert [r["path"] for r in L.report_paths(report).collect()] == ["/v/a.mp4"]
     assert S.headline_case is not None
+
+
+def test_alignments_with_a_key_on_one_side_only(spark):
+    """A song that only one side has gives no matches (or keeps its words) and stops nothing."""
+    words = spark.createDataFrame([("x", 0, "a", 0.0, 0.1), ("x", 1, "b", 1.0, 1.1)], "s string, pos long, text string, start double, end double")
+    lines = spark.createDataFrame([("y", 0, 0.0, "a b")], "s string, line_no long, t double, line string")
+    tokens = spark.createDataFrame([("y", 0, "a", "a", 0)], "s string, pos long, norm string, original string, line_no long")
+    assert A.match_words(words, tokens, ["s"], "text", "norm").count() == 0
+    assert [(r["new_text"], r["line_no"], r["dropped"]) for r in A.align_to_reference(words, tokens, "s").orderBy("pos").collect()] == [("a", None, False), ("b", None, False)]
+    assert A.line_candidates(words, lines, "s").count() == 0
+    assert A.reconcile_lines(lines.withColumn("s", F.lit("x")), lines, "s").count() == 0
