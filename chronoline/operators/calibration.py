@@ -6,7 +6,7 @@ A correction is a table of anchors (x, y): a constant or a drift needs two, the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoline.operators import estimators as E
@@ -65,19 +65,19 @@ def calibrate(candidates: DataFrame, key: list[str], row_id: str, order: list[st
     return summary, simple.unionByName(fitted.join(three.select(*key), key, "left_semi").select(*key, "x", "y"))
 
 
-def class_offset(matches: DataFrame, key: list[str], order: list[str], ours: str, theirs: str, confidence: str, min_samples: int = 8, least: float = 0.5, top_half: float = 0.4) -> DataFrame:
-    """key, offset, share: the most frequent class difference of matched notes, over all, else over the more confident half."""
-    from pyspark.sql import Window
+def class_offset(matches: DataFrame, key: list[str], order: list[str], ours: str, theirs: str, confidence: str, min_samples: int = 8, least: float = 0.5, top_half: float = 0.4, force: bool = True) -> DataFrame:
+    """key, offset, share: the most frequent class difference of matched notes, over all, else over the more confident half.
 
+    The half has min_samples notes at least. Where neither agrees well enough, the better of the two is taken with force (all notes on ties), else none.
+    """
     bucket = F.pmod(F.col(theirs) - (F.col(ours) + 60), F.lit(12)).cast("long")
     every = E.mode_share(matches, key, order, bucket)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(confidence), *order))
-    half = matches.withColumns({"_r": rank, "_n": F.count("*").over(Window.partitionBy(*key))}).where(F.col("_r") <= F.ceil(F.col("_n") / 2))
-    upper = E.mode_share(half, key, order, bucket).select(*key, F.col("bucket").alias("b2"), F.col("share").alias("s2"), F.col("total").alias("n2"))
-    both = every.join(upper, key, "left")
-    first = (F.col("total") >= min_samples) & (F.col("share") >= least)
-    second = (F.col("n2") >= min_samples) & (F.col("s2") >= top_half)
-    return both.select(*key, F.when(first, F.col("bucket")).when(second, F.col("b2")).alias("offset"), F.when(first, F.col("share")).when(second, F.col("s2")).otherwise(F.col("share")).alias("share"))
+    half = matches.withColumns({"_rank": rank, "_n": F.count("*").over(Window.partitionBy(*key))}).where(F.col("_rank") <= F.greatest(F.lit(min_samples), F.floor(F.col("_n") / 2)))
+    upper = E.mode_share(half, key, ["_rank"], bucket).select(*key, F.col("bucket").alias("b2"), F.col("share").alias("s2"))
+    all_, second = F.col("share") >= least, (F.col("s2") >= top_half) | (F.lit(force) & (F.col("s2") > F.col("share")))
+    pick = lambda a, b: F.when(F.col("total") < min_samples, None).when(all_, F.col(a)).when(second, F.col(b)).when(F.lit(force), F.col(a))
+    return every.join(upper, key, "left").select(*key, pick("bucket", "b2").alias("offset"), F.coalesce(pick("share", "s2"), F.lit(0.0)).alias("share"))
 
 
 def likely_key(classes: DataFrame, key: list[str], pc: str) -> DataFrame:

@@ -95,3 +95,12 @@ def test_alignments_with_a_key_on_one_side_only(spark):
     assert [(r["new_text"], r["line_no"], r["dropped"]) for r in A.align_to_reference(words, tokens, "s").orderBy("pos").collect()] == [("a", None, False), ("b", None, False)]
     assert A.line_candidates(words, lines, "s").count() == 0
     assert A.reconcile_lines(lines.withColumn("s", F.lit("x")), lines, "s").count() == 0
+
+
+def test_lines_take_their_words(spark):
+    heard = "we walk in time uh the light is on home again".split()
+    words = spark.createDataFrame([("s", i, w, float(i), i + 0.5) for i, w in enumerate(heard)], "s string, pos long, text string, start double, end double")
+    lines = spark.createDataFrame([("s", 0, "we walk in time"), ("s", 1, ""), ("s", 2, "the light is on")], "s string, line_no long, line string")
+    got = A.assign_lines(words, lines, "s").orderBy("pos").collect()
+    assert [r["line_no"] for r in got] == [0, 0, 0, 0, 2, 2, 2, 2, 2, None, None]
+    assert [r["pos"] for r in got if r["dropped"]] == [4] and len(got) == len(heard)
