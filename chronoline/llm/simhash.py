@@ -253,15 +253,18 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bit
     """doc_id and component_id of every document with an id, where texts within max_bits or at the similarity link.
 
     Equal word sequences fold first, so that copies are one node; the vantage-point search links fingerprints
-    within max_bits and ``similarity.similar_links`` the rest.
+    within max_bits, ``similarity.similar_links`` those that share a route, and ``similarity.rest_links`` what is left in large routes.
     """
-    from chronoline.llm.similarity import similar_links, sketches
+    from chronoline.llm.similarity import rest_links, route_tables, similar_links, sketches
 
     table = checkpoint(sketches(docs, k))
     nodes = checkpoint(table.groupBy("digest").agg(F.min("id").alias("id"))).join(table, ["digest", "id"]).dropDuplicates(["id"])
     nodes = checkpoint(nodes.select("id", "fp", "n", "routes", "sketch", "digest"))
     by_print = checkpoint(nodes.groupBy("fp").agg(F.min("id").alias("id")))
-    found = links(by_print, max_bits).union(similar_links(nodes, similarity))
-    roots = components(found)
+    routed, met = route_tables(nodes)
+    roots = components(links(by_print, max_bits).union(similar_links(nodes, routed, met, similarity)))
+    rest = rest_links(nodes, routed, met, roots, similarity)
+    if rest is not None:
+        roots = components(roots.toDF("a", "b").union(rest))
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     return table.select(F.col("id").alias("doc_id"), "digest").join(named, "digest").select("doc_id", "component_id").distinct()

@@ -110,3 +110,29 @@ def test_similar_groups_of_hot_routes(spark, monkeypatch):
     rows = [(i, " ".join([*base[:150], f"own{i}", *base[151:]])) for i in range(150)] + [(1000, "something else entirely of its own")]
     got = {x["doc_id"]: x["component_id"] for x in S.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {**{i: 0 for i in range(150)}, 1000: 1000}
+
+
+def test_rest_of_a_hot_route_is_compared_with_all_of_it(spark, monkeypatch):
+    """One route for all: pairs that fall into different salted groups, and that no pivot joins, are found in the second pass."""
+    from chronoline.llm import similarity as M
+
+    monkeypatch.setattr(M, "GROUP_ROWS", 25)
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base[:100], f"own{i}", *base[101:]]) for i in range(60)]
+    for _ in range(50):
+        lone = [f"x{r.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join(lone), " ".join([*lone[:50], "changed", *lone[51:]])]
+    rows = []
+    for i, t in enumerate(texts):
+        fp, digest, n, _, values = M.sketch(t, 5)
+        rows.append((i, int(np.uint64(fp).view(np.int64)), n, [1], values))
+    nodes = spark.createDataFrame(rows, "id bigint, fp bigint, n bigint, routes array<bigint>, sketch binary")
+    routed, met = M.route_tables(nodes)
+    first = components(M.similar_links(nodes, routed, met, 0.8))
+    label = {x["node"]: x["root"] for x in first.collect()}
+    want = {i: 0 if i < 60 else i - i % 2 for i in range(160)}
+    assert any(label.get(i, i) != want[i] for i in want)
+    both = components(first.toDF("a", "b").union(M.rest_links(nodes, routed, met, first, 0.8)))
+    label = {x["node"]: x["root"] for x in both.collect()}
+    assert {i: label.get(i, i) for i in want} == want
