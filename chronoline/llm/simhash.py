@@ -260,10 +260,11 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bit
     table = checkpoint(sketches(docs, k))
     nodes = checkpoint(table.groupBy("digest").agg(F.min("id").alias("id"))).join(table, ["digest", "id"]).dropDuplicates(["id"])
     nodes = checkpoint(nodes.select("id", "fp", "n", "routes", "sketch", "digest"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     by_print = checkpoint(nodes.groupBy("fp").agg(F.min("id").alias("id")))
     routed, met = route_tables(nodes)
-    roots = components(links(by_print, max_bits).union(similar_links(nodes, routed, met, similarity)))
-    rest = rest_links(nodes, routed, met, roots, similarity)
+    roots = components(links(by_print, max_bits).union(similar_links(nodes, routed, met, similarity, texts, k)))
+    rest = rest_links(nodes, routed, met, roots, similarity, texts, k)
     if rest is not None:
         roots = components(roots.toDF("a", "b").union(rest))
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("digest", F.coalesce("root", "id").alias("component_id"))

@@ -136,3 +136,33 @@ def test_rest_of_a_hot_route_is_compared_with_all_of_it(spark, monkeypatch):
     both = components(first.toDF("a", "b").union(M.rest_links(nodes, routed, met, first, 0.8)))
     label = {x["node"]: x["root"] for x in both.collect()}
     assert {i: label.get(i, i) for i in want} == want
+
+
+def test_similarity_is_exact_at_the_threshold(spark):
+    """Texts of thousands of words and of a dozen, at exactly 0.8 and just under it."""
+    r = random.Random(8)
+    rows, want = [], {}
+    for n, common in [(2250, 2000)] * 30 + [(2250, 1999)] * 30 + [(9, 8)] * 60 + [(18, 15)] * 60:
+        words = [f"w{r.randrange(10**9)}" for _ in range(n + 4)]
+        other = words[: common + 4] + [f"w{r.randrange(10**9)}" for _ in range(n - common)]
+        at = len(rows)
+        rows += [(at, " ".join(words)), (at + 1, " ".join(other))]
+        want |= {at: at, at + 1: at if common / (2 * n - common) >= 0.8 else at + 1}
+    got = {x["doc_id"]: x["component_id"] for x in S.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), max_bits=0).collect()}
+    assert got == want
+
+
+def test_held_back_pairs_get_their_turn(spark, monkeypatch):
+    """A text with four partners at exactly 0.8 and four just under it; each row names one partner at first."""
+    from chronoline.llm import similarity as M
+
+    monkeypatch.setattr(M, "PARTNERS", 1)
+    base = [f"w{k}" for k in range(2254)]
+    texts = [base]
+    for k in range(8):
+        begin, n = 10 + 275 * k, 246 + k % 2
+        texts.append([*base[:begin], *(f"own{k}x{i}" for i in range(n)), *base[begin + n :]])
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    full = M.sketches(table, 5).selectExpr("1 as route", "id", "fp", "n", "sketch", "true as asks")
+    found = components(M.decide(full, ["route"], 0.8, table.withColumnRenamed("doc_id", "id"), 5))
+    assert {(x["node"], x["root"]) for x in found.collect()} == {(1, 0), (3, 0), (5, 0), (7, 0)}
