@@ -13,7 +13,10 @@ BLOCK_TAGS = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math object".split())
+#: Their content is no markup: it ends at the end tag only, or with the page.
+RAW_TAGS = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
+#: Inside these a closing slash ends an element; their text, like that of object, is text of the block around them.
+FOREIGN_TAGS = frozenset(["svg", "math"])
 #: A start tag of the key closes an open element of the values, up to the nearest scope element.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article aside body div dl fieldset figure footer form header html main nav ol section table td th ul blockquote".split())
@@ -21,6 +24,7 @@ SCOPES = frozenset("article aside body div dl fieldset figure footer form header
 _TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)(?:>|\Z)")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
+_TEMPLATE = re.compile(r"<(/?)template(?=[\s/>])[^>]*>", re.IGNORECASE)
 
 
 @dataclass
@@ -37,13 +41,23 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _after_template(page: str, at: int) -> int:
+    """Behind the end tag of the template opened before at, nested ones counted; at itself if it is never closed."""
+    depth = 1
+    for tag in _TEMPLATE.finditer(page, at):
+        depth += -1 if tag[1] else 1
+        if not depth:
+            return tag.end()
+    return at
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks with text, references decoded, white space turned into single spaces; comments, scripts and styles are no text."""
     page = page or ""
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
-    links = open_links = at = 0
+    links = open_links = foreign = at = 0
 
     def flush() -> None:
         nonlocal links
@@ -70,6 +84,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if token[1]:
             if tag == "a":
                 open_links = 0
+            elif tag in FOREIGN_TAGS:
+                foreign = max(0, foreign - 1)
             elif tag in BLOCK_TAGS:
                 flush()
                 for k in range(len(stack) - 1, -1, -1):
@@ -77,7 +93,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
                         del stack[k:]
                         break
             continue
-        if tag in RAW_TAGS:
+        closed = token[3].endswith("/")
+        if tag in FOREIGN_TAGS:
+            foreign += not closed
+            pieces.append(" ")
+        elif foreign and closed and tag not in BLOCK_TAGS:
+            continue
+        elif tag == "template":
+            at = _after_template(page, at)
+            pieces.append(" ")
+        elif tag in RAW_TAGS:
             end = re.compile(f"</{re.escape(tag)}[\\s/>]|\\Z", re.IGNORECASE).search(page, at)
             stop = page.find(">", end.start())
             at = len(page) if stop < 0 or end.start() == len(page) else stop + 1
@@ -87,6 +112,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif tag == "br":
             pieces.append(" ")
         elif tag in BLOCK_TAGS:
+            foreign = 0
             flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CLOSES.get(tag, ()):

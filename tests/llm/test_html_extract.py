@@ -50,6 +50,17 @@ def test_blocks():
     assert leaf_blocks("<div class='Side bar'><p>x</div>")[0].path == ("div", "div.side", "div.bar", ".side", ".bar", "p")
 
 
+def test_text_behind_embedded_elements():
+    texts = lambda page: [b.text for b in leaf_blocks(page)]
+    assert texts("<p>a<svg class=i /> b<p>c<p>d<svg/></p>e") == ["a b", "c", "d", "e"]
+    assert texts("<article><object data=x><p>a</p><p>b</p></article><p>c") == ["a", "b", "c"]
+    assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds<p><object>no plugin</object> b") == ["if x=1 holds", "no plugin b"]
+    assert texts("<p>a <svg><title/><style/><text>axis</text><title>hidden</title></svg> b<p>c") == ["a axis b", "c"]
+    assert texts("<p>a<svg><path><p>b<title>gone</title>c") == ["a", "b c"]
+    assert texts("<p>a<template>x<template>y</template>z</template>b<template>c<p>d") == ["a b c", "d"]
+    assert texts("<p>a<script>never closed <p>b") == ["a"]
+
+
 def test_articles_of_the_pages_table(spark, labeller):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in H.extract_main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
