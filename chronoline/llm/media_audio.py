@@ -106,6 +106,17 @@ def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
     return mel, energy
 
 
+def blocks_of(samples: np.ndarray, block: int) -> Iterator[np.ndarray]:
+    """Resampled signal of 8-bit samples in blocks: each is resampled with the SIDE_TAPS * DOWN samples on both sides, as the whole would be."""
+    side = SIDE_TAPS * DOWN
+    for at in range(0, len(samples), block):
+        begin, end = max(0, at - side), min(len(samples), at + block + side)
+        x = (samples[begin:end].astype(np.float32) - 128) / 128
+        out = resample(x)
+        first = (at - begin) * UP // DOWN
+        yield out[first : first + -(-min(block, len(samples) - at) * UP // DOWN)]
+
+
 def hysteresis(energy: np.ndarray, open_db: float = OPEN_DB, close_db: float = CLOSE_DB) -> list[tuple[int, int]]:
     """Half-open frame runs that start at open_db or more and last while close_db or more holds."""
     loud = np.concatenate([[False], energy >= close_db, [False]])
@@ -119,14 +130,19 @@ def hysteresis(energy: np.ndarray, open_db: float = OPEN_DB, close_db: float = C
 
 
 def analyse(media: bytes) -> dict:
-    """Features of stored media; blocks have a fixed length, and a segment may span blocks."""
+    """Features of stored media, read in blocks of a fixed length; frames and segments span blocks as if the signal were whole."""
     payload, rate = decode_wav(media)
     samples = np.frombuffer(payload, dtype=np.uint8)
     out_rate = rate * UP // DOWN
     mels, energies = [], []
-    for at in range(0, len(samples), BLOCK_SAMPLES):
-        x = (samples[at : at + BLOCK_SAMPLES].astype(np.float32) - 128) / 128
-        mel, energy = log_mel(resample(x), out_rate)
+    held, left = np.empty(0, dtype=np.float32), -(-len(samples) * UP // DOWN)
+    for x in blocks_of(samples, BLOCK_SAMPLES):
+        left -= len(x)
+        held = np.concatenate([held, x])
+        # the last frame alone is padded; until then whole frames go and what they share with later ones stays
+        whole = max(0, (len(held) - FRAME) // HOP + 1) if left else 0
+        mel, energy = log_mel(held[: (whole - 1) * HOP + FRAME] if left else held, out_rate)
+        held = held[whole * HOP :]
         mels.append(mel)
         energies.append(energy)
     mel, energy = np.concatenate(mels), np.concatenate(energies)

@@ -43,3 +43,16 @@ def test_tensor_view():
     array = M.as_tensor_array(pa.array(list(found["tensors"]), pa.list_(pa.float32())))
     assert array.type.shape == list(M.TENSOR_SHAPE) and len(array) == len(found["spans"])
     assert found["spans"][0][0] == 0 and found["spans"][-1][1] == pytest.approx(found["n_frames"] * M.HOP / 4000)
+
+
+@pytest.mark.parametrize("n", [65536, 65600, 131072, 200_000, 65536 * 3 + 64])
+def test_blocks_equal_the_whole_signal(n):
+    r = np.random.default_rng(n)
+    payload = M.pad_payload((128 + 100 * np.sin(np.arange(n) / 7) * (r.random(n // 1000 + 1) > 0.5).repeat(1000)[:n]).astype(np.uint8).tobytes())
+    whole = M.resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)
+    mel, energy = M.log_mel(whole, 4000)
+    found = M.analyse(M.encode_wav(payload))
+    assert found["n_frames"] == len(mel)
+    assert np.allclose(found["tensors"].reshape(-1, M.N_MELS)[: len(mel)], mel, atol=1e-2)
+    assert found["spans"][-1][1] == pytest.approx(len(mel) * M.HOP / 4000)
+    assert found["segments"] == [(a * (M.HOP / 4000), b * (M.HOP / 4000)) for a, b in M.hysteresis(energy)]
