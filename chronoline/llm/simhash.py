@@ -7,17 +7,21 @@
    shards: at each tree node a fingerprint goes left if its distance to the vantage
    point is under the split distance, else right. By the triangle bound a
    fingerprint within ``max_bits`` of the split may have partners on the other
-   side, so it also visits that side, and from there every shard whose region it
-   can reach. The sample decides the balance only; no pair is lost to it.
-4. Each shard searches home against home and visitors against home, with the same
+   side. Of the two bands beside the split the thinner one also visits the other
+   side, and from there every shard whose region it can reach. The sample decides
+   the balance only; no pair is lost to it.
+4. A shard that comes out over ``RECUT_OVER`` times its planned size is cut again by
+   a deeper tree, fitted on a sample of that shard alone, up to ``RECUTS`` times.
+5. Each shard searches home against home and visitors against home, with the same
    bounds down to small blocks, and returns links that span its local groups, never all
    pairs of a group.
-5. Components of the links (``components``) name each group by its smallest doc_id.
+6. Components of the links (``components``) over fingerprints name each group by its smallest doc_id.
 
 Defined cases: null and empty texts and texts of white space have fingerprint zero and link like any other; a text
 of fewer words than a shingle is one shingle; repeated rows share a fingerprint
 and so a component; rows whose doc_id is null get the component of their
-fingerprint, null if no other row has one; an empty table gives an empty result;
+fingerprint group, null if no other row has one; a doc_id with several texts has one row and one fingerprint a text, which link on
+their own; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -34,13 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoline.llm.common import checkpoint
-from chronoline.llm.components import components
+from chronoline.llm.components import components, spanning_labels
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
 SAMPLE_NODES = 8192
 SHARD_NODES = 4096
+#: A shard is cut again beyond so many times SHARD_NODES rows of home and visitors; its tree is fitted on RECUT_SAMPLE fingerprints.
+RECUT_OVER = 8
+RECUT_SAMPLE = 1024
+RECUTS = 4
 BLOCK = 512
 HASHES_AT_ONCE = 65536
 
@@ -79,12 +87,13 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
 
 @dataclass(frozen=True)
 class Node:
-    """Inner node (vantage point, split distance, sides) or leaf (shard number)."""
+    """Inner node (vantage point, split distance, sides, whether the left band visits) or leaf (shard number)."""
 
     vantage: int = 0
     split: int = 0
     left: Node | None = None
     right: Node | None = None
+    left_visits: bool = True
     shard: int = -1
 
 
@@ -103,8 +112,8 @@ def choose_split(points: np.ndarray) -> tuple[int, int] | None:
     return (vantage, min(halves)[1]) if halves else None
 
 
-def build_tree(points: np.ndarray, n_shards: int) -> tuple[Node, int]:
-    """A balanced tree of about n_shards leaves over the sample."""
+def build_tree(points: np.ndarray, n_shards: int, r: int = MAX_BITS) -> tuple[Node, int]:
+    """A balanced tree of about n_shards leaves over the sample; at each split the side with fewer points within r of it visits the other."""
     numbered = iter(range(2 * n_shards + 2))
 
     def grow(part: np.ndarray, leaves: int) -> Node:
@@ -114,7 +123,8 @@ def build_tree(points: np.ndarray, n_shards: int) -> tuple[Node, int]:
         d = distance(part, cut[0])
         low, high = part[d < cut[1]], part[d >= cut[1]]
         share = min(leaves - 1, max(1, round(leaves * len(low) / len(part))))
-        return Node(cut[0], cut[1], grow(low, share), grow(high, leaves - share))
+        thin_left = np.count_nonzero((d < cut[1]) & (d + r >= cut[1])) <= np.count_nonzero((d >= cut[1]) & (d < cut[1] + r))
+        return Node(cut[0], cut[1], grow(low, share), grow(high, leaves - share), bool(thin_left))
 
     root = grow(points, n_shards)
     return root, next(numbered)
@@ -129,26 +139,14 @@ def route(node: Node, fps: np.ndarray, home: np.ndarray, visit: np.ndarray, r: i
         return
     dh, dv = distance(fps[home], node.vantage).astype(np.int64), distance(fps[visit], node.vantage).astype(np.int64)
     low = dh < node.split
-    yield from route(node.left, fps, home[low], visit[dv - r < node.split], r)
-    # a pair that parts here is found on the right: its left member visits
-    crossing = home[low & (dh >= node.split - r)]
-    yield from route(node.right, fps, home[~low], np.concatenate([visit[dv + r >= node.split], crossing]), r)
-
-
-def spanning_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index of each index's group under the links (a, b)."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, before[a], low)
-        np.minimum.at(label, before[b], low)
-        label = label[label]
-        if np.array_equal(label, before):
-            break
-    return label
+    to_left, to_right = visit[dv - r < node.split], visit[dv + r >= node.split]
+    # a pair that parts here is found on the side that its other member visits
+    if node.left_visits:
+        to_right = np.concatenate([to_right, home[low & (dh >= node.split - r)]])
+    else:
+        to_left = np.concatenate([to_left, home[~low & (dh < node.split + r)]])
+    yield from route(node.left, fps, home[low], to_left, r)
+    yield from route(node.right, fps, home[~low], to_right, r)
 
 
 def search(fps: np.ndarray, home: np.ndarray, visit: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,31 +194,74 @@ def _unpack(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[0].view(np.uint64), both[1]
 
 
+def _dealt(root: Node, first: int, fps: np.ndarray, ids: np.ndarray, home: np.ndarray, visit: np.ndarray, r: int) -> pa.RecordBatch:
+    """Rows (shard, home, visit, points): what reaches each leaf, with a few of its home fingerprints for a later cut."""
+    rows = [(first + s, _pairs(fps[h], ids[h]), _pairs(fps[v], ids[v]), fps[h][:: max(1, len(h) // 64)][:64].tobytes()) for s, h, v in route(root, fps, home, visit, r)]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)], names=["shard", "home", "visit", "points"])
+
+
+_DEALT = "shard bigint, home binary, visit binary, points binary"
+#: Leaves of a tree are numbered below this; a shard's own leaves follow its number times this.
+_SPAN = 4096
+
+
+def _recut(dealt: DataFrame, max_bits: int, shard_nodes: int) -> DataFrame:
+    """Cuts the shards that came out too large by a deeper tree of their own, until none is left or RECUTS rounds are over."""
+    for _ in range(RECUTS):
+        nodes = F.sum(F.octet_length("home") / 16), F.sum(F.octet_length("visit") / 16)
+        sizes = dealt.groupBy("shard").agg(nodes[0].cast("long").alias("held"), (nodes[0] + nodes[1]).cast("long").alias("rows"))
+        large = checkpoint(sizes.where(f"rows > {RECUT_OVER * shard_nodes} and held > {shard_nodes}").select("shard", "rows"))
+        if large.isEmpty():
+            return dealt
+
+        def fit(shard: tuple, chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.empty(0, dtype=np.uint64)
+            for chunk in chunks:
+                new = np.frombuffer(b"".join(chunk.column(1).to_pylist()), dtype=np.uint64)
+                held = np.concatenate([held, new])
+                order = np.argsort(held * np.uint64(0x9E3779B97F4A7C15), kind="stable")  # an even choice, whatever the order of chunks
+                held = held[order[:RECUT_SAMPLE]]
+            yield pa.RecordBatch.from_arrays([pa.array([shard[0].as_py()], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["shard", "sample"])
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, root = None, Node(shard=0)
+            for batch in batches:
+                for shard, home, visit, sample, rows in zip(*(batch.column(i) for i in range(5))):
+                    if shard.as_py() != last:
+                        last, points = shard.as_py(), np.frombuffer(sample.as_py(), dtype=np.uint64)
+                        root = build_tree(points, max(2, min(len(points) // 8, -(-rows.as_py() // shard_nodes))), max_bits)[0]
+                    fps, ids = _unpack([home.as_py(), visit.as_py()])
+                    n = len(home.as_py()) // 16
+                    yield _dealt(root, (last + 1) * _SPAN, fps, ids, np.arange(n), np.arange(n, len(fps)), max_bits)
+
+        chunks = dealt.join(large, "shard")
+        samples = chunks.select("shard", "points").groupBy("shard").applyInArrow(fit, "shard bigint, sample binary")
+        again = chunks.join(samples, "shard").select("shard", "home", "visit", "sample", "rows").mapInArrow(deal, _DEALT)
+        dealt = checkpoint(dealt.join(large, "shard", "left_anti").unionByName(again))
+    return dealt
+
+
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, sample_nodes: int = SAMPLE_NODES, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """nodes(fp, id) with distinct fp -> links (a, b) between ids that span all pairs within max_bits."""
     n = nodes.count()
     sample = [r["fp"] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_nodes).collect()]
     points = np.array(sample, dtype=np.int64).view(np.uint64)
-    root, n_shards = build_tree(points, max(1, min(len(points) // 8, -(-n // shard_nodes)))) if len(points) else (Node(shard=0), 1)
+    root = build_tree(points, max(1, min(len(points) // 8, -(-n // shard_nodes))), max_bits)[0] if len(points) else Node(shard=0)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(fps, ids):
-            rows = [(s, _pairs(fps[h], ids[h]), _pairs(fps[v], ids[v])) for s, h, v in route(root, fps, np.arange(len(fps)), np.empty(0, dtype=np.int64), max_bits)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "home", "visit"]
-            )
+        def flush() -> pa.RecordBatch:
+            fps, ids = (np.concatenate([np.asarray(b.column(i)).astype(np.int64) for b in held]) for i in (0, 1))
+            return _dealt(root, 0, fps.view(np.uint64), ids, np.arange(len(fps)), np.empty(0, dtype=np.int64), max_bits)
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(len(b) for b in held) >= 200_000:
-                yield flush(*_columns(held))
+            if sum(map(len, held)) >= 200_000:
+                yield flush()
                 held = []
         if held:
-            yield flush(*_columns(held))
-
-    def _columns(held):
-        return tuple(np.concatenate([np.asarray(b.column(i)).astype(np.int64) for b in held]) if i else np.concatenate([np.asarray(b.column(0)).astype(np.int64) for b in held]).view(np.uint64) for i in (0, 1))
+            yield flush()
 
     def within(rows: pa.Table) -> pa.Table:
         home_fps, home_ids = _unpack(rows.column("home").to_pylist())
@@ -231,41 +272,22 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, sample_nodes: int = SAMPLE
         own = np.flatnonzero(label != np.arange(len(fps)))
         return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[label[own]], pa.int64())})
 
-    dealt = nodes.select("fp", F.col("id").cast("long").alias("id")).mapInArrow(deal, "shard int, home binary, visit binary")
-    return dealt.groupBy("shard").applyInArrow(within, "a bigint, b bigint")
+    dealt = checkpoint(nodes.select("fp", F.col("id").cast("long").alias("id")).mapInArrow(deal, _DEALT))
+    return _recut(dealt, max_bits, shard_nodes).drop("points").groupBy("shard").applyInArrow(within, "a bigint, b bigint")
 
 
 def group_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """prints(doc_id, fp) -> doc_id, fp, component_id."""
-    nodes = checkpoint(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    roots = components(links(nodes, max_bits))
-    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select(F.col("fp"), F.coalesce("root", "id").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(nodes.select("fp", F.col("fp").alias("id")), max_bits))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = roots.select("root").distinct()  # a print of its own needs no second look-up
+    named = rooted.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
+    found = rooted.join(named, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(found, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     grouped = group_fingerprints(checkpoint(fingerprints(docs, k)), max_bits)
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id and component_id of every document with an id, where texts within max_bits or at the similarity link.
-
-    Equal word sequences fold first, so that copies are one node; the vantage-point search links fingerprints
-    within max_bits, ``similarity.similar_links`` those that share a route, and ``similarity.rest_links`` what is left in large routes.
-    """
-    from chronoline.llm.similarity import rest_links, route_tables, similar_links, sketches
-
-    table = checkpoint(sketches(docs, k))
-    nodes = checkpoint(table.groupBy("digest").agg(F.min("id").alias("id"))).join(table, ["digest", "id"]).dropDuplicates(["id"])
-    nodes = checkpoint(nodes.select("id", "fp", "n", "routes", "sketch", "digest"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    by_print = checkpoint(nodes.groupBy("fp").agg(F.min("id").alias("id")))
-    routed, met = route_tables(nodes)
-    roots = components(links(by_print, max_bits).union(similar_links(nodes, routed, met, similarity, texts, k)))
-    rest = rest_links(nodes, routed, met, roots, similarity, texts, k)
-    if rest is not None:
-        roots = components(roots.toDF("a", "b").union(rest))
-    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("digest", F.coalesce("root", "id").alias("component_id"))
-    return table.select(F.col("id").alias("doc_id"), "digest").join(named, "digest").select("doc_id", "component_id").distinct()

@@ -1,7 +1,10 @@
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
+from chronoline.llm import similarity as M
 from chronoline.llm import simhash as S
 from chronoline.llm.components import components
 
@@ -61,12 +64,31 @@ def test_search_finds_every_component(spark):
     assert roots(len(prints), got) == want
 
 
+def test_large_shards_are_cut_again(spark, monkeypatch):
+    """A first tree of two leaves from sixteen fingerprints: its shards come out too large and are cut until they fit."""
+    monkeypatch.setattr(S, "RECUT_OVER", 4)
+    prints = np.array(clustered(1500, 2), dtype=np.uint64)
+    near = [(i, j) for i in range(len(prints)) for j in np.flatnonzero(S.distance(prints[i + 1 :], prints[i]) <= 2) + i + 1]
+    df = spark.createDataFrame([(int(f), i) for i, f in enumerate(prints.view(np.int64))], "fp bigint, id bigint").repartition(3)
+    got = [(r["a"], r["b"]) for r in S.links(df, 2, sample_nodes=16, shard_nodes=100).collect()]
+    assert roots(len(prints), got) == roots(len(prints), near)
+    cut = []
+    kept = S._recut
+    monkeypatch.setattr(S, "_recut", lambda dealt, *rest: cut.append(kept(dealt, *rest)) or cut[-1])
+    S.links(df, 2, sample_nodes=16, shard_nodes=100)
+    sizes = [len(r["home"]) + len(r["visit"]) for r in cut[0].selectExpr("shard", "home", "visit").collect()]
+    shards = {r["shard"] for r in cut[0].select("shard").collect()}
+    assert len(shards) > 8 and max(sizes) // 16 <= 400 and min(shards) >= S._SPAN
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(0)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
     want = roots(300, links)
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert [got.get(i, i) for i in range(300)] == want
+    rounds = components(spark.createDataFrame(links, "a bigint, b bigint").repartition(9), one_task=0)
+    assert {x["node"]: x["root"] for x in rounds.collect()} == got
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
@@ -94,7 +116,7 @@ def test_similar_groups_equal_exact_jaccard(spark):
     similarity = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
     pairs = {(i, j): similarity(i, j) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j]}
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    got = {x["doc_id"]: x["component_id"] for x in S.similar_groups(df).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in M.similar_groups(df).collect()}
     for (i, j), s in pairs.items():
         if s >= 0.8:
             assert got[i] == got[j]
@@ -103,19 +125,15 @@ def test_similar_groups_equal_exact_jaccard(spark):
 
 
 def test_similar_groups_of_hot_routes(spark, monkeypatch):
-    from chronoline.llm import similarity
-
-    monkeypatch.setattr(similarity, "GROUP_ROWS", 40)
+    monkeypatch.setattr(M, "GROUP_ROWS", 40)
     base = [f"w{k}" for k in range(300)]
     rows = [(i, " ".join([*base[:150], f"own{i}", *base[151:]])) for i in range(150)] + [(1000, "something else entirely of its own")]
-    got = {x["doc_id"]: x["component_id"] for x in S.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in M.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {**{i: 0 for i in range(150)}, 1000: 1000}
 
 
 def test_rest_of_a_hot_route_is_compared_with_all_of_it(spark, monkeypatch):
     """One route for all: pairs that fall into different salted groups, and that no pivot joins, are found in the second pass."""
-    from chronoline.llm import similarity as M
-
     monkeypatch.setattr(M, "GROUP_ROWS", 25)
     r = random.Random(3)
     base = [f"w{k}" for k in range(200)]
@@ -123,19 +141,16 @@ def test_rest_of_a_hot_route_is_compared_with_all_of_it(spark, monkeypatch):
     for _ in range(50):
         lone = [f"x{r.randrange(10**6)}" for _ in range(200)]
         texts += [" ".join(lone), " ".join([*lone[:50], "changed", *lone[51:]])]
-    rows = []
-    for i, t in enumerate(texts):
-        fp, digest, n, _, values = M.sketch(t, 5)
-        rows.append((i, int(np.uint64(fp).view(np.int64)), n, [1], values))
-    nodes = spark.createDataFrame(rows, "id bigint, fp bigint, n bigint, routes array<bigint>, sketch binary")
-    routed, met = M.route_tables(nodes)
-    first = components(M.similar_links(nodes, routed, met, 0.8))
-    label = {x["node"]: x["root"] for x in first.collect()}
-    want = {i: 0 if i < 60 else i - i % 2 for i in range(160)}
-    assert any(label.get(i, i) != want[i] for i in want)
-    both = components(first.toDF("a", "b").union(M.rest_links(nodes, routed, met, first, 0.8)))
-    label = {x["node"]: x["root"] for x in both.collect()}
-    assert {i: label.get(i, i) for i in want} == want
+    hashes = [M.shingle_hashes(t, 5) for t in texts]
+    rows = [(i, int(np.uint64(fp).view(np.int64)), len(h), parts, values, h.tobytes()) for i, h in enumerate(hashes) for fp, parts, values in [M.sketch(h)]]
+    table = spark.createDataFrame(rows, "id bigint, fp bigint, n bigint, parts array<bigint>, sketch binary, hashes binary")
+    nodes, sets = table.drop("hashes"), table.select("id", "hashes")
+    clumps = table.selectExpr("1 as mask", "cast(7 as bigint) as key", "id", "n")
+    none = spark.createDataFrame([], "node bigint, root bigint")
+    monkeypatch.setattr(M, "PIVOTS", 1)
+    found = components(M.clump_links(clumps, nodes, sets, 0.8, none))
+    label = {x["node"]: x["root"] for x in found.collect()}
+    assert {i: label.get(i, i) for i in range(160)} == {i: 0 if i < 60 else i - i % 2 for i in range(160)}
 
 
 def test_similarity_is_exact_at_the_threshold(spark):
@@ -148,21 +163,61 @@ def test_similarity_is_exact_at_the_threshold(spark):
         at = len(rows)
         rows += [(at, " ".join(words)), (at + 1, " ".join(other))]
         want |= {at: at, at + 1: at if common / (2 * n - common) >= 0.8 else at + 1}
-    got = {x["doc_id"]: x["component_id"] for x in S.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), max_bits=0).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in M.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), max_bits=0).collect()}
     assert got == want
 
 
-def test_held_back_pairs_get_their_turn(spark, monkeypatch):
-    """A text with four partners at exactly 0.8 and four just under it; each row names one partner at first."""
-    from chronoline.llm import similarity as M
-
-    monkeypatch.setattr(M, "PARTNERS", 1)
+@pytest.mark.parametrize("small", [1, M.SMALL_ROWS])
+def test_undecided_pairs_in_bundles_and_large_groups(spark, monkeypatch, small):
+    """A text with four partners at exactly 0.8 and four just under it."""
+    monkeypatch.setattr(M, "SMALL_ROWS", small)
     base = [f"w{k}" for k in range(2254)]
     texts = [base]
     for k in range(8):
         begin, n = 10 + 275 * k, 246 + k % 2
         texts.append([*base[:begin], *(f"own{k}x{i}" for i in range(n)), *base[begin + n :]])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert len(near) >= 4
     table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    full = M.sketches(table, 5).selectExpr("1 as route", "id", "fp", "n", "sketch", "true as asks")
-    found = components(M.decide(full, ["route"], 0.8, table.withColumnRenamed("doc_id", "id"), 5))
-    assert {(x["node"], x["root"]) for x in found.collect()} == {(1, 0), (3, 0), (5, 0), (7, 0)}
+    got = {x["doc_id"]: x["component_id"] for x in M.similar_groups(table, max_bits=0).collect()}
+    assert [got[i] for i in range(len(texts))] == roots(len(texts), near)
+
+
+@pytest.mark.parametrize("rows", [M.GROUP_ROWS, 12])
+def test_groups_equal_exact_jaccard_on_the_documents(spark, monkeypatch, rows):
+    """All pairs at 0.8 or more of the whole table by an inverted index; with small bounds groups are taken apart, and clumps searched in blocks."""
+    monkeypatch.setattr(M, "GROUP_ROWS", rows)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: frozenset(S.shingles(r["text"], 5)) for r in docs.collect()}
+    ids = sorted(sets)
+    at = {d: i for i, d in enumerate(ids)}
+    held = defaultdict(list)
+    for d in ids:
+        for gram in sets[d]:
+            held[gram].append(d)
+    common = Counter()
+    for own in held.values():
+        common.update((x, y) for i, x in enumerate(own) for y in own[i + 1 :])
+    pairs = [(at[x], at[y]) for (x, y), n in common.items() if n / (len(sets[x]) + len(sets[y]) - n) >= 0.8]
+    pairs += [(at[x], at[y]) for x, y in zip([d for d in ids if not sets[d]], [d for d in ids if not sets[d]][1:])]
+    want = roots(len(ids), pairs)
+    got = {x["doc_id"]: x["component_id"] for x in M.similar_groups(docs, max_bits=0).collect()}
+    assert len(pairs) > 50
+    met = sum(got[ids[i]] == got[ids[j]] for i, j in pairs)
+    assert met >= 0.99 * len(pairs)
+    assert all(want[at[d]] == want[at[c]] for d, c in got.items())  # nothing joined that exact pairs do not join
+
+
+def test_keep_one_row_of_each_group(spark, odd_docs, no_docs):
+    out = M.keep_one(odd_docs)
+    assert out.dtypes == odd_docs.dtypes
+    norm = lambda t: " ".join((t or "").lower().split(" ")).strip(" \n\t\r")
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len({norm(t) for _, t in kept}) == len(kept)
+    # one line and that line with two words more have eight of ten shingles in common
+    assert {d for d, _ in kept} == {0, 3, 4, 10, 11, 12, None} and (None, "no id") in kept
+    rows = [(None, "same words of a text")] * 5 + [(7, "same words of a text")] * 3 + [(7, "another text of the same id"), (9, "another text of the same id")]
+    got = M.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(7, "another text of the same id"), (7, "same words of a text")]
+    assert M.keep_one(no_docs).count() == 0
