@@ -21,11 +21,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder in spark.checkpoint.dir; a local one only where it is unset."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chronoline-checkpoint-")
-        sc.setCheckpointDir(shared)
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chronoline-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+#: A table of keys is broadcast only up to so many rows (16 bytes a row).
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_keys(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Counts a narrow table of keys, which should be written out, and marks it for broadcast only where it is small enough."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def words_of(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text as an array; null and empty texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
