@@ -14,16 +14,17 @@ keys of at least ``min_chars`` code points take part. The steps:
 3. The confirmed (document, key) pairs return to their documents and the lines
    are dropped there.
 
-Filter memory is bounded by ``max_filter_bits`` (2 ** 27 bits are 16 MB a
-filter); beyond that the filters fill up, more keys are suspected and the exact
-step confirms or clears them: results never change, only more digests shuffle. Hot keys
-are counted with map-side partial sums, and the joins are plain sort-merge joins that
+Filters of single tasks are merged slice by slice in two rounds, first in ``MERGE_FAN`` parts
+of the tasks, then these sums. Filter
+memory is bounded by ``max_filter_bits`` (2 ** 27 bits are 16 MB a filter); beyond that the filters fill up, more keys are suspected and the exact
+step confirms or clears them: results never change, only more digests shuffle. A document counts
+once for a key however many rows it has; hot keys are counted with map-side partial sums, and the joins are plain sort-merge joins that
 adaptive execution can split.
 
-Defined cases: a null or empty text is one empty line; null ids are kept and
-hold no line against others; each row counts as a document, so a repeated row
-counts again and both keep a line whose largest id they share; other columns are
-ignored; an empty table gives an empty result.
+Defined cases: a null or empty text is one empty line; rows without an id are no document:
+they hold no line against others and lose none; rows that share a doc_id are one document, which
+counts once and whose rows all keep a line of which it is the largest holder; other columns pass
+through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ N_HASHES = 2
 MIN_FILTER_BITS = 1 << 20
 MAX_FILTER_BITS = 1 << 27
 SLICE_BITS = 1 << 19
+MERGE_FAN = 64
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
@@ -120,28 +122,37 @@ def build_twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, bits_ in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = np.frombuffer(bits_.as_py(), dtype=np.uint8)
                 sums[k] = merge(sums[k], part) if k in sums else part
-        for k, part in sums.items():
-            twice = np.packbits(np.unpackbits(part, bitorder="little")[1::2], bitorder="little")
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([twice.tobytes()], pa.binary())], names=["slice", "bits"])
+        return sums
 
-    n_slices = max(1, bits // SLICE_BITS)
-    filled = docs.select("text").mapInArrow(fill, "slice int, bits binary")
-    merged = filled.repartition(min(n_slices, 64), "slice").mapInArrow(join, "slice int, bits binary")
+    def row(k: int, part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (row(k, part) for k, part in added(batches).items())
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, part in added(batches).items():
+            yield row(k, np.packbits(np.unpackbits(part, bitorder="little")[1::2], bitorder="little"))
+
+    kinds = "slice int, bits binary"
+    filled = docs.select("text").mapInArrow(fill, kinds).withColumn("of", F.pmod(F.spark_partition_id(), F.lit(MERGE_FAN)))
+    partly = filled.repartition("slice", "of").select("slice", "bits").mapInArrow(some, kinds)
+    merged = partly.repartition("slice").mapInArrow(last, kinds)
     twice = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.toLocalIterator():
-        part = np.frombuffer(row["bits"], dtype=np.uint8)
-        twice[row["slice"] * len(part) :][: len(part)] = part
+    for found in merged.toLocalIterator():
+        part = np.frombuffer(found["bits"], dtype=np.uint8)
+        twice[found["slice"] * len(part) :][: len(part)] = part
     return twice
 
 
 def suspects(docs: DataFrame, twice: np.ndarray, bits: int, min_chars: int) -> DataFrame:
-    """(doc_id, key): digests of the keys whose bits were all met twice, once a document."""
+    """(doc_id, key): digests of the keys whose bits were all met twice, once a row."""
     shared = docs.sparkSession.sparkContext.broadcast(twice)  # bounded by max_filter_bits
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -168,9 +179,10 @@ def suspects(docs: DataFrame, twice: np.ndarray, bits: int, min_chars: int) -> D
 
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """(doc_id, keys): the digests whose lines each document loses."""
-    n_lines = docs.select(F.sum(F.length("text") / 80 + 1).cast("long").alias("n")).first()["n"] or 0
+    n_lines = docs.where("doc_id is not null").select(F.sum(F.length("text") / 80 + 1).cast("long").alias("n")).first()["n"] or 0
     bits = filter_bits(n_lines, max_filter_bits)
-    found = checkpoint(suspects(docs, build_twice_filter(docs, bits, min_chars), bits, min_chars))
+    docs = docs.where("doc_id is not null")
+    found = checkpoint(suspects(docs, build_twice_filter(docs, bits, min_chars), bits, min_chars).distinct())
     confirmed = found.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
     # written out, so that both sides of the join are plain exchanges and a hot key can be split
     confirmed = checkpoint(confirmed.where(F.col("n_docs") >= min_docs).select("key", "keeper"))

@@ -5,16 +5,22 @@ from chronoline.llm import line_dedup as L
 
 
 def brute(rows, min_chars=40, min_docs=5):
-    held = {}
+    """The contract's own words: documents that hold a key are distinct ids, and each but the largest loses the line."""
+    holders = {}
     for doc_id, text in rows:
-        for key in {k for x in (text or "").encode().split(b"\n") if (k := L.line_key(x, min_chars)) is not None}:
-            held.setdefault(key, []).append(doc_id)
-    gone = {k: max(i for i in ids if i is not None) for k, ids in held.items() if len(ids) >= min_docs and any(i is not None for i in ids)}
+        for line in (text or "").split("\n"):
+            key = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+            if len(key) >= min_chars and doc_id is not None:
+                holders.setdefault(key, set()).add(doc_id)
     out = []
     for doc_id, text in rows:
-        lines = (text or "").encode().split(b"\n")
-        kept = [x for x in lines if (k := L.line_key(x, min_chars)) is None or k not in gone or doc_id is None or doc_id >= gone[k]]
-        out.append((doc_id, len(lines), len(lines) - len(kept), b"\n".join(kept).decode()))
+        lines, kept = (text or "").split("\n"), []
+        for line in lines:
+            key = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+            ids = holders.get(key, set())
+            if len(ids) < min_docs or doc_id is None or doc_id == max(ids):
+                kept.append(line)
+        out.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=repr)
 
 
@@ -53,3 +59,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert ran(out) == brute(rows)
     assert set(odd_docs.columns) - {"n_lines"} <= set(out.columns)
     assert L.dedup_lines(no_docs).count() == 0
+
+
+def test_repeated_and_missing_ids_are_counted_as_the_contract_says(spark):
+    line = "a line of more than forty characters that several rows hold"
+    rows = [(1, line)] * 4 + [(2, line), (None, line), (None, line)]  # two documents hold it
+    assert all(r["n_dropped"] == 0 for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    rows += [(3, line), (4, line), (5, line), (5, "other\n" + line)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(70)  # over MERGE_FAN tasks
+    out = ran(L.dedup_lines(df))
+    assert out == brute(rows) and sum(r[2] for r in out) == 7
