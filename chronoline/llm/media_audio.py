@@ -4,8 +4,9 @@ A payload is stored losslessly as an 8-bit mono WAV; features are computed from
 stored bytes read back: polyphase resampling to half the rate, overlapped Hann frames, a
 log-mel filterbank, and a segmentation of the frame energy with hysteresis (a
 segment opens at the high threshold and closes under the low one). Frames are laid into
-tensors of the one shape ``TENSOR_SHAPE`` (the last is padded with the floor value), each with
-the time span that it covers; ``as_tensor_array`` views them as Arrow fixed-shape tensors.
+tensors of the one shape ``TENSOR_SHAPE`` (the last is padded with the floor value). They are stored in the column
+``tensors`` as an Arrow IPC stream of a fixed-shape tensor column with the time span that each covers
+(``store_tensors``, ``load_tensors``), so a reader gets shape, names and spans from the bytes alone.
 
 Signals are read in blocks of fixed length whatever their size, so equal bytes give
 equal features and memory stays bounded.
@@ -152,17 +153,18 @@ def analyse(media: bytes) -> dict:
     seconds = HOP / out_rate
     spans = [(k * TENSOR_FRAMES * seconds, min(len(mel), (k + 1) * TENSOR_FRAMES) * seconds) for k in range(n)]
     segments = [(a * seconds, b * seconds) for a, b in hysteresis(energy)]
-    return {"payload": payload, "n_frames": len(mel), "tensors": tensors.reshape(n, -1), "spans": spans, "segments": segments}
+    return {"payload": payload, "n_frames": len(mel), "tensors": tensors.reshape(n, -1), "spans": spans, "segments": segments, "mean_db": mel.mean(axis=0, dtype=np.float64).astype(np.float32)}
 
 
 SPAN = pa.struct([("start", pa.float64()), ("end", pa.float64())])
 FIELDS = {
     "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(),
-    "media_sha256": pa.string(), "n_frames": pa.int64(), "tensors": pa.list_(pa.list_(pa.float32())), "spans": pa.list_(SPAN), "segments": pa.list_(SPAN),
+    "media_sha256": pa.string(), "n_frames": pa.int64(), "tensors": pa.binary(), "spans": pa.list_(SPAN), "segments": pa.list_(SPAN),
+    "mean_db": pa.list_(pa.float32()),
 }
 DDL = (
     "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_frames bigint, "
-    "tensors array<array<float>>, spans array<struct<start: double, end: double>>, segments array<struct<start: double, end: double>>"
+    "tensors binary, spans array<struct<start: double, end: double>>, segments array<struct<start: double, end: double>>, mean_db array<float>"
 )
 
 
@@ -175,21 +177,32 @@ def _row(text: str | None, keep_media: bool) -> dict:
     row = {
         "n_bytes": len(data), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-PAD_TO:]),
         "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "n_frames": found["n_frames"],
-        "tensors": found["tensors"], "spans": span(found["spans"]), "segments": span(found["segments"]),
+        "tensors": store_tensors(found["tensors"], found["spans"]), "spans": span(found["spans"]), "segments": span(found["segments"]), "mean_db": found["mean_db"],
     }
     return row | ({"media": media} if keep_media else {})
 
 
-def _nested(tensors: list[np.ndarray]) -> pa.Array:
-    """array<array<float>> built from flat buffers."""
-    flat = np.concatenate([t.ravel() for t in tensors]) if tensors else np.empty(0, np.float32)
-    size = TENSOR_FRAMES * N_MELS
-    inner = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, size, dtype=np.int32), pa.array(flat, pa.float32()))
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(t) for t in tensors])]).astype(np.int32), inner)
+TENSOR = pa.fixed_shape_tensor(pa.float32(), TENSOR_SHAPE, dim_names=["frame", "mel"])
+TENSOR_SCHEMA = pa.schema([("tensor", TENSOR), ("start", pa.float64()), ("end", pa.float64())])
+
+
+def store_tensors(tensors: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """Tensors (rows of flattened values) and their spans as an Arrow IPC stream."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel(), pa.float32()), TENSOR_FRAMES * N_MELS)
+    columns = [pa.ExtensionArray.from_storage(TENSOR, flat), *(pa.array([s[i] for s in spans], pa.float64()) for i in (0, 1))]
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, TENSOR_SCHEMA) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays(columns, schema=TENSOR_SCHEMA))
+    return out.getvalue()
+
+
+def load_tensors(stored: bytes) -> pa.Table:
+    """tensor (fixed shape), start and end of a stored stream."""
+    return pa.ipc.open_stream(stored).read_all()
 
 
 def media_features(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """doc_id, sizes and digests of payload and media, tensors with their time spans, and energy segments; one narrow map."""
+    """doc_id, sizes and digests of payload and media, stored tensors, their time spans, energy segments and mean level of each band; one narrow map."""
     source = docs.select("doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
     fields = FIELDS | ({"media": pa.binary()} if keep_media else {})
@@ -199,14 +212,7 @@ def media_features(docs: DataFrame, keep_media: bool = False) -> DataFrame:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
                 rows = [_row(t.as_py(), keep_media) for t in part.column(1)]
-                arrays = [_nested([r[k] for r in rows]) if k == "tensors" else pa.array([r[k] for r in rows], kind_) for k, kind_ in fields.items()]
+                arrays = [pa.array([r[k] for r in rows], kind_) for k, kind_ in fields.items()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", *fields])
 
     return source.mapInArrow(run, f"doc_id {kind}, {DDL}" + ", media binary" * keep_media)
-
-
-def as_tensor_array(tensors: pa.Array) -> pa.Array:
-    """Rows of flattened tensors as an Arrow fixed-shape tensor array."""
-    kind = pa.fixed_shape_tensor(pa.float32(), TENSOR_SHAPE, dim_names=["frame", "mel"])
-    storage = pa.FixedSizeListArray.from_arrays(tensors.flatten(), TENSOR_FRAMES * N_MELS)
-    return pa.ExtensionArray.from_storage(kind, storage)

@@ -39,9 +39,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_audio.media_features(table(spark, sf_dir, "documents"))
-    loud = F.round(F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end"] - s["start"]), 3)
-    tenths = F.transform("tensors", lambda t: F.transform(t, lambda v: F.bround(v * 10).cast("int")))
-    feature = F.concat_ws(":", F.col("n_frames"), F.size("tensors"), F.size("segments"), loud, F.hex(F.xxhash64(tenths)))
+    seconds = lambda spans: F.transform(spans, lambda s: F.concat(F.round(s["start"], 3).cast("string"), F.lit("-"), F.round(s["end"], 3).cast("string")))
+    shown = {
+        "frames": F.col("n_frames"), "span": F.element_at(seconds("spans"), -1), "tensors": F.size("spans"), "stored": F.lower(F.hex(F.xxhash64("tensors"))),
+        "mean_db": F.array_join(F.transform("mean_db", lambda v: F.bround(v, 1).cast("string")), ","), "segments": F.array_join(seconds("segments"), ","),
+    }
+    feature = F.concat_ws(" ", *(F.concat(F.lit(f"{name}="), value.cast("string")) for name, value in shown.items()))
     digests = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
     return found.select(*digests, feature.alias("feature"))
 

@@ -2,7 +2,6 @@ import hashlib
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from chronoline.llm import media_audio as M
 
@@ -34,17 +33,43 @@ def test_payload_round_trip_and_odd_rows(odd_docs, no_docs):
         assert M.decode_wav(bytes(r["media"]))[0] == payload and len(payload) % 64 == 0
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest()
-        assert all(len(t) == M.TENSOR_FRAMES * M.N_MELS for t in r["tensors"]) and len(r["spans"]) == len(r["tensors"])
+        stored = M.load_tensors(bytes(r["tensors"]))
+        assert stored.schema.field("tensor").type.shape == list(M.TENSOR_SHAPE) and stored.num_rows == len(r["spans"])
+        assert list(zip(stored["start"].to_pylist(), stored["end"].to_pylist())) == [(s["start"], s["end"]) for s in r["spans"]]
     assert M.media_features(no_docs).count() == 0
 
 
-def test_tensor_view():
+def test_stored_tensors_are_read_back():
     found = M.analyse(M.encode_wav(M.pad_payload(b"some text " * 2000)))
-    array = M.as_tensor_array(pa.array(list(found["tensors"]), pa.list_(pa.float32())))
-    assert array.type.shape == list(M.TENSOR_SHAPE) and len(array) == len(found["spans"])
+    table = M.load_tensors(M.store_tensors(found["tensors"], found["spans"]))
+    assert np.array_equal(table["tensor"].combine_chunks().to_numpy_ndarray().reshape(-1), found["tensors"].ravel())
     assert found["spans"][0][0] == 0 and found["spans"][-1][1] == pytest.approx(found["n_frames"] * M.HOP / 4000)
 
 
+def slow_log_mel(x, rate):
+    """Frame by frame and filter by filter, with the transform written out."""
+    n = max(1, 1 + -(-(len(x) - M.FRAME) // M.HOP))
+    x = np.concatenate([x, np.zeros(n * M.HOP + M.FRAME)])
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * k / (M.N_MELS + 1) / 2595) - 1) for k in range(M.N_MELS + 2)]
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(M.FRAME // 2 + 1), np.arange(M.FRAME)) / M.FRAME)
+    rows = []
+    for k in range(n):
+        frame = x[k * M.HOP : k * M.HOP + M.FRAME] * np.hanning(M.FRAME)
+        power, row = np.abs(wave @ frame) ** 2, []
+        for low, middle, high in zip(edges, edges[1:], edges[2:]):
+            hertz = np.arange(M.FRAME // 2 + 1) * rate / M.FRAME
+            row.append(sum(p * min((h - low) / (middle - low), (high - h) / (high - middle)) for p, h in zip(power, hertz) if low < h < high))
+        rows.append(10 * np.log10(np.maximum(row, 1e-10)))
+    return np.array(rows)
+
+
+@pytest.mark.parametrize("n", [1, 200, 257, 2000])
+def test_log_mel_equals_the_slow_form(n):
+    x = np.random.default_rng(n).standard_normal(n).astype(np.float32)
+    assert np.allclose(M.log_mel(x, 4000)[0], slow_log_mel(x, 4000), atol=2e-2)
+
+
 @pytest.mark.parametrize("n", [65536, 65600, 131072, 200_000, 65536 * 3 + 64])
 def test_blocks_equal_the_whole_signal(n):
     r = np.random.default_rng(n)
