@@ -2,8 +2,10 @@
 
 An Aho-Corasick automaton finds every strict and soft term of a URL in one
 pass; a hit counts only where neither neighbour is a letter or a digit. One
-strict term, or ``soft_needed`` distinct soft terms, reject the URL. A rule that
-fits takes precedence over the vocabulary.
+strict term rejects the URL, and so do distinct soft terms whose weights add up to
+``SOFT_NEEDED``; a plural counts with its singular, once. A rule that
+fits takes precedence over the vocabulary. ``load_vocabulary`` reads a list of any size
+from a file; the automaton is built once on the driver and broadcast.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule, and is judged by the vocabulary over what text there is (null: no
@@ -23,9 +25,56 @@ from pyspark.sql import functions as F
 
 from chronoline.llm.common import ascii_lower
 
-STRICT_TERMS = ("casino", "casinos", "porn", "porno", "xxx", "viagra", "cialis", "escort", "escorts", "jackpot", "warez", "hentai")
-SOFT_TERMS = ("bet", "betting", "bonus", "cheap", "deal", "deals", "discount", "free", "loan", "loans", "pills", "pill", "poker", "sex", "slots", "win", "winner", "replica", "torrent")
-SOFT_NEEDED = 2
+#: Terms that reject alone. Fixed values.
+STRICT_TERMS = tuple(
+    "bestiality bukkake cam4 camgirl camgirls casino casinos cialis creampie cumshot deepfake escort escorts fleshlight gangbang hentai hookup "
+    "jackpot keygen levitra milf milfs nude nudes onlyfans payday porn porno pornos pornstar redtube roulette slotmachine sportsbook stripper "
+    "tramadol viagra warez webcamsex xhamster xnxx xvideos xxx youporn".split()
+)
+#: Terms that reject together, with their weights. Fixed values.
+SOFT_TERMS = {
+    **dict.fromkeys(
+        "adult affiliate bet betting bingo bonus cash cheap cheats clickbait coupon crack cracked credit crypto dating deal diet discount download free "
+        "gamble gambling giveaway herbal hot kinky loan lottery lucky mature mortgage naked offer pharmacy pill poker popunder promo proxy "
+        "refinance replica sale sex sexy singles slots spin stake teen torrent unblocked vape vip voyeur wager weightloss win winner".split(),
+        1.0,
+    ),
+    **dict.fromkeys("blackjack fetish gambler lolita sexcam steroids".split(), 1.5),
+    **dict.fromkeys("best buy click online shop top".split(), 0.5),
+}
+SOFT_NEEDED = 2.0
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Strict terms, and soft terms with their weights; all lower-case letters, digits and inner marks."""
+
+    strict: frozenset[str]
+    soft: dict[str, float]
+
+    def spellings(self) -> dict[str, tuple[str, float]]:
+        """Each spelling with its term and weight, infinite for strict terms."""
+        plurals = {term + "s": (term, weight) for term, weight in self.soft.items()}
+        return plurals | {term: (term, weight) for term, weight in self.soft.items()} | {term: (term, float("inf")) for term in self.strict}
+
+
+VOCABULARY = Vocabulary(frozenset(STRICT_TERMS), SOFT_TERMS)
+
+
+def load_vocabulary(path: str) -> Vocabulary:
+    """Lines of a term, and of a soft term its weight behind a tab; empty lines and lines from # on are left out."""
+    strict, soft = set(), {}
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            term, _, weight = line.rstrip("\n").partition("\t")
+            term = term.strip().lower()
+            if not term or term.startswith("#"):
+                continue
+            if weight.strip():
+                soft[term] = float(weight)
+            else:
+                strict.add(term)
+    return Vocabulary(frozenset(strict), soft)
 
 
 @dataclass(frozen=True)
@@ -72,26 +121,24 @@ def longest_rule(rules: tuple[Rule, ...], host: Column, path: Column) -> tuple[C
     return text, verdict
 
 
-def build_automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+def build_automaton(vocabulary: Vocabulary) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
-    for term in soft:
-        automaton.add_word(term, (term, False))
-    for term in strict:
-        automaton.add_word(term, (term, True))
+    for spelling, (term, weight) in vocabulary.spellings().items():
+        automaton.add_word(spelling, (len(spelling), term, weight))
     automaton.make_automaton()
     return automaton
 
 
-def hits(automaton: ahocorasick.Automaton, url: str | None) -> tuple[set[str], set[str]]:
-    """Distinct strict and soft terms that stand alone in the URL."""
+def hits(automaton: ahocorasick.Automaton, url: str | None) -> tuple[int, float]:
+    """Number of distinct strict terms that stand alone in the URL, and weight of the distinct soft ones."""
     text = (url or "").lower()
-    strict: set[str] = set()
-    soft: set[str] = set()
-    for end, (term, is_strict) in automaton.iter(text):
-        begin = end - len(term) + 1
+    met: dict[str, float] = {}
+    for end, (length, term, weight) in automaton.iter(text):
+        begin = end - length + 1
         if (begin == 0 or not _alnum(text[begin - 1])) and (end + 1 == len(text) or not _alnum(text[end + 1])):
-            (strict if is_strict else soft).add(term)
-    return strict, soft
+            met[term] = weight
+    soft = [w for w in met.values() if w != float("inf")]
+    return len(met) - len(soft), sum(soft)
 
 
 def _alnum(c: str) -> bool:
@@ -103,34 +150,36 @@ def judge_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: tuple[Rule, ...] = RULES,
-    strict: tuple[str, ...] = STRICT_TERMS,
-    soft: tuple[str, ...] = SOFT_TERMS,
-    soft_needed: int = SOFT_NEEDED,
+    vocabulary: Vocabulary = VOCABULARY,
+    soft_needed: float = SOFT_NEEDED,
 ) -> DataFrame:
-    """id, url, host, path, rule, verdict, strict_hits, soft_hits; one narrow map, no shuffle."""
+    """id, url, host, path, rule, verdict, strict_hits, soft_weight; one narrow map, no shuffle."""
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    shared = pages.sparkSession.sparkContext.broadcast(build_automaton(vocabulary))  # bounded by the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(strict, soft)
+        automaton = shared.value
         for batch in batches:
             found = [hits(automaton, url) for url in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64())],
-                names=["page_id", "url", "strict_hits", "soft_hits"],
+                [batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([w for _, w in found], pa.float64())],
+                names=["page_id", "url", "strict_hits", "soft_weight"],
             )
 
     kind = source.schema["page_id"].dataType.simpleString()
-    counted = source.mapInArrow(count, f"page_id {kind}, url string, strict_hits bigint, soft_hits bigint")
+    counted = source.mapInArrow(count, f"page_id {kind}, url string, strict_hits bigint, soft_weight double")
     counted = counted.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     text, verdict = longest_rule(rules, F.col("host"), F.col("path"))
-    rejected = (F.col("strict_hits") >= 1) | (F.col("soft_hits") >= soft_needed)
+    rejected = (F.col("strict_hits") >= 1) | (F.col("soft_weight") >= soft_needed)
     by_terms = F.when(rejected, F.lit("block")).otherwise(F.lit("allow"))
-    return counted.select("page_id", "url", "host", "path", text.alias("rule"), F.coalesce(verdict, by_terms).alias("verdict"), "strict_hits", "soft_hits")
+    return counted.select("page_id", "url", "host", "path", text.alias("rule"), F.coalesce(verdict, by_terms).alias("verdict"), "strict_hits", "soft_weight")
 
 
-def oracle(rules: tuple[Rule, ...] = RULES, strict: tuple[str, ...] = STRICT_TERMS, soft: tuple[str, ...] = SOFT_TERMS, soft_needed: int = SOFT_NEEDED) -> str:
+def oracle(rules: tuple[Rule, ...] = RULES, vocabulary: Vocabulary = VOCABULARY, soft_needed: float = SOFT_NEEDED) -> str:
     alone = r"regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){}($|[^a-z0-9])')::bigint"
-    total = lambda terms: " + ".join(alone.format(t) for t in terms)
+    strict = " + ".join(alone.format(t) for t in sorted(vocabulary.strict))
+    spelt = lambda t: f"({t}|{t}s)" if t + "s" not in vocabulary.strict and t + "s" not in vocabulary.soft else t
+    soft = " + ".join(f"{w} * {alone.format(spelt(t))}" for t, w in sorted(vocabulary.soft.items()) if t not in vocabulary.strict)
     fit = lambda r: f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')"
     ordered = sorted(rules, key=lambda r: (-len(r.text), r.text))
     pick = lambda what: "case " + " ".join(f"when {fit(r)} then '{what(r)}'" for r in ordered) + " end"
@@ -139,8 +188,8 @@ with split as (
   select page_id,
          translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path,
-         {total(strict)} as strict_hits, {total(soft)} as soft_hits
+         {strict} as strict_hits, {soft} as soft_weight
   from pages)
 select page_id, host, path, {pick(lambda r: r.text)} as rule,
-       coalesce({pick(lambda r: r.verdict)}, case when strict_hits >= 1 or soft_hits >= {soft_needed} then 'block' else 'allow' end) as verdict
+       coalesce({pick(lambda r: r.verdict)}, case when strict_hits >= 1 or soft_weight >= {soft_needed} then 'block' else 'allow' end) as verdict
 from split"""
