@@ -5,10 +5,12 @@
 2. By Cauchy-Schwarz a unit with a cosine of ``threshold`` or more must hold one of a
    template's *anchor* terms, its heaviest ones: without them the rest of the template is
    too light. Only texts and lines with an anchor are scored; the filter is exact.
-3. Each line (a header) and each whole text (a licence file) is scored against
+3. Each line and each paragraph of several lines (headers, also wrapped over comment lines) and
+   each whole text (a licence file) is scored against
    every template inside one projection: sorted tokens give term counts, and a
    cosine is a sum over them. Words outside the vocabulary only lengthen the unit.
-4. A file without a licence of its own takes that of the licence file in its nearest
+4. A file without a licence of its own takes that of the licence file (by its name; with
+   ``notices_give`` also of any file that opens with a notice) in its nearest
    ancestor directory: directories are reduced first, join on their ancestors' paths, and
    files join their directory's answer.
 
@@ -17,7 +19,7 @@ All steps are DataFrame functions; no Python code runs in tasks.
 Defined cases: null and empty texts have no licence of their own; a null path is
 the root directory; rows with one doc_id are one file (its best unit counts for
 each of its rows); rows with a null doc_id stay and only inherit; ties of a score
-go to the template whose name sorts first, ties of a directory to the smallest doc_id; other
+go to the licence whose name sorts first, "All rights reserved." counts only where nothing else fits, ties of a directory to the smallest doc_id; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,22 +33,99 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Licence notices as their publishers word them.
+_GNU = (
+    "This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by "
+    "the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+)
+_NO_WARRANTY = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+)
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_BSD_3 = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+_BSD_END = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+    "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+    "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+    "included in all copies or substantial portions of the Software."
+)
+_MIT_END = (
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A '
+    "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and "
+    "this permission notice appear in all copies."
+)
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License "
+    "at http://www.apache.org/licenses/LICENSE-2.0"
+)
+#: Licence notices, headers and short licence texts as their publishers word them. What follows # tells texts of one licence apart.
 TEMPLATES = {
+    "AGPL-3.0": _GNU.format(mark=":", comma=",", name="Affero General Public License", version="3"),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Apache-2.0#first": _APACHE.split(" You may obtain")[0],
+    "Apache-2.0#notice": _APACHE,
+    "Apache-2.0#title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "BSD-2-Clause": _BSD_2,
+    "BSD-2-Clause#text": _BSD_2 + _BSD_END,
+    "BSD-3-Clause": _BSD_2.split(" 1. ")[0],
+    "BSD-3-Clause#conditions": _BSD_2 + _BSD_3,
+    "BSD-3-Clause#named": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD-3-Clause#released": "Released under the BSD license.",
+    "BSD-3-Clause#text": _BSD_2 + _BSD_3 + _BSD_END,
     "CC-BY-4.0": "This work is licensed under CC BY 4.0.",
+    "CC-BY-4.0#notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0#notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0.",
+    "GPL-2.0": _GNU.format(mark=";", comma=";", name="General Public License", version="2"),
+    "GPL-2.0#title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0#header": _GNU.format(mark=":", comma=",", name="General Public License", version="3"),
+    "GPL-3.0#notice": _GNU.format(mark=":", comma=",", name="General Public License", version="3") + " " + _NO_WARRANTY.format(name="General Public License"),
+    "GPL-3.0#title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "ISC": _ISC,
+    "ISC#text": _ISC + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+    "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+    "Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
-    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MIT#first": _MIT.split(" (the")[0],
+    "MIT#notice": _MIT,
+    "MIT#text": _MIT + _MIT_END,
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0#notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+    "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
     "proprietary": "All rights reserved.",
-}
+}
+#: Says little by itself: counts only where no other template fits.
+LAST_RESORT = "proprietary"
+#: Paragraphs: runs of lines with a letter or digit, so that comment marks do not join them.
+PARAGRAPH_BREAK = r"\n[^a-zA-Z0-9\n]*\n"
 THRESHOLD = 0.7
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Weight of a word outside the vocabulary, each occurrence for itself.
@@ -101,7 +180,11 @@ def _literal_map(pairs: Iterable[tuple[str, float]]) -> Column:
     return F.create_map(*(x for t, w in pairs for x in (F.lit(t), F.lit(w))))
 
 
-def score_units(units: DataFrame, idf: dict[str, float], weights: dict[str, dict[str, float]]) -> DataFrame:
+def licence_of(template: str) -> str:
+    return template.partition("#")[0]
+
+
+def score_units(units: DataFrame, idf: dict[str, float], weights: dict[str, dict[str, float]], threshold: float = THRESHOLD) -> DataFrame:
     """Adds licence and score of the best template to units with a column unit; one projection after another, no array twice."""
     vocab = sorted(idf)
     keep = units.columns
@@ -123,15 +206,17 @@ def score_units(units: DataFrame, idf: dict[str, float], weights: dict[str, dict
     for k, (name, terms) in enumerate(sorted(weights.items())):
         own = _literal_map(terms.items())
         dot = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at(own, x["t"]), F.lit(0.0)))
-        scored.append(F.struct(F.round(dot / F.greatest("_norm", F.lit(1e-12)), 6).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("licence")))
-    best = F.array_max(F.array(*scored))
+        scored.append(F.struct(F.round(dot / F.greatest("_norm", F.lit(1e-12)), 6).alias("score"), F.lit(-k).alias("order"), F.lit(licence_of(name)).alias("licence")))
+    fits = F.filter("_scored", lambda s: (s["score"] >= threshold) & (s["licence"] != LAST_RESORT))
+    best = F.coalesce(F.array_max(fits), F.array_max("_scored"))
+    df = df.withColumn("_scored", F.array(*scored))
     return df.withColumn("_best", best).select(*keep, F.col("_best.licence").alias("licence"), F.col("_best.score").alias("score"))
 
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, licence, score, opens: the best header line or whole text of each file that reaches the threshold.
+    """doc_id, licence, score, opens: the best line, paragraph or whole text of each file that reaches the threshold.
 
-    opens is true if the best unit is the first line with text, or the whole text.
+    opens is true if the best unit is the first line with text, the first paragraph or the whole text.
     """
     idf = inverse_frequencies(files, vocabulary(templates))
     weights = template_weights(idf, templates)
@@ -140,12 +225,14 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict
     near = files.select("doc_id", "text").where(F.col("doc_id").isNotNull() & holds(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.btrim(line)) > 0)
     numbered = F.transform(lines, lambda line, i: F.struct(line.alias("unit"), (i == 0).alias("opens")))
-    candidates = F.filter(numbered, lambda u: holds(u["unit"]))
+    pieces = F.transform(F.split("text", PARAGRAPH_BREAK), lambda piece, i: F.struct(piece.alias("unit"), (i == 0).alias("opens")))
+    several = F.filter(pieces, lambda u: F.contains(u["unit"], F.lit("\n")))
+    candidates = F.filter(F.concat(numbered, several), lambda u: holds(u["unit"]))
     units = near.select("doc_id", F.explode(F.array_append(candidates, F.struct(F.col("text").alias("unit"), F.lit(True).alias("opens")))).alias("u"))
-    scored = score_units(units.select("doc_id", "u.unit", "u.opens"), idf, weights)
+    scored = score_units(units.select("doc_id", "u.unit", "u.opens"), idf, weights, threshold)
     tops = scored.groupBy("doc_id", "licence").agg(F.max(F.struct("score", "opens")).alias("top"))
     tops = tops.where(F.col("top.score") >= threshold)  # after the aggregate: a filter under it would repeat the projections
-    ranked = tops.groupBy("doc_id").agg(F.min_by(F.struct("licence", "top"), F.struct(-F.col("top.score"), F.col("licence"))).alias("b"))
+    ranked = tops.groupBy("doc_id").agg(F.min_by(F.struct("licence", "top"), F.struct(F.col("licence") == LAST_RESORT, -F.col("top.score"), F.col("licence"))).alias("b"))
     return ranked.select("doc_id", F.col("b.licence").alias("licence"), F.col("b.top.score").alias("score"), F.col("b.top.opens").alias("opens"))
 
 
@@ -160,13 +247,13 @@ def ancestors(directory: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), above))
 
 
-def scan_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES, notices_give: bool = False) -> DataFrame:
     """files(doc_id, path, text) -> doc_id, directory, licence, score, origin ('own', 'inherited' or null), from_directory."""
     own = own_licences(files, threshold, templates)
     name = F.lower(F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1))
     places = files.select("doc_id", directory_of(F.col("path")).alias("directory"), name.rlike(LICENCE_FILE).alias("named"))
     placed = places.join(own, "doc_id", "left")
-    givers = placed.where(F.col("licence").isNotNull() & (F.col("opens") | F.col("named")))
+    givers = placed.where(F.col("licence").isNotNull() & (F.col("named") | (F.col("opens") & notices_give)))
     given = givers.groupBy("directory").agg(F.min_by("licence", F.struct(-F.col("score"), F.col("doc_id"))).alias("given"))
     up = placed.select("directory").distinct().select("directory", F.explode(ancestors(F.col("directory"))).alias("above"))
     met = up.join(given.withColumnRenamed("directory", "above"), "above")
@@ -181,25 +268,27 @@ def scan_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dic
 
 
 def oracle(threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES) -> str:
-    rows = ", ".join(f"('{name}', '{t}', {n})" for name, terms in template_terms(templates).items() for t, n in terms.items())
+    rows = ", ".join(f"('{name}', '{licence_of(name)}', '{t}', {n})" for name, terms in template_terms(templates).items() for t, n in terms.items())
     return rf"""
 with files as (select doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || (doc_id // 1000) as directory, coalesce(text, '') as text from documents),
-tt(licence, term, n) as (values {rows}),
+tt(template, licence, term, n) as (values {rows}),
 vocab as (select distinct term from tt),
 df as (select term, count(*) as df from (select distinct doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) as term from files) join vocab using (term) group by term),
 idf as (select term, ln((1 + (select count(*) from files))::double / (1 + coalesce(df, 0))) + 1 as idf from vocab left join df using (term)),
-tn as (select licence, sqrt(sum(n * idf * n * idf)) as norm from tt join idf using (term) group by licence),
-tw as (select licence, term, n * idf / norm as w from tt join idf using (term) join tn using (licence)),
+tn as (select template, sqrt(sum(n * idf * n * idf)) as norm from tt join idf using (term) group by template),
+tw as (select template, licence, term, n * idf / norm as w from tt join idf using (term) join tn using (template)),
 lines as (select doc_id, line, row_number() over (partition by doc_id order by i) = 1 as opens
           from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from files)
           where length(trim(line)) > 0),
-units as (select row_number() over () as u, * from (select doc_id, line as unit, opens from lines union all select doc_id, text, true from files)),
+units as (select row_number() over () as u, * from (select doc_id, line as unit, opens from lines union all select doc_id, text, true from files
+              union all select doc_id, piece, i = 1 from (select doc_id, unnest(regexp_split_to_array(text, '{PARAGRAPH_BREAK}')) as piece,
+                        generate_subscripts(regexp_split_to_array(text, '{PARAGRAPH_BREAK}'), 1) as i from files) where contains(piece, chr(10)))),
 tok as (select u, unnest(regexp_extract_all(lower(unit), '{TERM}')) as term from units),
 cnt as (select u, term, count(*) as n from tok group by u, term),
 nrm as (select u, sqrt(sum(case when idf is null then n * {OTHER_WEIGHT**2} else n * idf * n * idf end)) as norm from cnt left join idf using (term) group by u),
-dot as (select u, licence, sum(n * idf * w) as dot from cnt join idf using (term) join tw using (term) group by u, licence),
+dot as (select u, template, licence, sum(n * idf * w) as dot from cnt join idf using (term) join tw using (term) group by u, template, licence),
 sc as (select doc_id, licence, opens, round(dot / norm, 6) as score from dot join nrm using (u) join units using (u)),
-hit as (select doc_id, licence, score, opens, row_number() over (partition by doc_id order by score desc, licence, opens desc) as r from sc where score >= {threshold}),
+hit as (select doc_id, licence, score, opens, row_number() over (partition by doc_id order by licence = '{LAST_RESORT}', score desc, licence, opens desc) as r from sc where score >= {threshold}),
 own as (select * from hit where r = 1),
 placed as (select files.doc_id, directory, licence, score, opens from files left join own on files.doc_id = own.doc_id),
 given as (select directory, licence as given from (select *, row_number() over (partition by directory order by score desc, doc_id) as r from placed where licence is not null and opens) where r = 1),

@@ -23,7 +23,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
     block = F.floor(F.col("doc_id") / 1000).cast("string")
     path = F.concat_ws("/", part("source"), part("lang"), block, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return license_scan.scan_licences(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+    return license_scan.scan_licences(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"), notices_give=True)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

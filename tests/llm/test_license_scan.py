@@ -24,7 +24,7 @@ def files(spark):
 
 
 def test_nearest_ancestor_inheritance(files):
-    got = {r["doc_id"]: (r["licence"], r["origin"], r["from_directory"]) for r in L.scan_licences(files).collect()}
+    got = {r["doc_id"]: (r["licence"], r["origin"], r["from_directory"]) for r in L.scan_licences(files, notices_give=True).collect()}
     assert got == {
         1: ("MIT", "own", "repo"), 2: ("GPL-3.0", "inherited", "repo/a"), 3: ("Apache-2.0", "own", "repo/a/b"), 4: ("Apache-2.0", "inherited", "repo/a/b"), 5: (None, None, None),
         6: ("GPL-3.0", "own", "repo/a"), 7: (None, None, None), 8: ("Apache-2.0", "inherited", "repo/a/b"), None: ("MIT", "inherited", "repo"),
@@ -47,3 +47,28 @@ def test_scores_and_anchors_equal_brute_force(spark, files):
 def test_plan_is_native(files):
     plan = L.scan_licences(files)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+TREE = {
+    "mit/LICENSE": "MIT License\n\nCopyright (c) 2020 Jo Doe\n\n" + L._MIT + "\n\n" + L._MIT_END, "mit/src/a.c": "int main() { return 0; }",
+    "bsd/COPYING": "Copyright (c) 2019, Foo Inc. All rights reserved.\n\n" + L._BSD_2 + L._BSD_3 + "\n" + L._BSD_END, "bsd/x.c": "// nothing here",
+    "bsd2/LICENSE.txt": "Copyright 2018 Bar\n\n" + L._BSD_2 + "\n\n" + L._BSD_END,
+    "isc/LICENSE": "ISC License\n\nCopyright (c) 2021, Baz\n\n" + L.TEMPLATES["ISC#text"],
+    "gpl/main.py": "#!/usr/bin/env python\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+    "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nimport os\n" + "x = 1\n" * 50,
+    "gpl/old.c": "/* This program is free software; you can redistribute it and/or modify it under\n * the terms of the GNU General Public License as published by the Free Software\n"
+    " * Foundation; either version 2 of the License, or (at your option) any later\n * version.\n */\nint x;",
+    "apache/A.java": "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n"
+    " * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\nclass A {}",
+    "own/p.txt": "(c) Foo Inc. All rights reserved.", "both/p.txt": "Copyright 2020 Foo. All rights reserved.\nReleased under the BSD license.\n" + "text of it\n" * 9,
+    "un/UNLICENSE.md": L.TEMPLATES["Unlicense"], "plain/readme.md": "how to build and run it", "gpl/none.py": "print(1)",
+}
+
+
+def test_real_shaped_files(spark):
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(TREE.items())], "doc_id bigint, path string, text string")
+    got = {p: None for p in TREE} | {list(TREE)[r["doc_id"]]: (r["licence"], r["origin"]) for r in L.scan_licences(df).collect()}
+    own = {"mit/LICENSE": "MIT", "bsd/COPYING": "BSD-3-Clause", "bsd2/LICENSE.txt": "BSD-2-Clause", "isc/LICENSE": "ISC", "gpl/main.py": "GPL-3.0", "gpl/old.c": "GPL-2.0",
+           "apache/A.java": "Apache-2.0", "own/p.txt": "proprietary", "both/p.txt": "BSD-3-Clause", "un/UNLICENSE.md": "Unlicense"}
+    inherited = {"mit/src/a.c": ("MIT", "inherited"), "bsd/x.c": ("BSD-3-Clause", "inherited")}
+    assert got == {p: inherited.get(p, (own[p], "own") if p in own else (None, None)) for p in TREE}
