@@ -3,10 +3,12 @@
 A logistic score over ratios of the whole text minimises the non-negative unbiased
 risk  ``pi * P[l(+)] + max(0, U[l(-)] - pi * P[l(-)])``: P averages over trusted
 positives (label 1 of the learning folds), U over the text of every document, and
-``pi`` is the class prior, estimated from the learning folds. With the logistic
-loss the unbiased risk is convex; damped Newton steps reduce it and stop where the
-negative part would fall under zero. Each step is one pass over the feature table
-(a few dozen bytes a document); only sums of fixed size reach the driver.
+``pi`` is the class prior. It is estimated from P and U alone (``estimate_prior``): U holds P with weight pi, so for no
+region does pi exceed the ratio of U's share to P's; the least ratio over the upper tails of a linear score that
+separates P from U, each share moved by one standard error, is taken. With the logistic
+loss the unbiased risk is convex; damped Newton steps reduce it, and a step that takes the
+negative part under zero is corrected by climbing that part's own gradient. Each step is one pass over the feature table
+(a few dozen bytes a document); only sums of fixed size reach the driver. Labels 0 are never read.
 
 Labels come only from documents with crc32(doc_id as text) mod 5 other than 0.
 Labels, language, source and id are never inputs of a score.
@@ -14,7 +16,7 @@ Labels, language, source and id are never inputs of a score.
 Defined cases: null and empty texts have all-zero ratios and get the score of
 that point; several labels of one document count as 1 if any is 1; null labels are
 left out; a null id has no label and counts as held out; repeated rows are scored
-one by one; without any label 1 to learn from, every score is the prior (0.5 without labels);
+one by one; without any label 1 to learn from every score is 0.5;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,9 +35,13 @@ from chronoline.llm.common import checkpoint
 
 FOLDS = 5
 THRESHOLD = 0.3
-RIDGE = 1e-3
+RIDGE = 3e-3
 MAX_STEPS = 25
 TOLERANCE = 1e-5
+PRIOR_BINS = 512
+PRIOR_LIMITS = (0.05, 0.95)
+#: Tails with a smaller share of P say too little about the prior.
+LEAST_TAIL = 0.1
 
 FEATURES = (
     "bias", "symbols", "pipes", "shouts", "upper", "digits", "ends", "commas", "short_words", "word_chars",
@@ -99,64 +105,111 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def _sums(table: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
-    """Over one pass: U gradient and Hessian, U[l(-)], P[l(+)] and P[l(-)] as sums."""
-    d = len(weights)
+@dataclass(frozen=True)
+class Sums:
+    """Over one pass, at some weights: U gradient and Hessian, P gradient of l(-), and sums of U[l(-)], P[l(+)] and P[l(-)]."""
+
+    gradient: np.ndarray
+    hessian: np.ndarray
+    positive_gradient: np.ndarray
+    u_neg: float
+    p_pos: float
+    p_neg: float
+
+
+def part_sums(x: np.ndarray, positive: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """All sums of one batch as one vector."""
+    z = x @ weights
+    s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    losses = [np.logaddexp(0, z).sum(), np.logaddexp(0, -z[positive]).sum(), np.logaddexp(0, z[positive]).sum()]
+    return np.concatenate([s @ x, ((x * (s * (1 - s))[:, None]).T @ x).ravel(), s[positive] @ x[positive], losses])
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(d + d * d + 3)
+
+def _total(table: DataFrame, size: int, part) -> np.ndarray:
+    """Sum over all rows of part(x, positive), a vector of so many values: as many rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
         for batch in batches:
-            if not len(batch):
-                continue
-            x, positive = _matrix(batch.column(0)), np.asarray(batch.column(1).fill_null(0)) == 1
-            z = x @ weights
-            s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            total[:d] += s @ x
-            total[d : d + d * d] += ((x * (s * (1 - s))[:, None]).T @ x).ravel()
-            total[-3:] += np.logaddexp(0, z).sum(), np.logaddexp(0, -z[positive]).sum(), np.logaddexp(0, z[positive]).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["k", "v"])
-
-    rows = table.select("x", "y").mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # d * d + d + 3 rows
-    total = np.zeros(d + d * d + 3)
-    for row in rows:
+            if len(batch):
+                total += part(_matrix(batch.column(0)), np.asarray(batch.column(1).fill_null(0)) == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], names=["k", "v"])
+
+    total = np.zeros(size)
+    for row in table.select("x", "y").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         total[row["k"]] = row["v"]
-    return total[:d], total[d : d + d * d].reshape(d, d), *total[-3:].tolist()
+    return total
+
+
+def _sums(table: DataFrame, weights: np.ndarray) -> Sums:
+    d = len(weights)
+    t = _total(table, 2 * d + d * d + 3, lambda x, positive: part_sums(x, positive, weights))
+    return Sums(t[:d], t[d : d + d * d].reshape(d, d), t[d + d * d : 2 * d + d * d], *t[-3:].tolist())
+
+
+def tail_bound(u: np.ndarray, p: np.ndarray) -> float:
+    """Least ratio of U's share to P's over the upper tails of two histograms, each moved by one standard error."""
+    tail_u, tail_p = (np.cumsum(h[::-1]) / max(1.0, h.sum()) for h in (u, p))
+    error = lambda share, n: np.sqrt(share * (1 - share) / max(1.0, n))
+    ratio = (tail_u + error(tail_u, u.sum())) / np.maximum(tail_p - error(tail_p, p.sum()), 1e-12)
+    return float(np.clip(ratio[tail_p >= LEAST_TAIL].min(initial=1.0), *PRIOR_LIMITS))
+
+
+def estimate_prior(table: DataFrame, mean_p: np.ndarray, n: int) -> float:
+    """Class prior of U, from P and U alone: the tail bound along the direction that separates their means best."""
+    at_zero = _sums(table, np.zeros(len(mean_p)))  # there the gradient is half the sum, the Hessian a quarter of the second moments
+    mean_u = 2 * at_zero.gradient / n
+    spread = 4 * at_zero.hessian / n - np.outer(mean_u, mean_u) + 1e-4 * np.eye(len(mean_u))
+    direction = np.linalg.solve(spread, mean_p - mean_u)
+    middle, width = float(mean_u @ direction), max(1e-9, float(np.sqrt(direction @ spread @ direction)))
+
+    def histograms(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        z = np.clip((x @ direction - middle) / width, -7.99, 7.99)
+        bins = ((z + 8) * (PRIOR_BINS / 16)).astype(np.int64)
+        return np.concatenate([np.bincount(bins, minlength=PRIOR_BINS), np.bincount(bins[positive], minlength=PRIOR_BINS)])
+
+    both = _total(table, 2 * PRIOR_BINS, histograms)
+    return tail_bound(both[:PRIOR_BINS], both[PRIOR_BINS:])
 
 
 def fit(table: DataFrame) -> Model:
     """Non-negative PU risk over training_table rows."""
     d = len(FEATURES)
     counts = table.agg(
-        F.count("*").alias("u"), F.count("y").alias("n"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"),
+        F.count("*").alias("u"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"),
         *[F.avg(F.when(F.col("y") == 1, F.get("x", F.lit(i)))).alias(f"m{i}") for i in range(d)],
     ).first()
-    prior = (counts["p"] + 1) / (counts["n"] + 2) if counts["n"] else 0.5
-    start = np.zeros(d)
-    start[0] = np.log(prior / (1 - prior))
     if not counts["p"]:
-        return Model(tuple(start.tolist()), prior)
+        return Model((0.0,) * d, 0.5)
+    n_u, n_p = counts["u"], counts["p"]
     mean_p = np.array([counts[f"m{i}"] for i in range(d)])
+    prior = estimate_prior(table, mean_p, n_u)
     ridge = np.full(d, RIDGE)
     ridge[0] = RIDGE / 10
 
-    def state(w):
-        g, h, u_neg, p_pos, p_neg = _sums(table, w)
-        negative = u_neg / counts["u"] - prior * p_neg / counts["p"]
-        risk = prior * p_pos / counts["p"] + max(0.0, negative) + 0.5 * float(ridge @ (w * w))
-        return risk, negative, g / counts["u"] - prior * mean_p + ridge * w, h / counts["u"] + np.diag(ridge)
-
-    w, damp = start, 1.0
-    risk, _, gradient, hessian = state(w)
+    def state(w: np.ndarray) -> tuple:
+        """Risk, its negative part, and what the next step and a correction need."""
+        t = _sums(table, w)
+        negative = t.u_neg / n_u - prior * t.p_neg / n_p
+        risk = prior * t.p_pos / n_p + max(0.0, negative) + 0.5 * float(ridge @ (w * w))
+        climb = t.gradient / n_u - prior * t.positive_gradient / n_p
+        return risk, negative, climb, t.gradient / n_u - prior * mean_p + ridge * w, t.hessian / n_u + np.diag(ridge)
+
+    w, damp = np.zeros(d), 1.0
+    w[0] = np.log(prior / (1 - prior))
+    now = state(w)
     for _ in range(MAX_STEPS):
-        tried = w - damp * np.linalg.solve(hessian, gradient)
+        tried = w - damp * np.linalg.solve(now[4], now[3])
         new = state(tried)
-        if new[1] < 0 or new[0] > risk + 1e-12:  # the unbiased negative part must stay non-negative
+        if new[1] < 0:  # the correction: back to where the negative part is zero, along its own gradient
+            tried = tried - 1.01 * new[1] * new[2] / max(1e-12, float(new[2] @ new[2]))
+            new = state(tried)
+        if new[1] < 0 or new[0] > now[0] + 1e-12:
             damp /= 4
             if damp < 1e-3:
                 break
             continue
-        gain, w = risk - new[0], tried
-        risk, _, gradient, hessian = new
+        gain, w, now = now[0] - new[0], tried, new
         damp = min(1.0, damp * 2)
         if gain < TOLERANCE:
             break

@@ -32,3 +32,32 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert Q.score_documents(odd_docs, some).count() == odd_docs.count()
     assert Q.score_documents(no_docs, some).count() == 0
     assert Q.keep_documents(odd_docs, none).columns == odd_docs.columns
+
+
+def test_sums_equal_the_risk_and_its_derivatives():
+    r = np.random.default_rng(2)
+    x, positive, w = r.standard_normal((40, 5)), r.random(40) < 0.3, r.standard_normal(5) / 3
+    loss = lambda w: sum(np.log1p(np.exp(xi @ w)) for xi in x)
+    own = lambda w, sign: sum(np.log1p(np.exp(sign * (xi @ w))) for xi, p in zip(x, positive) if p)
+    d, step = 5, 1e-5
+    slope = lambda f, w: np.array([(f(w + step * e) - f(w - step * e)) / (2 * step) for e in np.eye(d)])
+    t = Q.part_sums(x, positive, w)
+    assert np.allclose(t[:d], slope(loss, w), atol=1e-5) and np.allclose(t[d + d * d : 2 * d + d * d], slope(lambda v: own(v, 1), w), atol=1e-5)
+    curve = np.array([slope(lambda v, i=i: slope(loss, v)[i], w) for i in range(d)])
+    assert np.allclose(t[d : d + d * d].reshape(d, d), curve, atol=1e-3)
+    assert np.allclose(t[-3:], [loss(w), own(w, -1), own(w, 1)])
+
+
+def test_prior_from_positives_and_unlabelled(spark):
+    r = np.random.default_rng(4)
+    for prior in (0.3, 0.6, 0.85):
+        u = np.concatenate([r.normal(2, 1, int(20_000 * prior)), r.normal(-3, 1, int(20_000 * (1 - prior)))])
+        p = r.normal(2, 1, 4000)
+        edges = np.linspace(-8, 8, 257)
+        assert abs(Q.tail_bound(np.histogram(u, edges)[0].astype(float), np.histogram(p, edges)[0].astype(float)) - prior) < 0.05
+
+
+def test_labels_of_bad_documents_are_never_read(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    scores = [{r["doc_id"]: round(r["score"], 9) for r in Q.score_documents(docs, x).collect()} for x in (labels, labels.where("quality = 1"))]
+    assert scores[0] == scores[1]
