@@ -184,3 +184,17 @@ def parse_tagged_lyrics(lyrics: DataFrame, key: str, text: str) -> DataFrame:
     packed = timed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ms", "at", "_nth", "lyric", shown.alias("shown")))).alias("rows"))
     texts = packed.select(key, F.array_join(F.transform("rows", lambda r: r["shown"]), "\n").alias("synced"), F.array_join(F.transform("rows", lambda r: r["lyric"]), "\n").alias("plain"))
     return texts.join(heads, key, "left")
+
+
+def write_charts(charts: DataFrame, path: str, name: str = "name") -> None:
+    """Writes charts(name, text) as text, one folder a name (escaped as Spark escapes partition values), replacing what is there.
+
+    A text keeps its line ends; Spark adds one line end behind it. Null texts are left out.
+    """
+    ends = F.regexp_replace("text", "\n$", "")
+    charts.where(F.col("text").isNotNull()).select(F.col(name).alias("name"), ends.alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """charts(name, text) as write_charts wrote them."""
+    return spark.read.text(path, wholetext=True).select(F.col("name").cast("string").alias("name"), F.col("value").alias("text"))

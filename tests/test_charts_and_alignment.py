@@ -104,3 +104,10 @@ def test_lines_take_their_words(spark):
     got = A.assign_lines(words, lines, "s").orderBy("pos").collect()
     assert [r["line_no"] for r in got] == [0, 0, 0, 0, 2, 2, 2, 2, 2, None, None]
     assert [r["pos"] for r in got if r["dropped"]] == [4] and len(got) == len(heard)
+
+
+def test_written_charts_are_read_back(spark, tmp_path):
+    rows = [("a song", "#TITLE:x\n: 0 1 2 la\nE\n"), ("b/ö", "E\n"), ("none", None)]
+    C.write_charts(spark.createDataFrame(rows, "name string, text string"), str(tmp_path / "out"))
+    got = sorted((r["name"], r["text"]) for r in C.read_written(spark, str(tmp_path / "out")).collect())
+    assert got == [(n, t) for n, t in rows if t is not None]
