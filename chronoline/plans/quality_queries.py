@@ -87,11 +87,12 @@ select user_id, count(*) as total_words, count(*) filter (where n > 0) as words_
 
 
 def mean_scores(spark, sf_dir):
-    score = F.when(F.col("event_type") == "purchase", F.col("value"))
-    return seconds(spark, sf_dir).groupBy("user_id").agg(F.round(Q.mean_score(score), 4).alias("mean_score"))
+    """Whole values of purchases as scores, so that sums are exact in any order."""
+    score = F.when(F.col("event_type") == "purchase", F.floor("value"))
+    return seconds(spark, sf_dir).groupBy("user_id").agg(F.round(Q.mean_score(score), 6).alias("mean_score"))
 
 
-MEAN_SQL = f"with {SECONDS} select user_id, round(coalesce(avg(value) filter (where event_type = 'purchase'), 0), 4) as mean_score from t group by user_id"
+MEAN_SQL = f"with {SECONDS} select user_id, round(coalesce(avg(floor(value)) filter (where event_type = 'purchase'), 0), 6) as mean_score from t group by user_id"
 
 
 def window_words(spark, sf_dir):
