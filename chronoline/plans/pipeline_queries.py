@@ -9,6 +9,7 @@ from chronoline.operators import alignment as A
 from chronoline.operators import calibration as K
 from chronoline.operators import ordered as O
 from chronoline.operators import phrasing as P
+from chronoline.operators import retiming as RT
 from chronoline.plans import pipelines
 from chronoline.plans.estimator_queries import _candidates, seconds
 from chronoline.plans.sequence_queries import EV, KEY, ORDER, PRE, UPTO, WIN, events
@@ -96,7 +97,7 @@ def retimed_words(spark, sf_dir):
     ev = seconds(spark, sf_dir).withColumn("pos", (F.row_number().over(O.over(KEY, ORDER)) - 1).cast("long"))
     words = ev.select(F.col("user_id").alias("song_id"), "pos", F.concat("event_type", (F.floor("value") % 9).cast("string")).alias("text"), (F.col("s") / 3600).alias("start"), (F.col("s") / 3600 + 0.1).alias("end"))
     heard = words.where("pos % 3 <> 0").withColumns({"start": F.col("start") + 2.0 + (F.col("pos") % 5) * 0.05, "end": F.col("end") + 2.1})
-    out = pipelines.retime_words(words, heard)
+    out = RT.retime(words, heard)
     return out.select("song_id", "pos", F.round("new_start", 4).alias("new_start"), F.round("new_end", 4).alias("new_end"), "placed")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chronoline.functions import scalars as S
 from chronoline.functions.syllables import syllables
-from chronoline.operators import alignment as A
 from chronoline.operators import calibration as K
 from chronoline.operators import estimators as E
 from chronoline.operators import ordered as O
@@ -16,23 +15,34 @@ from chronoline.operators import ranges as R
 from chronoline.session import checkpoint
 
 KEY = ["song_id"]
-VALIDATE_SECONDS = 0.3
 
 
 def generate_entries(words: DataFrame, notes: DataFrame) -> DataFrame:
-    """words(song_id, pos, text, start, end, line_id) and notes(song_id, pos, start, end, pitch, confidence, protected) -> chart entries.
+    """words(song_id, pos, text, start, end, line_id, dropped) and notes(song_id, pos, start, end, pitch, confidence, protected) -> chart entries.
 
-    Words without notes take the nearest note's pitch; syllables are merged or padded with ~ to a word's notes.
+    Words form groups by the gaps between them and whole notes go to groups; only inside a group of several words are notes cut at the words'
+    boundaries. Words without notes take the nearest note's pitch; syllables are merged or padded with ~ to a word's notes. Dropped words, if there is
+    such a column, hold their notes and give no entry.
     """
-    spans = words.withColumn("word_id", F.concat_ws("|", "song_id", "pos"))
-    bounds = R.zone_boundaries(spans, KEY, ["pos"], "start", "end")
+    spans = O.gap_groups(words, KEY, ["pos"], "start", "end", O.LINE_GAP, "grp").withColumn("word_id", F.concat_ws("|", "song_id", "pos"))
+    ends = F.min_by("start", "pos").alias("start"), F.max_by("end", "pos").alias("end"), F.count("*").alias("n_words")
+    groups = spans.groupBy("song_id", "grp").agg(*ends)
     named = notes.withColumn("note_id", F.concat_ws("|", "song_id", "pos"))
-    pieces = R.split_by_boundaries(named, bounds, KEY, "start", "end", "note_id")
-    pieces = pieces.select("song_id", F.col("zone").alias("pos"), "piece_start", "piece_end", "pitch", "confidence", (F.col("protected") & F.col("first_piece")).alias("protected"))
-    pieces = O.drop_leading_slivers(pieces, ["song_id", "pos"], ["piece_start", "piece_end"], "piece_start", "piece_end", "protected")
-    held = pieces.groupBy("song_id", "pos").agg(F.sort_array(F.collect_list(F.struct("piece_start", "piece_end", "pitch", "confidence"))).alias("notes"))
-    numbered = spans.withColumn("_at", (F.row_number().over(O.over(KEY, ["pos"])) - 1).cast("long"))
-    joined = checkpoint(numbered.join(held.withColumnRenamed("pos", "_at"), ["song_id", "_at"], "left").withColumn("parts", syllables("text")))
+    zoned = R.assign_zones(named, R.zone_boundaries(groups, KEY, ["grp"], "start", "end"), KEY, ["pos"], "start", "end", "note_id").withColumnRenamed("zone", "grp")
+    zoned = zoned.join(groups.select("song_id", "grp", "n_words"), ["song_id", "grp"])
+    own = ["song_id", "grp"]
+    pieces = R.split_by_boundaries(zoned, R.zone_boundaries(spans, own, ["pos"], "start", "end"), own, "start", "end", "note_id")
+    whole = (F.col("protected") & F.col("first_piece")) | (F.col("n_words") == 1)
+    pieces = pieces.select(*own, F.col("zone").alias("pos"), "piece_start", "piece_end", "pitch", "confidence", whole.alias("protected"))
+    pieces = O.drop_leading_slivers(pieces, [*own, "pos"], ["piece_start", "piece_end"], "piece_start", "piece_end", "protected")
+    held = pieces.groupBy(*own, "pos").agg(F.sort_array(F.collect_list(F.struct("piece_start", "piece_end", "pitch", "confidence"))).alias("notes"))
+    if "dropped" in words.columns:
+        spans = spans.withColumn("_gone", F.coalesce("dropped", F.lit(False)))
+    else:
+        spans = spans.withColumn("_gone", F.lit(False))
+    numbered = spans.withColumn("_at", (F.row_number().over(O.over(own, ["pos"])) - 1).cast("long"))
+    joined = numbered.where("not _gone").join(held.withColumnRenamed("pos", "_at"), [*own, "_at"], "left")
+    joined = checkpoint(joined.withColumn("parts", syllables("text")))
     lone = R.nearest_note(joined.where("notes is null").drop("notes"), notes, KEY, "start", "end", "pos", ["pitch", "confidence"], "word_id")
     n = F.size("notes")
     texts = F.when(F.size("parts") > n, S.chunks_of(F.col("parts"), n)).otherwise(F.concat("parts", F.array_repeat(F.lit("~"), n - F.size("parts"))))
@@ -48,25 +58,6 @@ def generate_entries(words: DataFrame, notes: DataFrame) -> DataFrame:
     return P.with_breaks(P.free_breaks(rows, KEY, ["pos", "k"]), KEY, ["pos", "k"])
 
 
-def retime_words(words: DataFrame, heard: DataFrame, tolerance: float = VALIDATE_SECONDS) -> DataFrame:
-    """words and heard (song_id, pos, text, start, end) -> song_id, pos, start, end, new_start, new_end, placed.
-
-    One calibration a song, then every word that was heard within the tolerance of where it should be is an anchor with its
-    own length; the others move with the anchors around them.
-    """
-    ours, theirs = (df.withColumn("norm", S.normalize_word(F.col("text"))) for df in (words, heard))
-    matched = A.match_words(ours, theirs, KEY, "norm", "norm")
-    at = matched.join(heard.select("song_id", F.col("pos").alias("right_pos"), F.col("start").alias("heard_start")), ["song_id", "right_pos"]).select("song_id", F.col("left_pos").alias("pos"), "heard_start")
-    both = checkpoint(words.join(at, ["song_id", "pos"], "left").withColumn("row_id", F.concat_ws("|", "song_id", "pos")))
-    found = both.where("heard_start is not null").withColumn("delta", F.col("heard_start") - F.col("start"))
-    _, anchors = K.calibrate(found, KEY, "pos", ["pos"], "start", "delta")
-    expected = E.interpolate(both, anchors, KEY, "start", "row_id").select("row_id", "fitted")
-    placed = both.join(expected, "row_id", "left").withColumn("fitted", F.coalesce("fitted", "start"))
-    ok = F.abs(F.col("heard_start") - F.col("fitted")) <= tolerance
-    placed = placed.withColumns({"a": F.when(ok, F.col("heard_start")), "ae": F.when(ok, F.col("heard_start") + F.col("end") - F.col("start"))})
-    return O.interpolate_anchors(placed, KEY, ["pos"], "start", "end", "a", "ae").select("song_id", "pos", "start", "end", "new_start", "new_end", "placed")
-
-
 def refresh_pitches(notes: DataFrame, frames: DataFrame, frame_seconds: float, bucket: float = 5.0) -> DataFrame:
     """notes(song_id, pos, start, end, pitch) and frames(song_id, t, midi, conf, voiced) -> notes with new_pitch in the old octave.
 
