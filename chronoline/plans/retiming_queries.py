@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoline.operators import ordered as O
 from chronoline.operators import retiming as RT
+from chronoline.operators import score_placement as SP
 from chronoline.operators import score_reference as SR
 from chronoline.plans.estimator_queries import SECONDS, seconds
 from chronoline.plans.sequence_queries import KEY, ORDER, WIN
@@ -151,11 +152,47 @@ select song_id, pos::bigint as pos, k::int as k, case when k > 0 or pos % 3 = 2
   (case when used then p + case when up > 6 then up - 12 else up end else p end)::bigint as pitch, k = 0 and pos % 3 <> 2 as is_word_start from o"""
 
 
+def _score_song(spark, sf_dir):
+    """Every event a score's word of one note of a quarter, a lyric without one word in four."""
+    words = _words(spark, sf_dir)
+    note = F.struct(F.col("pos").cast("double").alias("off"), F.lit(1.0).alias("qlen"), (F.lit(60) + F.col("pos") % 12).alias("midi"), F.col("text").alias("text"))
+    score = words.select("song_id", "pos", "text", F.col("text").alias("norm"), F.col("pos").cast("double").alias("offset"), F.array(note).alias("syllables"))
+    held = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ")
+    lines = words.where("pos % 4 <> 1").groupBy("song_id", "line_no").agg(F.min("start").alias("t"), held.alias("line"))
+    return words, score, lines
+
+
+def score_lines(spark, sf_dir):
+    _, score, lines = _score_song(spark, sf_dir)
+    return SP.lines_for_words(score, lines).select("song_id", "pos", "line_no", F.coalesce("clean_text", F.lit("")).alias("clean_text"))
+
+
+SCORE_LINES_SQL = f"""
+with {_WORDS}, i as (select user_id as song_id, row_number() {WIN} - 1 as pos, md5(event_id::varchar) as text from t),
+l as (select song_id, pos, case when pos % 4 <> 1 then line_no end as line, case when pos % 4 <> 1 then text else '' end as clean_text from w join i using (song_id, pos))
+select song_id, pos::bigint as pos, last_value(line ignore nulls) over (partition by song_id order by pos rows between unbounded preceding and current row) as line_no, clean_text from l"""
+
+
+def score_placement(spark, sf_dir):
+    words, score, lines = _score_song(spark, sf_dir)
+    heard = _heard(words).withColumns({"start": F.col("start") - 2, "end": F.col("end") - 2.1})
+    placed = SP.place_words(SP.lines_for_words(score, lines), lines, heard)
+    return placed.select("song_id", "pos", "placed_by", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "pushed")
+
+
+def score_charts(spark, sf_dir):
+    words, score, lines = _score_song(spark, sf_dir)
+    heard = _heard(words).withColumns({"start": F.col("start") - 2, "end": F.col("end") - 2.1})
+    made, _ = SP.chart_from_score(score, lines, heard)
+    return made.select("song_id", "pos", "k", "text", "pitch", F.round("start", 4).alias("start"), "is_word_start")
+
+
 QUERIES = {
     "heard_words": heard_words, "heard_in_lines": heard_in_lines, "near_lines": near_lines, "line_chunks": line_chunks, "windowed_words": windowed_words,
     "validated_words": validated_words, "chart_timing": chart_timing, "score_pitches": score_pitches, "score_words": score_words,
+    "score_lines": score_lines, "score_placement": score_placement, "score_charts": score_charts,
 }
 ORACLES = {
     "heard_words": HEARD_SQL, "heard_in_lines": HEARD_LINES_SQL, "near_lines": NEAR_SQL, "line_chunks": CHUNKS_SQL, "chart_timing": CHART_SQL,
-    "score_pitches": SCORE_SQL, "score_words": SCORE_WORDS_SQL,
+    "score_pitches": SCORE_SQL, "score_words": SCORE_WORDS_SQL, "score_lines": SCORE_LINES_SQL,
 }
