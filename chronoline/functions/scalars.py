@@ -213,3 +213,8 @@ def candidate_score(instrumental: Column, plain: Column, synced: Column, duratio
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     near = F.when(duration != 0, F.greatest(F.lit(0.0), 1 - F.abs(duration - wanted) / window))
     return F.when(F.coalesce(instrumental, F.lit(False)) | empty(plain) | empty(synced), F.lit(-1.0)).otherwise(F.coalesce(near, F.lit(0.0)))
+
+
+def without_duet_mark(text: Column) -> Column:
+    """Names and chart lines without the duet mark of a title."""
+    return F.replace(text, F.lit(" [DUET]"), F.lit(""))

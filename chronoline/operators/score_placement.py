@@ -120,7 +120,7 @@ def lines_for_words(words: DataFrame, lines: DataFrame) -> DataFrame:
         F.when(how("pair"), token["raw"]).when(how("slots"), F.get("_slots", F.col("k"))).alias("clean_text"), F.when(how("candidate"), token["raw"]).alias("candidate"),
         F.when(grouped, F.col("i0")).alias("grp"), F.when(grouped, token["raw"]).alias("grp_text"),
         F.when(how("syllables"), by_parts).when(how("cut"), F.col("_target")).cast(_SHOWN).alias("shown"),
-        F.when(how("cut"), recut).cast(words.schema["syllables"].dataType).alias("_recut"),
+        F.when(how("cut"), recut).cast(words.schema["syllables"].dataType.simpleString()).alias("_recut"),
     )
     found = changed.unionByName(same, allowMissingColumns=True)
     out = words.join(found, ["song_id", "pos"], "left").join(lines.select("song_id").distinct(), "song_id", "left_semi")

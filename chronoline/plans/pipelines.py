@@ -17,12 +17,12 @@ from chronoline.session import checkpoint
 KEY = ["song_id"]
 
 
-def generate_entries(words: DataFrame, notes: DataFrame) -> DataFrame:
-    """words(song_id, pos, text, start, end, line_id, dropped) and notes(song_id, pos, start, end, pitch, confidence, protected) -> chart entries.
+def notes_of_words(words: DataFrame, notes: DataFrame) -> DataFrame:
+    """words that are not dropped, with notes (null for none), parts (their syllables) and n_words of their group.
 
     Words form groups by the gaps between them and whole notes go to groups; only inside a group of several words are notes cut at the words'
-    boundaries. Words without notes take the nearest note's pitch; syllables are merged or padded with ~ to a word's notes. Dropped words, if there is
-    such a column, hold their notes and give no entry.
+    boundaries. words(song_id, pos, text, start, end, line_id, dropped), notes(song_id, pos, start, end, pitch, confidence, protected); dropped words, if
+    there is such a column, hold their notes all the same.
     """
     spans = O.gap_groups(words, KEY, ["pos"], "start", "end", O.LINE_GAP, "grp").withColumn("word_id", F.concat_ws("|", "song_id", "pos"))
     ends = F.min_by("start", "pos").alias("start"), F.max_by("end", "pos").alias("end"), F.count("*").alias("n_words")
@@ -42,7 +42,25 @@ def generate_entries(words: DataFrame, notes: DataFrame) -> DataFrame:
         spans = spans.withColumn("_gone", F.lit(False))
     numbered = spans.withColumn("_at", (F.row_number().over(O.over(own, ["pos"])) - 1).cast("long"))
     joined = numbered.where("not _gone").join(held.withColumnRenamed("pos", "_at"), [*own, "_at"], "left")
-    joined = checkpoint(joined.withColumn("parts", syllables("text")))
+    return joined.join(groups.select(*own, "n_words"), own).withColumn("parts", syllables("text"))
+
+
+def generation_counts(held: DataFrame) -> DataFrame:
+    """song_id and counts over notes_of_words: words, with and without notes, with more notes than syllables and the reverse, notes, words in cut groups."""
+    n, parts, has = F.coalesce(F.size("notes"), F.lit(0)), F.size("parts"), F.col("notes").isNotNull()
+    count = lambda c: F.sum(c.cast("long"))
+    return held.groupBy("song_id").agg(
+        F.count("*").alias("words"), count(has).alias("with_notes"), count(~has).alias("without_notes"), count(has & (parts < n)).alias("melismas"),
+        count(has & (parts > n)).alias("merged"), F.sum(F.when(has, n).otherwise(0)).alias("notes"), count(F.col("n_words") > 1).alias("in_cut_groups"),
+    )
+
+
+def generate_entries(words: DataFrame, notes: DataFrame) -> DataFrame:
+    """words and notes as of notes_of_words -> chart entries.
+
+    Words without notes take the nearest note's pitch; syllables are merged or padded with ~ to a word's notes.
+    """
+    joined = checkpoint(notes_of_words(words, notes))
     lone = R.nearest_note(joined.where("notes is null").drop("notes"), notes, KEY, "start", "end", "pos", ["pitch", "confidence"], "word_id")
     n = F.size("notes")
     texts = F.when(F.size("parts") > n, S.chunks_of(F.col("parts"), n)).otherwise(F.concat("parts", F.array_repeat(F.lit("~"), n - F.size("parts"))))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronoline.functions import scalars as S
+from chronoline.operators import alignment as A
 from chronoline.operators import ordered as O
 from chronoline.operators import retiming as RT
 from chronoline.operators import score_placement as SP
 from chronoline.operators import score_reference as SR
 from chronoline.plans.estimator_queries import SECONDS, seconds
 from chronoline.plans.sequence_queries import KEY, ORDER, WIN
+from chronoline.session import table
+from chronoline.sources import listings as L
 
 DAY = 86400.0
 
@@ -187,12 +191,62 @@ def score_charts(spark, sf_dir):
     return made.select("song_id", "pos", "k", "text", "pitch", F.round("start", 4).alias("start"), "is_word_start")
 
 
+def unheard_runs(spark, sf_dir):
+    """Two reference words in five are not heard; a run's texts are joined."""
+    words = _words(spark, sf_dir)
+    tokens = words.select("song_id", "pos", F.col("text").alias("norm"), F.col("text").alias("original"), "line_no")
+    runs = A.unheard_runs(words.where("pos % 5 not in (2, 3)"), tokens, "song_id")
+    return runs.select("song_id", "run", F.round("window_start", 4).alias("window_start"), F.round("window_end", 4).alias("window_end"), F.array_join("texts", " ").alias("texts"))
+
+
+UNHEARD_SQL = f"""
+with {_WORDS}, i as (select user_id as song_id, row_number() {WIN} - 1 as pos, md5(event_id::varchar) as text from t),
+h as (select *, row_number() over (partition by song_id order by pos) - 1 as i, max(d + 0.2) over (partition by song_id) as total from w where pos % 5 not in (2, 3)),
+g as (select song_id, pos // 5 * 3 + 2 as run, string_agg(text, ' ' order by pos) as texts from i where pos % 5 in (2, 3) group by all)
+select g.song_id, run::bigint as run, round(least(b.d + 0.2, b.total), 4) as window_start, round(least(coalesce(a.d, b.total), b.total), 4) as window_end, texts
+from g join h b on b.song_id = g.song_id and b.i = run - 1 left join h a on a.song_id = g.song_id and a.i = run"""
+
+
+def spliced_words(spark, sf_dir):
+    """Every second run comes back from the aligner as one word."""
+    words = _words(spark, sf_dir).withColumn("confidence", F.lit(0.9))
+    kept = words.where("pos % 5 not in (2, 3)")
+    back = words.where("pos % 10 = 2").withColumns({"run": F.floor(F.col("pos") / 5) * 3 + 2, "k": F.lit(0)})
+    return A.splice_runs(kept, back, "song_id").select("song_id", "pos", "text", "recovered")
+
+
+SPLICED_SQL = f"""
+with {_WORDS}, i as (select user_id as song_id, row_number() {WIN} - 1 as pos, md5(event_id::varchar) as text from t)
+select song_id, row_number() over (partition by song_id order by pos) - 1 as pos, text, pos % 5 = 2 as recovered from i where pos % 5 not in (2, 3) or pos % 10 = 2"""
+
+
+def first_releases(spark, sf_dir):
+    """Orders as releases of their customers; urgent ones have no date."""
+    date = F.when(F.col("o_orderpriority") == "1-URGENT", "").otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    releases = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("release_id"), date.alias("date"))
+    return L.first_release(releases, "o_custkey")
+
+
+RELEASES_SQL = """
+select o_custkey, arg_min(o_orderkey::varchar, (o_orderpriority = '1-URGENT', case when o_orderpriority <> '1-URGENT' then o_orderdate::date end, o_orderkey)) as release_id from orders group by all"""
+
+
+def unmarked_names(spark, sf_dir):
+    names = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" [DUET]"), F.col("p_size").cast("string"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.without_duet_mark(names).alias("name"))
+
+
+UNMARKED_SQL = "select p_partkey, case when p_partkey % 3 = 0 then p_name || p_size::varchar else p_name end as name from part"
+
+
 QUERIES = {
     "heard_words": heard_words, "heard_in_lines": heard_in_lines, "near_lines": near_lines, "line_chunks": line_chunks, "windowed_words": windowed_words,
     "validated_words": validated_words, "chart_timing": chart_timing, "score_pitches": score_pitches, "score_words": score_words,
     "score_lines": score_lines, "score_placement": score_placement, "score_charts": score_charts,
+    "unheard_runs": unheard_runs, "spliced_words": spliced_words, "first_releases": first_releases, "unmarked_names": unmarked_names,
 }
 ORACLES = {
     "heard_words": HEARD_SQL, "heard_in_lines": HEARD_LINES_SQL, "near_lines": NEAR_SQL, "line_chunks": CHUNKS_SQL, "chart_timing": CHART_SQL,
     "score_pitches": SCORE_SQL, "score_words": SCORE_WORDS_SQL, "score_lines": SCORE_LINES_SQL,
+    "unheard_runs": UNHEARD_SQL, "spliced_words": SPLICED_SQL, "first_releases": RELEASES_SQL, "unmarked_names": UNMARKED_SQL,
 }

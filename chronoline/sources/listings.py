@@ -165,3 +165,13 @@ def best_candidate(candidates: DataFrame, key: list[str], order: list) -> DataFr
     from pyspark.sql import Window
 
     return candidates.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def first_release(releases: DataFrame, key: str) -> DataFrame:
+    """key, release_id: the release with the earliest date (as text, the first by pos on ties), else the first one; releases(key, pos, release_id, date).
+
+    Releases without an id do not count, an empty date is none; keys without any have no row.
+    """
+    known = releases.where("release_id is not null and release_id <> ''").withColumn("date", F.nullif("date", F.lit("")))
+    dated = F.min_by(F.when(F.col("date").isNotNull(), F.col("release_id")), F.when(F.col("date").isNotNull(), F.struct("date", "pos")))
+    return known.groupBy(key).agg(F.coalesce(dated, F.min_by("release_id", "pos")).alias("release_id"))

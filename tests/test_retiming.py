@@ -106,3 +106,23 @@ def test_whole_notes_go_to_groups_of_words(spark):
     out = pipelines.generate_entries(w, n).where("kind = 'syl'").orderBy("start").collect()
     # the first note is cut between one and two; sun takes its note from before the middle of the gap, whole, and the short one after it; gone was dropped
     assert [(r["text"], round(r["start"], 2), r["pitch"]) for r in out] == [("one", 0.0, 1), ("two", 0.56, 1), ("~", 1.2, 2), ("sun", 1.91, 3), ("~", 3.51, 4)]
+
+
+def test_unheard_words_come_back(spark):
+    words = spark.createDataFrame([("s", 3, "we", 1.0, 1.2), ("s", 7, "home", 4.0, 4.5), ("t", 0, "we", 0.0, 1.0)], "song_id string, pos long, text string, start double, end double")
+    tokens = spark.createDataFrame([("s", i, w, w.title(), i // 2) for i, w in enumerate("oh we go back home now".split())] + [("u", 0, "x", "X", 0)], "song_id string, pos long, norm string, original string, line_no long")
+    runs = {(r["song_id"], r["run"]): r for r in A.unheard_runs(words, tokens, "song_id").collect()}
+    assert {k: (r["window_start"], r["window_end"], r["texts"], r["line_nos"]) for k, r in runs.items()} == {
+        ("s", 0): (0.0, 1.0, ["Oh"], [0]), ("s", 1): (1.2, 4.0, ["Go", "Back"], [1, 1]), ("s", 2): (4.5, 4.5, ["Now"], [2]),
+    }
+    heard = words.selectExpr("*", "0.9 as confidence", "0L as line_no")
+    aligned = spark.createDataFrame([("s", 1, 1, "Back", 2.0, 2.5, 0.5, 1), ("s", 1, 0, "Go", 1.5, 2.0, 0.5, 1)], "song_id string, run long, k long, text string, start double, end double, confidence double, line_no long")
+    got = A.splice_runs(heard, aligned, "song_id").where("song_id = 's'").orderBy("pos").collect()
+    assert [(r["pos"], r["text"], r["recovered"]) for r in got] == [(0, "we", False), (1, "Go", True), (2, "Back", True), (3, "home", False)]
+
+
+def test_generation_counts(spark):
+    w = spark.createDataFrame([("s", 0, "one", 0.0, 0.5, 0), ("s", 1, "winter", 0.6, 1.0, 0), ("s", 2, "sun", 9.0, 9.4, 1)], "song_id string, pos long, text string, start double, end double, line_id long")
+    n = spark.createDataFrame([("s", 0, 0.0, 0.3, 1, 0.9, False), ("s", 1, 0.3, 0.5, 2, 0.9, False), ("s", 2, 0.6, 1.0, 3, 0.9, False)], "song_id string, pos long, start double, end double, pitch long, confidence double, protected boolean")
+    got = pipelines.generation_counts(pipelines.notes_of_words(w, n)).first().asDict()
+    assert got == {"song_id": "s", "words": 3, "with_notes": 2, "without_notes": 1, "melismas": 1, "merged": 1, "notes": 3, "in_cut_groups": 2}
