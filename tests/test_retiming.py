@@ -122,7 +122,7 @@ def test_unheard_words_come_back(spark):
 
 
 def test_generation_counts(spark):
-    w = spark.createDataFrame([("s", 0, "one", 0.0, 0.5, 0), ("s", 1, "winter", 0.6, 1.0, 0), ("s", 2, "sun", 9.0, 9.4, 1)], "song_id string, pos long, text string, start double, end double, line_id long")
+    w = spark.createDataFrame([("s", 0, "big", 0.0, 0.5, 0), ("s", 1, "winter", 0.6, 1.0, 0), ("s", 2, "sun", 9.0, 9.4, 1)], "song_id string, pos long, text string, start double, end double, line_id long")
     n = spark.createDataFrame([("s", 0, 0.0, 0.3, 1, 0.9, False), ("s", 1, 0.3, 0.5, 2, 0.9, False), ("s", 2, 0.6, 1.0, 3, 0.9, False)], "song_id string, pos long, start double, end double, pitch long, confidence double, protected boolean")
     got = pipelines.generation_counts(pipelines.notes_of_words(w, n)).first().asDict()
     assert got == {"song_id": "s", "words": 3, "with_notes": 2, "without_notes": 1, "melismas": 1, "merged": 1, "notes": 3, "in_cut_groups": 2}
