@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoline.operators.ordered import over
+from chronoline.operators.slopes import median_slopes
 
 #: The Krumhansl-Kessler key profiles, from C.
 MAJOR_PROFILE = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
@@ -37,15 +38,12 @@ def constant_calibration(candidates: DataFrame, key: list[str], order: list[str]
     return best.select(*key, F.when(ok, F.col("bucket").cast("double")).alias("offset"), F.col("share").alias("confidence"), "total", ok.alias("accepted"))
 
 
-def theil_sen(candidates: DataFrame, key: list[str], row_id: str, t: str, delta: str, tolerance: float = 1.5) -> DataFrame:
+def theil_sen(candidates: DataFrame, key: list[str], t: str, delta: str, tolerance: float = 1.5) -> DataFrame:
     """intercept, slope, inlier share: the medians of pairwise slopes and of intercepts.
 
-    All pairs of one sequence's lines are needed, so the pairs grow with the square of a sequence's own length, not of the table.
+    slopes.py finds the median slope without a row a pair.
     """
-    left = candidates.select(*key, F.col(row_id).alias("_i"), F.col(t).alias("_t1"), F.col(delta).alias("_d1"))
-    right = candidates.select(*key, F.col(row_id).alias("_j"), F.col(t).alias("_t2"), F.col(delta).alias("_d2"))
-    pairs = left.join(right, key).where((F.col("_i") < F.col("_j")) & (F.abs(F.col("_t2") - F.col("_t1")) >= 1e-6))
-    slopes = pairs.groupBy(*key).agg(F.median((F.col("_d2") - F.col("_d1")) / (F.col("_t2") - F.col("_t1"))).alias("slope"))
+    slopes = median_slopes(candidates, key, t, delta)
     both = candidates.join(slopes, key)
     fit = both.groupBy(*key).agg(F.median(F.col(delta) - F.col("slope") * F.col(t)).alias("intercept"), F.first("slope").alias("slope"))
     residual = F.abs(F.col(delta) - (F.col("intercept") + F.col("slope") * F.col(t)))

@@ -144,7 +144,7 @@ def prepared_lines(ours: DataFrame, theirs: DataFrame, heard: DataFrame, key: st
     met = A.reconcile_lines(ours, theirs, key).withColumnRenamed("our_line", "line_no").withColumn("row_id", F.concat_ws("|", key, "line_no"))
     met = checkpoint(met)
     found = A.line_candidates(heard, met.drop("row_id"), key).withColumn("row_id", F.concat_ws("|", key, "line_no"))
-    _, anchors = K.calibrate(found, [key], "row_id", ["line_no"], "t", "delta")
+    _, anchors = K.calibrate(found, [key], ["line_no"], "t", "delta")
     moved = E.interpolate(met, anchors, [key], "t", "row_id").where("fitted is not null").select("row_id", "fitted")
     return met.join(moved, "row_id").select(key, "line_no", F.col("fitted").alias("t"), "line")
 
@@ -169,7 +169,7 @@ def retime(words: DataFrame, heard: DataFrame, lines: DataFrame | None = None, s
     times = {"a": F.col("heard_start"), "ae": F.col("heard_end"), "source": F.when(F.col("heard_start").isNotNull(), "heard")}
     if strategy == "validate":
         drift = both.where("heard_start is not null").withColumn("delta", F.col("heard_start") - F.col("start"))
-        _, anchors = K.calibrate(drift, key, "row_id", ["pos"], "start", "delta")
+        _, anchors = K.calibrate(drift, key, ["pos"], "start", "delta")
         expected = E.interpolate(both, anchors, key, "start", "row_id").select("row_id", "fitted")
         both = both.join(expected, "row_id", "left").withColumn("fitted", F.coalesce("fitted", "start"))
         close = F.abs(F.col("heard_start") - F.col("fitted")) <= tolerance
@@ -208,7 +208,7 @@ def line_timing(ours: DataFrame, theirs: DataFrame, tokens: DataFrame, their_tok
     named = votes.select(key, F.col("left_line").alias("line_no"), F.col("right_line").alias("_their"))
     met = named.join(ours.select(key, "line_no", "start"), [key, "line_no"]).join(theirs.select(key, F.col("line_no").alias("_their"), "t"), [key, "_their"])
     met = checkpoint(met.withColumns({"delta": F.col("start") - F.col("t"), "row_id": F.concat_ws("|", key, "line_no")}))
-    summary, anchors = K.calibrate(met, [key], "row_id", ["line_no"], "t", "delta")
+    summary, anchors = K.calibrate(met, [key], ["line_no"], "t", "delta")
     fitted = E.interpolate(met, anchors, [key], "t", "row_id").where("fitted is not null").select("row_id", "fitted")
     residual = F.col("start") - F.col("fitted")
     lines = met.join(fitted, "row_id").select(key, "line_no", F.col("fitted").alias("expected"), residual.alias("residual"), (F.abs(residual) > tolerance).alias("flagged"))

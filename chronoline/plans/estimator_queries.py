@@ -126,7 +126,7 @@ select user_id, case when total >= 5 and agree / total >= 0.4 then b::double els
 
 
 def theil_sen(spark, sf_dir):
-    out = E.theil_sen(_candidates(spark, sf_dir), KEY, "event_id", "x", "delta")
+    out = E.theil_sen(_candidates(spark, sf_dir), KEY, "x", "delta")
     return out.select("user_id", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"), F.round("share", 6).alias("share"))
 
 

@@ -74,7 +74,7 @@ from c join b using (user_id) join kt p0 on p0.k = b.k and p0.pc = c.pc join kt
 
 
 def calibration_tiers(spark, sf_dir):
-    summary, anchors = K.calibrate(_candidates(spark, sf_dir), KEY, "event_id", ORDER, "x", "delta")
+    summary, anchors = K.calibrate(_candidates(spark, sf_dir), KEY, ORDER, "x", "delta")
     counted = anchors.groupBy(*KEY).agg(F.count("*").alias("anchors"))
     return summary.join(counted, KEY, "left").select("user_id", F.coalesce("kind", F.lit("")).alias("kind"), F.round("confidence", 6).alias("confidence"), F.coalesce("anchors", F.lit(0)).alias("anchors"))
 
