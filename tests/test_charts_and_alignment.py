@@ -1,3 +1,5 @@
+from difflib import SequenceMatcher
+
 from chronoline.functions import scalars as S
 from chronoline.operators import alignment as A
 from chronoline.operators import estimators as E
@@ -111,3 +113,12 @@ def test_written_charts_are_read_back(spark, tmp_path):
     C.write_charts(spark.createDataFrame(rows, "name string, text string"), str(tmp_path / "out"))
     got = sorted((r["name"], r["text"]) for r in C.read_written(spark, str(tmp_path / "out")).collect())
     assert got == [(n, t) for n, t in rows if t is not None]
+
+
+def test_fuzzy_equal_is_the_ratio(spark):
+    words = ["", "a", "ab", "love", "loves", "lover", "lo", "beloved", "lovelovelove", None]
+    pairs = [(a, b) for a in words for b in words]
+    for least in (0.5, 0.85, 0.0):
+        wanted = [None if None in p else p[0] == p[1] or ("" not in p and SequenceMatcher(None, *p).ratio() >= least) for p in pairs]
+        df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+        assert [r["f"] for r in df.select("i", A.fuzzy_equal(F.col("a"), F.col("b"), least).alias("f")).orderBy("i").collect()] == wanted
