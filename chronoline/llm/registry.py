@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoline.llm import bpe, html_extract, license_scan, line_dedup, media_audio, packing, quality_classifier, quality_rules, simhash, url_filter
+from chronoline.llm import bpe, divergence_audit, html_extract, license_scan, line_dedup, media_audio, packing, periodic_runs, quality_classifier, quality_rules, simhash, url_filter
 from chronoline.llm.common import table
 
 
@@ -75,6 +75,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    form = docs.select("doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(form))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_bpe": op9_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_divergence_audit": op11_divergence_audit,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +105,6 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_quality_rules": quality_rules.oracle(),
     "op8_url_filters": url_filter.oracle(),
+    "op11_divergence_audit": divergence_audit.oracle(),
+    "op12_periodic_runs": periodic_runs.ORACLE,
 }
