@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoline.llm import bpe, divergence_audit, html_extract, license_scan, line_dedup, media_audio, packing, periodic_runs, quality_classifier, quality_rules, simhash, url_filter
+from chronoline.llm import bpe, divergence_audit, html_extract, license_scan, line_dedup, media_audio, packing, periodic_runs, quality_classifier, quality_rules, set_join, simhash, url_filter
 from chronoline.llm.common import table
 
 
@@ -85,6 +85,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(form))
 
 
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join_sets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_divergence_audit": op11_divergence_audit,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_set_join": op13_set_join,
 }
 
 ORACLES: dict[str, str] = {
