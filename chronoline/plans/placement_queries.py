@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoline.functions import scalars as S
 from chronoline.operators import alignment as A
 from chronoline.operators import calibration as K
+from chronoline.operators import correlation as X
 from chronoline.operators import placement as P
 from chronoline.plans.estimator_queries import SECONDS, seconds
 from chronoline.plans.sequence_queries import KEY, ORDER, UPTO, WIN
@@ -145,6 +146,26 @@ g as (select l.song, l.hour - r.hour as lag, sum(l.c * r.c) as score from c l jo
 select song, lag::int as lag, score::bigint as score from (select *, row_number() over (partition by song order by score desc, lag) as k from g) where k = 1"""
 
 
+OFFSET_LAG = 7200
+#: Places of the tracks to a second of the query's offsets.
+OFFSET_RATE = 50.0
+
+
+def sound_offsets(spark, sf_dir):
+    """Levels a minute, five days of lag on either side, by blocks of transforms."""
+    ev = seconds(spark, sf_dir).select((F.col("user_id") % 10).alias("song"), F.floor(F.col("t_us") / 60000000).cast("long").alias("minute"), "event_type", F.round("value").cast("long").alias("level"))
+    track = lambda kind: ev.where(F.col("event_type") == kind)
+    found = X.best_lag_by_blocks(track("view"), track("purchase"), ["song"], "minute", "level", OFFSET_LAG, block=4096)
+    return found.select("song", "lag", F.col("score").cast("long").alias("score"), X.offset_seconds(F.col("lag"), OFFSET_RATE).alias("offset_seconds"))
+
+
+SOUND_OFFSETS_SQL = f"""
+with {SECONDS}, h as (select user_id % 10 as song, floor(t_us / 60000000)::bigint as place, event_type, round(value)::bigint as level from t where event_type in ('view', 'purchase') and value is not null),
+c as (select *, level * count(*) over (partition by song, event_type) - sum(level) over (partition by song, event_type) as c from h),
+g as (select l.song, l.place - r.place as lag, sum(l.c * r.c) as score from c l join c r on l.song = r.song and l.event_type = 'view' and r.event_type = 'purchase' and abs(l.place - r.place) <= {OFFSET_LAG} group by all)
+select song, lag, score::bigint as score, round(lag / {OFFSET_RATE}, 2) as offset_seconds from (select *, row_number() over (partition by song order by score desc, lag) as k from g) where k = 1"""
+
+
 def placement_checks(spark, sf_dir):
     day = F.floor(F.col("s") / DAY).cast("long")
     ev = seconds(spark, sf_dir).withColumn("day", day)
@@ -204,10 +225,12 @@ def assigned_lines(spark, sf_dir):
 QUERIES = {
     "text_slices": text_slices, "span_slices": span_slices, "line_seeds": line_seeds, "first_line_override": first_line_override, "display_lines": display_lines,
     "note_entries": note_entries, "text_changes": text_changes, "reference_texts": reference_texts, "best_windows": best_windows, "sound_lags": sound_lags,
+    "sound_offsets": sound_offsets,
     "placement_checks": placement_checks, "still_media": still_media, "phase_report": phase_report, "class_offsets": class_offsets, "assigned_lines": assigned_lines,
 }
 ORACLES = {
     "text_slices": TEXT_SLICES_SQL, "span_slices": SPAN_SLICES_SQL, "line_seeds": LINE_SEEDS_SQL, "first_line_override": FIRST_LINE_SQL, "display_lines": DISPLAY_SQL,
     "note_entries": NOTE_ENTRIES_SQL, "text_changes": TEXT_CHANGES_SQL, "reference_texts": REFERENCE_SQL, "best_windows": BEST_WINDOWS_SQL, "sound_lags": SOUND_LAGS_SQL,
+    "sound_offsets": SOUND_OFFSETS_SQL,
     "placement_checks": PLACEMENT_SQL, "still_media": STILL_SQL, "phase_report": PHASE_SQL, "class_offsets": CLASS_OFFSETS_SQL,
 }
