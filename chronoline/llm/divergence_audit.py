@@ -34,7 +34,9 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-TERMS_AT_ONCE = 300_000
+TERMS_AT_ONCE = 600_000
+#: A task holds a term's count and its documents in one integer, the documents in so many low bits.
+DOCS_BITS = 30
 SHARD_ROWS = 400_000
 SOURCE_BLOCK = 64
 
@@ -42,27 +44,27 @@ SOURCE_BLOCK = 64
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, count, docs: partial sums of each task; a term of null brings a group without terms."""
 
-    def emit(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (count, docs_) in held.items():
-            n = len(count) + 1
-            terms = [None, *(t.decode() for t in count)]
-            columns = [pa.array([lang] * n), pa.array([source] * n), pa.array(terms, pa.string()), pa.array([0, *count.values()], pa.int64()), pa.array([0, *(docs_[t] for t in count)], pa.int64())]
+    def emit(held: dict[tuple[str, str], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), own in held.items():
+            both = np.array([0, *own.values()], dtype=np.int64)
+            terms = pa.array([None, *own], pa.binary()).cast(pa.string())
+            columns = [pa.array([lang] * len(both)), pa.array([source] * len(both)), terms, pa.array(both >> DOCS_BITS), pa.array(both & ((1 << DOCS_BITS) - 1))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "count", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = docs_ = 0
         for batch in batches:
-            for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
-                count, docs_ = held.setdefault((lang, source), (Counter(), Counter()))
-                own = Counter(TERM.findall(text.encode().lower()))  # bytes: A-Z only
-                before = len(count)
-                count.update(own)
-                docs_.update(own.keys())
-                size += len(count) - before
-                if size > TERMS_AT_ONCE:
+            for lang, source, text in zip(*batch.columns):
+                own = held.setdefault((lang.as_py(), source.as_py()), {})
+                before, had = len(own), own.get
+                for term, n in Counter(TERM.findall(text.as_py().encode().lower())).items():  # bytes: A-Z only
+                    own[term] = had(term, 0) + (n << DOCS_BITS) + 1
+                size += len(own) - before
+                docs_ += 1
+                if size > TERMS_AT_ONCE or docs_ >> (DOCS_BITS - 1):
                     yield from emit(held)
-                    held, size = {}, 0
+                    held, size, docs_ = {}, 0, 0
         yield from emit(held)
 
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
