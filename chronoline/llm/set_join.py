@@ -5,9 +5,8 @@
 2. All sets order their shingles alike: shingles that many sets hold (``hot_cells``, counted over all of them) come last, others by
    hash. Sets at the similarity share a shingle in the first n - ceil(t n) + 1 of both (prefix filter), whatever the order; the order only
    keeps passages that many documents share out of the prefixes of documents that hold more than those.
-3. Prefix shingles are counted in shards; those of one set alone go. Sets that meet in what is left are linked as candidates where size and
-   position allow the similarity; a list of more than ``LIST_ROWS`` sets links its sets to hubs of its size classes
-   instead, without pairs (``_candidates``). The components of these links are clusters: a pair at the similarity lies in one cluster.
+3. Sets that meet in a prefix shingle are linked as candidates where size, position and the parity bits of both (``may_reach``) allow the similarity; a hot shingle,
+   and a list of more than ``LIST_ROWS`` sets, links its sets to hubs of its size classes instead, without pairs (``_candidates``). The components of these links are clusters: a pair at the similarity lies in one cluster.
 4. A cluster's sets meet in one task and are joined exactly (``Cluster``). Only sets that are not in the cluster's
    largest component yet are searched:
    - lists of the index are cut into blocks of equal size and position, and a block that cannot reach the similarity is skipped whole;
@@ -28,39 +27,74 @@ integers; other columns are ignored, whatever their names; an empty table gives
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoline.llm.common import broadcast_keys, checkpoint
 from chronoline.llm.components import components, spanning_labels
-from chronoline.llm.similarity import shingle_hashes
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 #: A shingle of more sets than HOT_ROWS goes to the end of the order; at most HOT_MOST of them are broadcast (4 bytes each).
-HOT_ROWS = 64
+HOT_ROWS = 16
 HOT_MOST = 1_000_000
 LIST_ROWS = 256
 SHARD_SHINGLES = 1_000_000
-AT_ONCE = 1_000_000
-GROUP_ROWS = 8_000
-GROUP_SHINGLES = 4_000_000
-BUNDLE_SHINGLES = 1_000_000
+AT_ONCE = 500_000
+GROUP_ROWS = 4_000
+GROUP_SHINGLES = 1_000_000
+BUNDLE_SHINGLES = 500_000
 PIVOTS = 4
 LEADERS = 32
 #: A set derives its overlaps from a leader if their difference is at most this share of its size.
 DERIVE_SHARE = 0.3
+#: A prime and the steps of a published 64-bit finalizer.
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+MIXES = ((np.uint64(33), np.uint64(0xFF51AFD7ED558CCD)), (np.uint64(33), np.uint64(0xC4CEB9FE1A85EC53)))
 #: Ids of hubs start here; keys of rows lie below.
 HUBS = 1 << 62
 #: Members of clusters are broadcast up to so many rows (48 bytes each).
 MEMBERS_MOST = 300_000
-#: A table of shared prefix shingles is broadcast up to so many rows.
-SHARED_MOST = 3_000_000
+
+
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of the shingles: words are hashed once, and k neighbours are mixed."""
+    words = (text or "").encode().lower().split()  # bytes: A-Z and [\x20\x09-\x0D] only
+    word = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    if not len(word):
+        return word
+    width = min(k, len(word))
+    h = np.full(len(word) - width + 1, width, dtype=np.uint64)
+    for i in range(width):
+        h = h * PRIME + word[i : len(word) - width + 1 + i]
+    for shift, factor in MIXES:
+        h = (h ^ (h >> shift)) * factor
+    return np.unique(h ^ (h >> MIXES[0][0]))
+
+
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """A bit for each of a power of two of classes, at least as many as there are hashes: set if the class holds an odd number of them."""
+    width = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_reach(a: bytes, b: bytes, n: int, m: int, percent: int = PERCENT) -> bool:
+    """Whether sets of n and m hashes with these bits can be at the similarity: bits that differ are hashes that only one set holds."""
+    x, y, wide = (a, b, len(a) * 8) if len(a) >= len(b) else (b, a, len(b) * 8)
+    bits = int.from_bytes(x, "little")
+    while wide > len(y) * 8:
+        wide //= 2
+        bits = (bits >> wide) ^ (bits & ((1 << wide) - 1))
+    apart = (bits ^ int.from_bytes(y, "little")).bit_count()
+    return n + m - apart >= 2 * (-(-percent * (n + m) // (100 + percent)))
 
 
 def prefix_size(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
@@ -95,39 +129,39 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(keyed: DataFrame, k: int) -> DataFrame:
-    """key, doc_id, n, node: the size of each row's set and the least key of the rows with that set; null for the empty set."""
+    """key, doc_id, n, bits, node: the size and parity bits of each row's set and the least key of the rows with that set; null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), k) for t in batch.column(2)]
             digest = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary())], names=["key", "doc_id", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(list(map(parity_bits, sets)), pa.binary())], names=["key", "doc_id", "n", "digest", "bits"])
 
-    rows = checkpoint(keyed.mapInArrow(run, "key bigint, doc_id bigint, n bigint, digest binary"))
+    rows = checkpoint(keyed.mapInArrow(run, "key bigint, doc_id bigint, n bigint, digest binary, bits binary"))
     # written out, so that both sides of the join are plain exchanges and a hot set of copies can be split
     least = checkpoint(rows.where("n > 0").groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("rows")).where("rows > 1").select("digest", "node"))
-    node = F.when(F.col("n") > 0, F.coalesce("node", "key")).alias("node")
-    return checkpoint(rows.join(broadcast_keys(least), "digest", "left").select("key", "doc_id", "n", node))
+    node = F.when(F.col("n") > 0, F.coalesce("node", "key"))
+    return checkpoint(rows.join(broadcast_keys(least), "digest", "left").select("key", "doc_id", "n", F.when(F.col("key") == node, F.col("bits")).alias("bits"), node.alias("node")))
 
 
-def _counted(sets: DataFrame, k: int, shards: int, pick: Callable[[np.ndarray], np.ndarray], least: int) -> DataFrame:
-    """value, n: the values that pick takes from the shingle hashes of a set, of which at least so many sets have it; in shards by value, each task's own counts added up first."""
+def _frequent(sets: DataFrame, k: int, shards: int, over: int) -> DataFrame:
+    """cell, n: the low 32 bits of shingle hashes that more than so many sets share; in shards by cell, each task's own counts added up first."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        value, n = np.unique(np.concatenate(held), return_counts=True)
-        shard = (value % value.dtype.type(shards)).astype(np.int64)
+        cell, n = np.unique(np.concatenate(held), return_counts=True)
+        shard = cell.astype(np.int64) % shards
         order = np.argsort(shard, kind="stable")
-        value, n, shard = value[order], n[order].astype(np.uint32), shard[order]
+        cell, n, shard = cell[order], n[order].astype(np.uint32), shard[order]
         cuts = np.flatnonzero(np.diff(shard)) + 1
-        at, values, counts = shard[np.r_[0, cuts]], (v.tobytes() for v in np.split(value, cuts)), (c.tobytes() for c in np.split(n, cuts))
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(values, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "vals", "counts"])
+        cells, counts = ([x.tobytes() for x in np.split(v, cuts)] for v in (cell, n))
+        return pa.RecordBatch.from_arrays([pa.array(shard[np.r_[0, cuts]]), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "cells", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch.column(1):
-                held.append(pick(shingle_hashes(text.as_py(), k)))
+            for text in batch.column(0):
+                held.append(shingle_hashes(text.as_py(), k).astype(np.uint32))
                 size += len(held[-1])
                 if size > AT_ONCE:
                     yield flush(held)
@@ -135,16 +169,13 @@ def _counted(sets: DataFrame, k: int, shards: int, pick: Callable[[np.ndarray],
         if size:
             yield flush(held)
 
-    kind = pick(np.empty(0, dtype=np.uint64)).dtype
-
     def added(table: pa.Table) -> pa.Table:
-        value = np.frombuffer(b"".join(table.column("vals").to_pylist()), dtype=kind)
-        count = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint32)
-        value, at = np.unique(value, return_inverse=True)
+        cell, count = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.uint32) for c in ("cells", "counts"))
+        cell, at = np.unique(cell, return_inverse=True)
         n = np.bincount(at, weights=count).astype(np.int64)
-        return pa.table({"value": pa.array(value[n >= least].astype(np.uint64).view(np.int64)), "n": pa.array(n[n >= least])})
+        return pa.table({"cell": pa.array(cell[n > over].astype(np.int64)), "n": pa.array(n[n > over])})
 
-    return sets.select("key", "text").mapInArrow(run, "shard bigint, vals binary, counts binary").groupBy("shard").applyInArrow(added, "value bigint, n bigint")
+    return sets.select("text").mapInArrow(run, "shard bigint, cells binary, counts binary").groupBy("shard").applyInArrow(added, "cell bigint, n bigint")
 
 
 def hot_cells(sets: DataFrame, k: int, shards: int) -> np.ndarray:
@@ -152,41 +183,87 @@ def hot_cells(sets: DataFrame, k: int, shards: int) -> np.ndarray:
 
     Any order gives the same result; at very many shingles all cells fill alike and only what stands out above that is hot.
     """
-    over = checkpoint(_counted(sets, k, shards, lambda h: h.astype(np.uint32), HOT_ROWS + 1))
+    over = checkpoint(_frequent(sets, k, shards, HOT_ROWS))
     level = F.floor(F.log2("n"))
     levels = sorted((r["level"], r["count"]) for r in over.groupBy(level.alias("level")).count().collect())
     while sum(n for _, n in levels) > HOT_MOST:
         levels = levels[1:]
-    found = [r["value"] for r in over.where(level >= levels[0][0]).select("value").collect()] if levels else []
+    found = [r["cell"] for r in over.where(level >= levels[0][0]).select("cell").collect()] if levels else []
     return np.sort(np.array(found, dtype=np.int64).astype(np.uint32))
 
 
-def _candidates(sets: DataFrame, k: int, percent: int, hot: Broadcast, shared: DataFrame) -> DataFrame:
-    """a, b: links whose components hold every pair at the similarity; ids from HUBS on are hubs."""
+def _candidates(sets: DataFrame, rows: DataFrame, k: int, percent: int, shards: int, hot: Broadcast) -> DataFrame:
+    """a, b: links whose components hold every pair at the similarity; ids from HUBS on are hubs.
+
+    A prefix shingle of a hot cell links its set to hubs at once. The others meet in shards, packed: 24 bytes each; of the pairs found there, those whose parity bits
+    differ too much are no candidates.
+    """
+    step = np.log(100 / percent)
+
+    def hub_links(token: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """To the hubs of a size class and the next: sets at the similarity are of the same class or of neighbouring ones."""
+        size = np.floor(np.log(n) / step + 1e-9).astype(np.uint64)
+        hub = lambda c: ((token * np.uint64(0x9E3779B97F4A7C15) + c * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(2)).astype(np.int64) | HUBS
+        return np.stack([np.r_[key, key], np.r_[hub(size), hub(size + np.uint64(1))]])
+
+    def folded(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of one task as a forest."""
+        ids, flat = np.unique(links, return_inverse=True)
+        flat = flat.reshape(2, -1)
+        label = spanning_labels(len(ids), flat[0], flat[1])
+        own = np.flatnonzero(label != np.arange(len(ids)))
+        return ids[own], ids[label[own]]
+
+    def flush(own: list[np.ndarray], keys: list[int], sizes: list[int]) -> pa.RecordBatch:
+        lead = np.array(list(map(len, own)), dtype=np.int64)
+        of = np.repeat(np.arange(len(lead)), lead)
+        token, place = np.concatenate(own), np.arange(lead.sum()) - np.repeat(np.cumsum(lead) - lead, lead)
+        key, n = np.array(keys, dtype=np.int64)[of], np.array(sizes, dtype=np.int64)[of]
+        is_hot = np.isin(token.astype(np.uint32), hot.value)
+        a, b = folded(hub_links(token[is_hot], key[is_hot], n[is_hot]))
+        cold = np.flatnonzero(~is_hot)
+        shard = (token[cold] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cold, shard = cold[order], shard[order]
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        heads = shard[np.r_[0, cuts]] if len(shard) else shard
+        parts = [[x.tobytes() for x in np.split(v[cold], cuts)][: len(heads)] for v in (token, key, n.astype(np.uint32), place.astype(np.uint32))]
+        none = pa.nulls(len(heads), pa.int64())
+        packed = [pa.concat_arrays([pa.array(p, pa.binary()), pa.nulls(len(a), pa.binary())]) for p in parts]
+        links = [pa.concat_arrays([none, pa.array(x, pa.int64())]) for x in (a, b)]
+        # hub links ride along in the shard of their place in the batch
+        at = pa.array(np.r_[heads, np.arange(len(a)) % shards], pa.int64())
+        return pa.RecordBatch.from_arrays([at, *packed, *links], names=["shard", "tokens", "keys", "sizes", "places", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, keys, sizes, held = [], [], [], 0
         for batch in batches:
-            own, sizes = [np.empty(0, np.uint64)], []
-            for text in batch.column(1):
+            for key, text in zip(*batch.columns):
                 h = shingle_hashes(text.as_py(), k)
                 own.append(ordered(h, hot.value)[: prefix_size(len(h), percent)])
+                keys.append(key.as_py())
                 sizes.append(len(h))
-            lead = np.array(list(map(len, own[1:])), dtype=np.int64)
-            of = np.repeat(np.arange(len(lead)), lead)
-            place = np.arange(lead.sum()) - np.repeat(np.cumsum(lead) - lead, lead)
-            columns = [pa.array(np.concatenate(own).view(np.int64)), batch.column(0).take(pa.array(of)), pa.array(np.array(sizes, dtype=np.int64)[of]), pa.array(place)]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "key", "n", "place"])
+                held += len(own[-1])
+                if held > AT_ONCE:
+                    yield flush(own, keys, sizes)
+                    own, keys, sizes, held = [], [], [], 0
+        if held:
+            yield flush(own, keys, sizes)
 
     def linked(table: pa.Table) -> pa.Table:
-        raw = {c: table.column(c).to_numpy() for c in ("token", "key", "n", "place", "rows")}
-        large = raw["rows"] > LIST_ROWS
-        key, n, token = raw["key"][large], raw["n"][large], raw["token"][large].view(np.uint64)
-        # sets at the similarity are of the same size class or of neighbouring ones
-        step = np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
-        hub = lambda c: ((token * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(2)).astype(np.int64) | HUBS
-        found = [np.stack([key, hub(step)]), np.stack([key, hub(step + 1)])]
-        at = np.flatnonzero(~large)
-        at = at[np.lexsort((raw["place"][at], raw["n"][at], raw["token"][at]))]
-        token, key, n, place = (raw[c][at] for c in ("token", "key", "n", "place"))
+        own = table.filter(pa.compute.is_valid(table.column("tokens")))
+        token, key, n, place = (np.frombuffer(b"".join(own.column(c).to_pylist()), dtype=t) for c, t in (("tokens", np.uint64), ("keys", np.int64), ("sizes", np.uint32), ("places", np.uint32)))
+        rides = table.filter(pa.compute.is_null(table.column("tokens")))
+        sure = [np.stack([rides.column(c).to_numpy() for c in ("a", "b")])]
+        _, of, rows = np.unique(token, return_inverse=True, return_counts=True)
+        met = np.flatnonzero(rows[of] > 1)
+        token, key, n, place, rows = token[met], key[met], n[met].astype(np.int64), place[met].astype(np.int64), rows[of[met]]
+        long = rows > LIST_ROWS
+        sure.append(hub_links(token[long], key[long], n[long]))
+        found = [np.empty((2, 0), np.int64)]
+        at = np.flatnonzero(~long)
+        at = at[np.lexsort((place[at], n[at], token[at]))]
+        token, key, n, place = token[at], key[at], n[at], place[at]
         i, apart = np.arange(len(at)), 1
         while True:
             i = i[i + apart < len(at)]
@@ -197,19 +274,22 @@ def _candidates(sets: DataFrame, k: int, percent: int, hot: Broadcast, shared: D
             near = np.minimum(n[i] - place[i], n[j] - place[j]) >= least_overlap(n[i], n[j], percent)
             found.append(np.stack([key[i[near]], key[j[near]]]))
             apart += 1
-        a, b = np.concatenate(found, axis=1)
-        ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-        label = spanning_labels(len(ids), flat[: len(a)], flat[len(a) :])
-        own = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[label[own]], pa.int64())})
+        a, b = folded(np.concatenate(sure, axis=1))
+        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        known = np.r_[np.ones(len(a), bool), np.zeros(pairs.shape[1], bool)]
+        return pa.table({"a": pa.array(np.r_[a, pairs[0]], pa.int64()), "b": pa.array(np.r_[b, pairs[1]], pa.int64()), "sure": pa.array(known)})
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, *sides = batch.columns
+            keep = pa.array([may_reach(*s, percent) for s in zip(*(c.to_pylist() for c in sides))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    lists = F.sum("n").alias("n")
-    bundles = F.lit(1 + (shared.agg(lists).first()["n"] or 0) // 100_000)
-    met = broadcast_keys(shared.select(F.col("value").alias("token"), F.col("n").alias("rows")), SHARED_MOST)
-    kept = sets.select("key", "text").mapInArrow(run, "token bigint, key bigint, n bigint, place bigint").join(met, "token")
-    # a long list needs no common task: its sets are dealt by key
-    bundle = F.when(F.col("rows") > LIST_ROWS, F.pmod(F.xxhash64("key", "token"), bundles)).otherwise(F.pmod(F.xxhash64("token"), bundles)).alias("bundle")
-    return kept.select("*", bundle).groupBy("bundle").applyInArrow(linked, "a bigint, b bigint")
+    packed = "shard bigint, tokens binary, keys binary, sizes binary, places binary, a bigint, b bigint"
+    found = checkpoint(sets.select("key", "text").mapInArrow(run, packed).groupBy("shard").applyInArrow(linked, "a bigint, b bigint, sure boolean"))
+    side = lambda at: rows.where("key = node").select(F.col("key").alias(at), F.col("bits").alias(f"bits_{at}"), F.col("n").alias(f"n_{at}"))
+    pairs = found.where("not sure").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    return found.where("sure").select("a", "b").union(pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, "a bigint, b bigint"))
 
 
 class Cluster:
@@ -434,8 +514,7 @@ def join_sets(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -
     sets = keyed.join(broadcast_keys(idle), "key", "left_anti")
     shards = 1 + (rows.where("key = node").agg(F.sum("n").alias("n")).first()["n"] or 0) // SHARD_SHINGLES
     hot = sets.sparkSession.sparkContext.broadcast(hot_cells(sets, k, shards))  # at most HOT_MOST cells
-    shared = checkpoint(_counted(sets, k, shards, lambda h: ordered(h, hot.value)[: prefix_size(len(h), percent)], 2))
-    roots = components(_cluster_links(_candidates(sets, k, percent, hot, shared), rows, sets, k, percent))
+    roots = components(_cluster_links(_candidates(sets, rows, k, percent, shards, hot), rows, sets, k, percent))
 
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = checkpoint(least.join(roots.toDF("of", "root"), F.col("node") == F.col("of"), "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root")))

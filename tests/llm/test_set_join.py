@@ -137,3 +137,23 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert joined(clash) == brute(rows)
     negative = [(-3, "one two three four five six"), (3, "one two three four five six"), (None, "ONE two three four five six"), (None, "seven")]
     assert joined(spark.createDataFrame(negative, "doc_id bigint, text string")) == brute(negative)
+
+
+def test_parity_bits_never_rule_out_a_link():
+    r = np.random.default_rng(4)
+    ruled_out = 0
+    for _ in range(300):
+        core = r.integers(0, 2**63, r.integers(1, 200), dtype=np.uint64)
+        a, b = (np.unique(np.r_[core[r.random(len(core)) > r.choice([0, 0.05, 0.2, 0.6])], r.integers(0, 2**63, r.integers(0, 12), dtype=np.uint64)]) for _ in range(2))
+        met = len(np.intersect1d(a, b))
+        near = J.may_reach(J.parity_bits(a), J.parity_bits(b), len(a), len(b))
+        assert near or 100 * met < 80 * (len(a) + len(b) - met)
+        ruled_out += not near
+    assert ruled_out > 50
+
+
+def test_shingles_are_told_apart_as_words_are():
+    assert len(J.shingle_hashes("a b c d e f", 5)) == 2
+    assert (J.shingle_hashes("A b\tC", 5) == J.shingle_hashes("a b c", 5)).all() and len(J.shingle_hashes("a b c", 5)) == 1
+    assert J.shingle_hashes("a b", 5) != J.shingle_hashes("b a", 5) and J.shingle_hashes("a a", 5) != J.shingle_hashes("a a a", 5)
+    assert len(J.shingle_hashes(" \n", 5)) == len(J.shingle_hashes(None, 5)) == 0
