@@ -3,7 +3,9 @@ import random
 import pandas as pd
 import pytest
 from chronoline.operators import notes as N
+from chronoline.sources import listings as L
 from chronoline.streaming import notes as S
+from chronoline.streaming import registry as R
 
 
 def made(seed, n=400):
@@ -108,3 +110,42 @@ def test_a_stream_in_any_batches_gives_the_notes_of_the_whole(spark, tmp_path, c
         want = N.segment(pd.DataFrame(frames, columns=N.Frame._fields), 0.01)
         mine = [N.Note(x["start"], x["end"], x["pitch"], x["confidence"], x["protected"]) for x in got if x["track"] == key]
         assert as_rows(mine) == as_rows(want)
+
+
+@pytest.mark.parametrize("cuts, seed", [([40], 0), ([1, 9, 20], 1), ([5, 6, 33], 2)])
+def test_streamed_registry_actions_equal_the_batch_form(spark, tmp_path, cuts, seed):
+    r = random.Random(7)
+    crc = lambda: f"c{r.randrange(45)}"
+    registry = spark.createDataFrame([(f"p{k}", crc()) for k in range(0, 40, 2)], "path_key string, crc string")
+    same = [tuple(x) for x in registry.limit(3).collect()]
+    files = [*same, *((f"p{k}", crc()) for k in range(40) if f"p{k}" not in dict(same)), (None, "c1"), ("p99", None)]
+    backups = spark.createDataFrame([(f"p{k}",) for k in range(0, 60, 3)] * 2, "path_key string")
+    random.Random(seed).shuffle(files)
+    kind = "path_key string, crc string"
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in" / "*"))
+    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(files)])):
+        if b > a:
+            spark.createDataFrame(files[a:b], kind).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k:03}"))
+            found = R.stream_registry_actions(stream, registry, backups)
+            found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    known = spark.createDataFrame([f for f in files if None not in f], kind)
+    want = L.registry_actions(known, registry, backups)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    after = lambda actions: sorted(map(tuple, L.upsert(registry, actions).collect()))
+    assert after(got) == after(want) and {"move", "skip", "redo", "new", "record"} == {x["action"] for x in want.collect()}
+
+
+@pytest.mark.parametrize("ttl_ms, third", [(None, "redo"), (1, "new")])
+def test_a_path_that_comes_again_is_judged_by_what_it_came_with_until_that_expires(spark, tmp_path, ttl_ms, third):
+    empty = spark.createDataFrame([], "path_key string, crc string")
+    stream = spark.readStream.schema("path_key string, crc string").parquet(str(tmp_path / "in" / "*"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        for k, crc in enumerate(("a", "b")):
+            spark.createDataFrame([("p", crc)], "path_key string, crc string").write.parquet(str(tmp_path / "in" / str(k)))
+            found = R.stream_registry_actions(stream, empty, empty, ttl_ms)
+            found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(60)
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    assert sorted((x["crc"], x["action"]) for x in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "new"), ("b", third)]
