@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronoline.functions import hyphenation as H
 from chronoline.functions.syllables import syllables
 from chronoline.operators import alignment as A
 from chronoline.operators import calibration as K
@@ -84,6 +85,38 @@ def word_syllables(spark, sf_dir):
     return words.select(F.explode(F.split("p_name", " ")).alias("word")).distinct().withColumn("parts", F.array_join(syllables("word"), "|"))
 
 
+def _words(spark, sf_dir):
+    """Words of part names and types and market segments."""
+    parts, customers = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    texts = parts.select(F.concat_ws(" ", "p_name", "p_type").alias("t")).union(customers.select("c_mktsegment"))
+    return texts.select(F.explode(F.split(F.lower("t"), "[^a-z]+")).alias("word")).where("word <> ''").distinct()
+
+
+def pattern_cuts(spark, sf_dir):
+    """Letters three by three of the words, with digits from their codes, as patterns; the first half of each word as a common word."""
+    words = _words(spark, sf_dir)
+    three = words.select(F.explode(F.expr("transform(sequence(1, greatest(1, length(word))), i -> substr(concat('.', word, '.'), i, 3))")).alias("p")).where("length(p) = 3").distinct()
+    digit = lambda k: F.expr(f"cast((ascii(substr(p, 1, 1)) * 3 + ascii(substr(p, 2, 1)) * 5 + ascii(substr(p, 3, 1)) * 7 + {k} * 11) % 4 as string)")
+    spelt = F.concat(*(c for k in range(3) for c in (digit(k), F.substring("p", k + 1, 1))), digit(3))
+    patterns = [r["s"] for r in three.select(spelt.alias("s")).collect()]  # bounded by the alphabet; they stand for a dictionary's file
+    common = [r["w"] for r in words.select(F.expr("left(word, (length(word) + 1) div 2)").alias("w")).distinct().collect()]
+    shown = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return words.select("word", shown(H.cuts_with(spark, patterns)("word")).alias("cuts"), shown(F.array_sort(H.prefixes_with(spark, common)("word"))).alias("prefixes"))
+
+
+PATTERN_SQL = """
+with t as (select p_name || ' ' || p_type as t from part union all select c_mktsegment from customer),
+w as (select distinct unnest(string_split_regex(lower(t), '[^a-z]+')) as word from t),
+x as (select word, '.' || word || '.' as f from w where word <> ''),
+g as (select word, f, unnest(range(1, length(f) - 1)) as i from x),
+v as (select word, i + k as place, max((ascii(substr(f, i, 1)) * 3 + ascii(substr(f, i + 1, 1)) * 5 + ascii(substr(f, i + 2, 1)) * 7 + k * 11) % 4) as v
+  from g, range(4) as r(k) group by all),
+c as (select word, string_agg((place - 2)::varchar, ',' order by place) as cuts from v where v % 2 = 1 and place - 2 between 2 and length(word) - 2 group by word),
+h as (select distinct left(word, (length(word) + 1) // 2) as h from x),
+p as (select word, string_agg(length(h)::varchar, ',' order by length(h)) as prefixes from x join h on starts_with(word, h) group by word)
+select x.word, coalesce(cuts, '') as cuts, coalesce(prefixes, '') as prefixes from x left join c using (word) left join p using (word)"""
+
+
 def generated_charts(spark, sf_dir):
     ev = seconds(spark, sf_dir).withColumn("pos", (F.row_number().over(O.over(KEY, ORDER)) - 1).cast("long"))
     hour = F.col("s") / 3600
@@ -130,6 +163,6 @@ def voted_lines(spark, sf_dir):
 QUERIES = {
     "reconciled_lines": reconciled_lines, "voted_lines": voted_lines,
     "strict_lines": strict_lines, "overflow_lines": overflow_lines, "free_lines": free_lines, "key_nudge": key_nudge, "calibration_tiers": calibration_tiers,
-    "word_syllables": word_syllables, "generated_charts": generated_charts, "retimed_words": retimed_words, "refreshed_pitches": refreshed_pitches,
+    "word_syllables": word_syllables, "pattern_cuts": pattern_cuts, "generated_charts": generated_charts, "retimed_words": retimed_words, "refreshed_pitches": refreshed_pitches,
 }
-ORACLES = {"strict_lines": STRICT_SQL, "overflow_lines": OVERFLOW_SQL, "key_nudge": NUDGE_SQL}
+ORACLES = {"strict_lines": STRICT_SQL, "overflow_lines": OVERFLOW_SQL, "key_nudge": NUDGE_SQL, "pattern_cuts": PATTERN_SQL}
