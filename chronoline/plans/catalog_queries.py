@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from chronoline.operators import notes as N
 from chronoline.operators import ordered as O
 from chronoline.plans.estimator_queries import ANCH, CAND, SECONDS, _candidates, seconds
 from chronoline.plans.sequence_queries import KEY, ORDER, WIN
-from chronoline.session import table
+from chronoline.session import scratch_folder, table
 from chronoline.sources import charts as C
+from chronoline.sources import formats as V
 from chronoline.sources import listings as L
 
 
@@ -171,6 +174,24 @@ with d as (select lang, doc_id, abs(n_chars - 1000)::double as far, case when tr
 select lang, min_by(doc_id, struct_pack(far, doc_id)) as doc_id, min(far) as far, count(*) - 1 as dupe_count from d group by lang, g"""
 
 
+def chart_files(spark, sf_dir):
+    """A chart a user, written as files through the chart format and read back by a filter on the name."""
+    songs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    name = F.concat(F.lit("song"), F.col("user_id").cast("string"))
+    text = F.concat(F.lit("#TITLE:"), name, F.lit("\n#BPM:"), F.col("n").cast("string"), F.lit("\n: 0 4 "), (F.col("last") % 30).cast("string"), F.lit(" la\r\nE\n"))
+    V.register(spark)
+    folder = f"{scratch_folder(spark)}/charts-{uuid4().hex}"
+    songs.select(name.alias("name"), text.alias("text")).repartition(4).write.format("song_chart").mode("overwrite").option("path", folder).save()
+    read = spark.read.format("song_chart").option("path", folder).load().where(F.startswith("name", F.lit("song1")))
+    return read.select("name", "bytes", F.sha2("text", 256).alias("text_sha256"))
+
+
+CHART_FILES_SQL = """
+with s as (select 'song' || user_id as name, count(*) as n, max(event_id) as last from events group by user_id),
+t as (select name, '#TITLE:' || name || chr(10) || '#BPM:' || n || chr(10) || ': 0 4 ' || (last % 30) || ' la' || chr(13) || chr(10) || 'E' || chr(10) as text from s)
+select name, strlen(text)::bigint as bytes, sha256(text) as text_sha256 from t where starts_with(name, 'song1')"""
+
+
 def registry_upsert(spark, sf_dir):
     """Documents as files; the registry knows every third, some under another path or content."""
     d = table(spark, sf_dir, "documents")
@@ -267,11 +288,11 @@ def repeat_fingerprint(spark, sf_dir):
 QUERIES = {
     "render_charts": render_charts, "parse_charts": parse_charts, "rebase_charts": rebase_charts, "timed_lyrics": timed_lyrics, "lyric_tokens": lyric_tokens,
     "semi_audio_video": semi_audio_video, "anti_mp4": anti_mp4, "primary_sources": primary_sources, "existing_charts": existing_charts, "candidate_rank": candidate_rank,
-    "dedupe_keep_closest": dedupe_keep_closest, "registry_upsert": registry_upsert, "oversized_media": oversized_media, "verify_metrics": verify_metrics,
+    "dedupe_keep_closest": dedupe_keep_closest, "registry_upsert": registry_upsert, "chart_files": chart_files, "oversized_media": oversized_media, "verify_metrics": verify_metrics,
     "align_replace": align_replace, "line_cursor": line_cursor, "segment_notes": segment_notes, "pava": pava, "repeat_fingerprint": repeat_fingerprint,
 }
 ORACLES = {
     "render_charts": RENDER_SQL, "parse_charts": PARSE_SQL, "rebase_charts": REBASE_SQL, "timed_lyrics": TIMED_SQL, "lyric_tokens": TOKENS_SQL, "semi_audio_video": SEMI_SQL,
     "anti_mp4": ANTI_SQL, "primary_sources": PRIMARY_SQL, "existing_charts": EXISTING_SQL, "candidate_rank": RANK_SQL, "dedupe_keep_closest": DEDUPE_SQL,
-    "registry_upsert": REGISTRY_SQL, "oversized_media": MEDIA_SQL,
+    "registry_upsert": REGISTRY_SQL, "chart_files": CHART_FILES_SQL, "oversized_media": MEDIA_SQL,
 }

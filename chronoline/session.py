@@ -27,12 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes a step that is read more than once to the shared folder in spark.checkpoint.dir; a local one only where it is unset."""
-    sc = df.sparkSession.sparkContext
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir, as this session uses it; a local one only where it is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chronoline-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get().removeprefix("file:").replace("///", "/", 1)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes a step that is read more than once to the shared folder in spark.checkpoint.dir; a local one only where it is unset."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
