@@ -33,15 +33,34 @@ def test_nearest_ancestor_inheritance(files):
 
 
 def test_scores_and_anchors_equal_brute_force(spark, files):
-    idf = L.inverse_frequencies(files, L.vocabulary())
+    vocab = L.vocabulary()
+    idf = L.inverse_frequencies(L.held_terms(files, vocab), vocab)
     weights = L.template_weights(idf)
-    units = ["Licensed under the Apache License, Version 2.0 or so", "all rights", "the of and", "", "MIT license. MIT license.", "GNU general public license version 3 applies here to all of it", "some other words"]
-    scored = L.score_units(spark.createDataFrame([(u,) for u in units], "unit string"), idf, weights).collect()
-    anchor = set(L.anchors(weights))
-    for r in scored:
-        best = max(cosine(r["unit"], t, idf) for t in L.TEMPLATES.values())
-        assert r["score"] == pytest.approx(best, abs=2e-6)
-        assert best < L.THRESHOLD or anchor & set(re.findall(L.TERM, r["unit"].lower()))
+    units = ["Licensed under the Apache License, Version 2.0 or so", "all rights reserved", "the of and", "", "MIT license. MIT license.", "GNU general public license version 3 applies here to all of it", "some other words",
+             "SPDX-License-Identifier: GPL-2.0-only"]
+    anchor = set(L.anchors(weights, idf))
+    got = {}
+    for r in L.score_units(spark.createDataFrame(list(enumerate(units)), "u bigint, unit string"), idf, weights).where("score > 0").collect():
+        got[r["u"], r["licence"]] = max(r["score"], got.get((r["u"], r["licence"]), 0.0))
+    want = {}
+    for u, unit in enumerate(units):
+        own = set(re.findall(L.TERM, unit.lower()))
+        for name, text in L.TEMPLATES.items():
+            must, must_not = L.marks(name, re.findall(L.TERM, text.lower()))
+            score = cosine(unit, text, idf)
+            assert score < L.THRESHOLD or anchor & own or not set(must) <= own
+            if score and set(must) <= own and not set(must_not) & own:
+                want[u, L.licence_of(name)] = max(score, want.get((u, L.licence_of(name)), 0.0))
+    assert got == pytest.approx(want, abs=2e-6)
+    assert not anchor & {"the", "of", "and", "any", "all", "to"}
+
+
+def test_templates_name_their_own_licence_among_ordinary_files(spark):
+    """Every template, as a file, is its licence or, where several word it so, their family."""
+    rows = [(k, f"d{k}/x.c", t) for k, t in enumerate(L.TEMPLATES.values())]
+    prose = [(1000 + k, f"e{k}/x.txt", "and all the words of any text that is to be in use or not in a work of this kind by rights") for k in range(100)]
+    got = {r["doc_id"]: r["licence"] for r in L.own_licences(spark.createDataFrame(rows + prose, "doc_id bigint, path string, text string")).collect()}
+    assert got == {k: L.licence_of(name) for k, name in enumerate(L.TEMPLATES)}
 
 
 def test_plan_is_native(files):
@@ -69,6 +88,46 @@ def test_real_shaped_files(spark):
     df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(TREE.items())], "doc_id bigint, path string, text string")
     got = {p: None for p in TREE} | {list(TREE)[r["doc_id"]]: (r["licence"], r["origin"]) for r in L.scan_licences(df).collect()}
     own = {"mit/LICENSE": "MIT", "bsd/COPYING": "BSD-3-Clause", "bsd2/LICENSE.txt": "BSD-2-Clause", "isc/LICENSE": "ISC", "gpl/main.py": "GPL-3.0", "gpl/old.c": "GPL-2.0",
-           "apache/A.java": "Apache-2.0", "own/p.txt": "proprietary", "both/p.txt": "BSD-3-Clause", "un/UNLICENSE.md": "Unlicense"}
+           "apache/A.java": "Apache-2.0", "own/p.txt": "proprietary", "both/p.txt": "BSD", "un/UNLICENSE.md": "Unlicense"}
     inherited = {"mit/src/a.c": ("MIT", "inherited"), "bsd/x.c": ("BSD-3-Clause", "inherited")}
     assert got == {p: inherited.get(p, (own[p], "own") if p in own else (None, None)) for p in TREE}
+
+
+def blank(text):
+    """With blank lines between the numbered conditions and before the disclaimer, as published."""
+    return re.sub(r" (\d\.|THIS SOFTWARE) ", r"\n\n\1 ", text)
+
+
+def comment(text, width=72, mark=" * "):
+    import textwrap
+
+    return "/*\n" + "\n".join(mark + line for line in textwrap.wrap(text, width)) + "\n */\nint x;\n" * 3
+
+
+PROBES = {
+    "BSD-2-Clause": [blank("Copyright 2018 Bar\n\n" + L._BSD_2 + L._BSD_END), comment(L._BSD_2 + L._BSD_END)],
+    "BSD-3-Clause": [blank("Copyright 2018 Bar\n\n" + L._BSD_2 + L._BSD_3 + L._BSD_END), comment(L._BSD_2 + L._BSD_3 + L._BSD_END), blank(L._BSD_2 + L._BSD_3).replace("\n\n", "\n *\n * ")],
+    "BSD": ["// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\nx"],
+    "LGPL-3.0": [comment(L.TEMPLATES["LGPL-3.0#library"]), comment(L.TEMPLATES["LGPL-3.0#program"]), L.TEMPLATES["LGPL-3.0#library"]],
+    "LGPL-2.1": [comment(L.TEMPLATES["LGPL-2.1"]), comment(L.TEMPLATES["LGPL-2.1#program"], 40)],
+    "GPL-2.0": [comment(L.TEMPLATES["GPL-2.0"]), comment(L.TEMPLATES["GPL-2.0#only"], 50), "# SPDX-License-Identifier: GPL-2.0-or-later\nx"],
+    "GPL-3.0": [comment(L.TEMPLATES["GPL-3.0#notice"]), "// SPDX-License-Identifier: GPL-3.0\nx"],
+    "AGPL-3.0": [comment(L.TEMPLATES["AGPL-3.0"])],
+    "CC-BY-NC-4.0": ["text\nThis work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.\n"],
+    "CC-BY-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "MIT": ["/* SPDX-License-Identifier: MIT */\nint x;", "MIT License\n\nCopyright (c) 2020 Jo\n\n" + L._MIT + "\n\n" + L._MIT_END],
+    None: ["Licensed under the Apache License, Version 1.1.", "This work is licensed under a Creative Commons Attribution 3.0 International License.", "the prince kept the land and all rights reserved for the crown",
+           "This program is free software under the GNU Library General Public License"],
+}
+
+
+def test_licences_of_one_family_are_told_apart(spark):
+    """Also on a table of these files alone, where frequencies tell little."""
+    rows = [(name, t) for name, own in PROBES.items() for t in own]
+    table = [(k, f"d{k}/f.c", t) for k, (_, t) in enumerate(rows)]
+    for others in (0, 400):
+        prose = [(1000 + k, f"e{k}/x.txt", "and all the words of any text that is to be in use or not in a work of this kind by rights") for k in range(others)]
+        got = {r["doc_id"]: r["licence"] for r in L.own_licences(spark.createDataFrame(table + prose, "doc_id bigint, path string, text string")).collect()}
+        assert [(t[:50], got.get(k)) for k, (_, t) in enumerate(rows)] == [(t[:50], name) for name, t in rows]
