@@ -5,8 +5,8 @@
 2. Frequent terms of a template are left out as long as their part of its vector is lighter than ``threshold``; what is left are its
    *anchors*. By Cauchy-Schwarz a unit with a cosine of ``threshold`` or more holds one. Only texts and units with an anchor are scored; the filter is exact.
 3. Each line, each paragraph of several lines (headers, also wrapped over comment lines) and
-   each whole text (a licence file) is a unit. Its terms are exploded once and meet the templates' weights by term in a broadcast join; sums by unit and
-   template are the cosines. Words outside the vocabulary only lengthen the unit.
+   each whole text (a licence file) is a unit. It meets the templates that it holds an anchor of in a broadcast join, one row a
+   template; a cosine is a sum over the unit's terms there. Words outside the vocabulary only lengthen the unit.
 4. Licences of one family share most of their wording, so some terms (``marks``: a version, "Lesser", "NonCommercial") must be
    in the unit if they are in the template, and must not be if they are not. What several licences word alike names their family (``FAMILIES``), which counts only where no member
    fits; "All rights reserved." counts only where nothing else fits, at the start of a unit or beside a copyright mark.
@@ -228,23 +228,23 @@ def template_weights(idf: dict[str, float], templates: dict[str, str] = TEMPLATE
     return out
 
 
-def anchors(weights: dict[str, dict[str, float]], idf: dict[str, float], threshold: float = THRESHOLD) -> list[str]:
-    """Terms of which a unit at the threshold holds at least one: the most frequent terms of a template stay out while together they are lighter than the threshold.
+def anchors(weights: dict[str, dict[str, float]], idf: dict[str, float], threshold: float = THRESHOLD) -> dict[str, list[str]]:
+    """Terms by template of which a unit at the threshold holds at least one: its most frequent terms stay out while together they are lighter than the threshold.
 
-    A term that a unit must hold anyway stands for a template alone, the rarest of them.
+    Where a unit must hold some terms anyway, the rarest of them stands alone.
     """
-    found: set[str] = set()
+    found: dict[str, list[str]] = {}
     for name, terms in weights.items():
         must = marks(name, terms)[0]
         if must:
-            found.add(max(must, key=lambda t: (idf[t], t)))
+            found[name] = [max(must, key=lambda t: (idf[t], t))]
             continue
-        left_out = 0.0
+        left_out, found[name] = 0.0, []
         for t, w in sorted(terms.items(), key=lambda x: (idf[x[0]], x[0])):
             left_out += w * w
             if left_out >= (threshold - 1e-9) ** 2:
-                found.add(t)
-    return sorted(found)
+                found[name].append(t)
+    return found
 
 
 def _literal_map(pairs: Iterable[tuple[str, float]]) -> Column:
@@ -264,33 +264,36 @@ def mark_rows(templates: dict[str, str]) -> list[tuple[str, str, int, int]]:
     return found
 
 
-def weight_table(files: DataFrame, weights: dict[str, dict[str, float]], templates: dict[str, str]) -> DataFrame:
-    """term, template, licence, rank, w, must, must_not, needs (how many terms the template must find): a few rows for each template term."""
-    marked = {(name, t): (a, b) for name, t, a, b in mark_rows(templates)}
-    needs = Counter(name for name, _, a, _ in mark_rows(templates) if a)
+def template_table(files: DataFrame, weights: dict[str, dict[str, float]], templates: dict[str, str]) -> DataFrame:
+    """template (its number by name), licence, rank, weights, must, must_not: one row a template."""
+    array = lambda items: f"cast(array({', '.join(map(_quoted, items))}) as array<string>)"
     rows = []
-    for name, t in sorted({(n, t) for n, terms in weights.items() for t in terms} | set(marked)):
-        must, must_not = marked.get((name, t), (0, 0))
-        rows.append(f"({_quoted(t)}, {_quoted(name)}, {_quoted(licence_of(name))}, {rank_of(licence_of(name))}, {weights[name].get(t, 0.0)!r}D, {must}, {must_not}, {needs[name]})")
-    return files.sparkSession.sql(f"select * from values {', '.join(rows)} as v(term, template, licence, rank, w, must, must_not, needs)")
-
-
-def score_units(units: DataFrame, idf: dict[str, float], weights: dict[str, dict[str, float]], templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """units(u, unit, ...) with distinct u -> their other columns, licence, rank and score for every template that shares a term and whose marks agree."""
-    keep = [c for c in units.columns if c not in ("u", "unit")]
+    for k, (name, terms) in enumerate(sorted(weights.items())):
+        must, must_not = marks(name, template_terms(templates)[name])
+        weight = ", ".join(f"{_quoted(t)}, {w!r}D" for t, w in sorted(terms.items()))
+        rows.append(f"({k}, {_quoted(licence_of(name))}, {rank_of(licence_of(name))}, map({weight}), {array(must)}, {array(must_not)})")
+    return files.sparkSession.sql(f"select * from values {', '.join(rows)} as v(template, licence, rank, weights, must, must_not)")
+
+
+def score_units(units: DataFrame, idf: dict[str, float], weights: dict[str, dict[str, float]], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """units with a column unit -> their other columns, licence, rank and score for every template that the unit holds an anchor of and whose marks agree; one projection after another, no array twice."""
+    keep = [c for c in units.columns if c != "unit"]
+    at: dict[str, list[int]] = {}
+    for k, (_, own) in enumerate(sorted(anchors(weights, idf, threshold).items())):
+        for t in own:
+            at.setdefault(t, []).append(k)
+    templates_of = F.create_map(*(x for t, ks in sorted(at.items()) for x in (F.lit(t), F.array(*map(F.lit, ks)))))
     df = units.withColumn("_all", tokens(F.col("unit")))
-    df = df.withColumn("_own", F.sort_array(F.filter("_all", lambda t: t.isin(*idf))))
-    counted = F.transform(F.array_distinct("_own"), lambda t: F.struct(t.alias("t"), (F.size(F.filter("_own", lambda x: x == t)) * F.element_at(_literal_map(idf.items()), t)).alias("w")))
-    df = df.withColumn("_w", counted).withColumn("_other", (F.size("_all") - F.size("_own")) * (OTHER_WEIGHT**2))
+    df = df.withColumn("_held", F.sort_array(F.filter("_all", lambda t: t.isin(*idf)))).withColumn("_own", F.array_distinct("_held"))
+    counted = F.transform("_own", lambda t: F.struct(t.alias("t"), ((F.array_size(F.filter("_held", lambda x: x == t))) * F.element_at(_literal_map(idf.items()), t)).alias("w")))
+    hits = F.array_distinct(F.flatten(F.transform(F.array_intersect("_own", F.array(*map(F.lit, at))), lambda t: F.element_at(templates_of, t))))
+    df = df.withColumns({"_w": counted, "_other": (F.size("_all") - F.size("_held")) * (OTHER_WEIGHT**2), "_reserved": F.lower("unit").rlike(RESERVED), "_hits": hits})
     norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]) + F.col("_other"))
-    reserved = F.lower("unit").rlike(RESERVED)
-    terms = df.select("u", *keep, norm.alias("_norm"), reserved.alias("_reserved"), F.explode("_w").alias("_x"))
-    met = terms.join(F.broadcast(weight_table(units, weights, templates)), F.col("_x.t") == F.col("term"))  # bounded by the templates
-    sums = met.groupBy("u", *keep, "_norm", "_reserved", "template", "licence", "rank", "needs").agg(
-        F.sum(F.col("_x.w") * F.col("w")).alias("dot"), F.sum("must").alias("found"), F.max("must_not").alias("barred")
-    )
-    fits = sums.where((F.col("found") == F.col("needs")) & (F.col("barred") == 0) & (F.col("_reserved") | (F.col("rank") < 2)))
-    return fits.select("u", *keep, "licence", "rank", F.round(F.col("dot") / F.greatest("_norm", F.lit(1e-12)), 6).alias("score"))
+    tried = df.select(*keep, "_own", "_w", "_reserved", norm.alias("_norm"), F.explode("_hits").alias("template"))
+    met = tried.join(F.broadcast(template_table(units, weights, templates)), "template")  # one row a template
+    agree = (F.size(F.array_intersect("_own", "must")) == F.size("must")) & ~F.arrays_overlap("_own", "must_not") & (F.col("_reserved") | (F.col("rank") < 2))
+    dot = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at("weights", x["t"]), F.lit(0.0)))
+    return met.where(agree).select(*keep, "licence", "rank", F.round(dot / F.greatest("_norm", F.lit(1e-12)), 6).alias("score"))
 
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -302,7 +305,7 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict
     held = held_terms(files, vocab)
     idf = inverse_frequencies(held, vocab)
     weights = template_weights(idf, templates)
-    anchor = F.array(*map(F.lit, anchors(weights, idf, threshold)))
+    anchor = F.array(*map(F.lit, sorted({t for own in anchors(weights, idf, threshold).values() for t in own})))
     wanted = checkpoint(held.where(F.col("doc_id").isNotNull() & F.arrays_overlap("held", anchor)).select("doc_id").distinct())
     near = files.select("doc_id", "text").join(broadcast_keys(wanted), "doc_id", "left_semi").where("text is not null")
     lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.btrim(line)) > 0)
@@ -311,7 +314,7 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict
     several = F.filter(pieces, lambda u: F.contains(u["unit"], F.lit("\n")))
     candidates = F.filter(F.concat(numbered, several), lambda u: F.arrays_overlap(tokens(u["unit"]), anchor))
     units = near.select("doc_id", F.explode(F.array_append(candidates, F.struct(F.col("text").alias("unit"), F.lit(True).alias("opens")))).alias("x"))
-    scored = score_units(units.select(F.monotonically_increasing_id().alias("u"), "doc_id", "x.unit", "x.opens"), idf, weights, templates)
+    scored = score_units(units.select("doc_id", "x.unit", "x.opens"), idf, weights, templates, threshold)
     tops = scored.where(F.col("score") >= threshold).groupBy("doc_id", "licence", "rank").agg(F.max(F.struct("score", "opens")).alias("top"))
     ranked = tops.groupBy("doc_id").agg(F.min_by(F.struct("licence", "top"), F.struct("rank", -F.col("top.score"), "licence")).alias("b"))
     return ranked.select("doc_id", F.col("b.licence").alias("licence"), F.col("b.top.score").alias("score"), F.col("b.top.opens").alias("opens"))
@@ -330,7 +333,7 @@ def ancestors(directory: Column) -> Column:
 
 def scan_licences(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES, notices_give: bool = False) -> DataFrame:
     """files(doc_id, path, text) -> doc_id, directory, licence, score, origin ('own', 'inherited' or null), from_directory."""
-    own = own_licences(files, threshold, templates)
+    own = checkpoint(own_licences(files, threshold, templates))  # read for givers and for takers
     name = F.lower(F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1))
     places = files.select("doc_id", directory_of(F.col("path")).alias("directory"), name.rlike(LICENCE_FILE).alias("named"))
     placed = places.join(own, "doc_id", "left")

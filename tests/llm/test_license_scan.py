@@ -38,9 +38,9 @@ def test_scores_and_anchors_equal_brute_force(spark, files):
     weights = L.template_weights(idf)
     units = ["Licensed under the Apache License, Version 2.0 or so", "all rights reserved", "the of and", "", "MIT license. MIT license.", "GNU general public license version 3 applies here to all of it", "some other words",
              "SPDX-License-Identifier: GPL-2.0-only"]
-    anchor = set(L.anchors(weights, idf))
+    anchor = {name: set(own) for name, own in L.anchors(weights, idf).items()}
     got = {}
-    for r in L.score_units(spark.createDataFrame(list(enumerate(units)), "u bigint, unit string"), idf, weights).where("score > 0").collect():
+    for r in L.score_units(spark.createDataFrame(list(enumerate(units)), "u bigint, unit string"), idf, weights).collect():
         got[r["u"], r["licence"]] = max(r["score"], got.get((r["u"], r["licence"]), 0.0))
     want = {}
     for u, unit in enumerate(units):
@@ -48,11 +48,22 @@ def test_scores_and_anchors_equal_brute_force(spark, files):
         for name, text in L.TEMPLATES.items():
             must, must_not = L.marks(name, re.findall(L.TERM, text.lower()))
             score = cosine(unit, text, idf)
-            assert score < L.THRESHOLD or anchor & own or not set(must) <= own
-            if score and set(must) <= own and not set(must_not) & own:
+            assert score < L.THRESHOLD or anchor[name] & own or not set(must) <= own
+            fits = set(must) <= own and not set(must_not) & own and (name != L.LAST_RESORT or re.search(L.RESERVED, unit.lower()))
+            if fits and anchor[name] & own:
                 want[u, L.licence_of(name)] = max(score, want.get((u, L.licence_of(name)), 0.0))
+    assert set(got) == set(want)
     assert got == pytest.approx(want, abs=2e-6)
-    assert not anchor & {"the", "of", "and", "any", "all", "to"}
+    assert len(want) > 5
+
+
+def test_anchors_leave_frequent_terms_out(spark):
+    rows = [(k, "and all the words of any text that is to be in use or not in a work of this kind by rights for it") for k in range(200)]
+    vocab = L.vocabulary()
+    idf = L.inverse_frequencies(L.held_terms(spark.createDataFrame(rows, "doc_id bigint, text string"), vocab), vocab)
+    own = L.anchors(L.template_weights(idf), idf)
+    assert not {t for terms in own.values() for t in terms} & {"the", "of", "and", "any", "all", "to", "in", "is", "or", "be", "this", "work"}
+    assert all(own.values())
 
 
 def test_templates_name_their_own_licence_among_ordinary_files(spark):
