@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +47,14 @@ def words_of(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, other letters kept; for short strings."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores in front until no column has it; column names do not differ by case alone."""
+    used, found = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        found.append(name)
+    return found

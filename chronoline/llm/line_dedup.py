@@ -12,7 +12,7 @@ keys of at least ``min_chars`` code points take part. The steps:
    of the key with its document. They are counted exactly, and confirmed keys (in
    ``min_docs`` documents or more) keep the largest doc_id.
 3. The confirmed (document, key) pairs return to their documents and the lines
-   are dropped there.
+   are dropped there. Only documents that lose a line shuffle for that.
 
 Filters of single tasks are merged slice by slice in two rounds, first in ``MERGE_FAN`` parts
 of the tasks, then these sums. Filter
@@ -38,8 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import checkpoint
+from chronoline.llm.common import broadcast_keys, checkpoint, free_names
 
+COUNTS = ("n_lines", "n_dropped")
 MIN_CHARS = 40
 MIN_DOCS = 5
 BITS_PER_LINE = 8
@@ -190,21 +191,27 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return losing.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """All columns of docs with text replaced by the kept lines, plus n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS, counts: bool = True) -> DataFrame:
+    """All columns of docs with text replaced by the kept lines, plus n_lines and n_dropped where counts are asked for.
 
-    docs needs doc_id and text; columns named n_lines or n_dropped are replaced.
+    docs needs doc_id and text; with counts, columns named n_lines or n_dropped are replaced.
     """
-    narrow = docs.select("doc_id", "text")
-    keys = dropped_keys(narrow, min_chars, min_docs, max_filter_bits).select("doc_id", F.col("keys").alias("_lost_keys"))
-    docs = docs.drop("n_lines", "n_dropped", "_lost_keys")
-    joined = docs.join(keys, "doc_id", "left").select(*docs.columns, "_lost_keys")
-    at, lost_at, names = docs.columns.index("text"), len(docs.columns), [*docs.columns, "n_lines", "n_dropped"]
+    keys = dropped_keys(docs.select("doc_id", "text"), min_chars, min_docs, max_filter_bits)
+    docs = docs.drop("n_lines", "n_dropped") if counts else docs
+    (lost,) = free_names(docs.columns, "_lost_keys")
+    # few documents lose a line: the others, and rows without an id, stay where they are
+    losing = checkpoint(keys.select("doc_id", F.col("keys").alias(lost)))
+    ids = broadcast_keys(losing.select("doc_id"))
+    none = F.lit(None).cast("array<binary>").alias(lost)
+    stay = docs.where("doc_id is not null").join(ids, "doc_id", "left_anti").select(*docs.columns, none)
+    lose = docs.join(ids, "doc_id", "left_semi").join(losing, "doc_id").select(*docs.columns, lost)
+    joined = stay.union(docs.where("doc_id is null").select(*docs.columns, none)).union(lose)
+    at, lost_at, names = docs.columns.index("text"), len(docs.columns), [*docs.columns, *COUNTS[: 2 * counts]]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, losses = [], [], []
+            texts, totals, losses = [], [], []
             for text, lost in zip(batch.column(at), batch.column(lost_at)):
                 text, lost = text.as_py(), lost.as_py()
                 lines = (text or "").encode().split(b"\n")
@@ -213,13 +220,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                     gone = set(lost)
                     kept = [x for x in lines if (k := line_key(x, min_chars)) is None or hashlib.blake2b(k, digest_size=16).digest() not in gone]
                 texts.append(text if len(kept) == len(lines) else b"\n".join(kept).decode())
-                counts.append(len(lines))
+                totals.append(len(lines))
                 losses.append(len(lines) - len(kept))
             columns = [batch.column(i) for i in range(lost_at)]
             columns[at] = pa.array(texts, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(losses, pa.int64())], names=names)
+            extra = [pa.array(totals, pa.int64()), pa.array(losses, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *extra[: 2 * counts]], names=names)
 
-    return joined.mapInArrow(drop, ", ".join([*fields, "n_lines bigint", "n_dropped bigint"]))
+    return joined.mapInArrow(drop, ", ".join([*fields, *(f"{c} bigint" for c in COUNTS[: 2 * counts])]))
 
 
 ORACLE = r"""

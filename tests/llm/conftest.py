@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Columns whose names clash with what the operators use inside.
-CLASHING = "fp string, keys string, n_lines string, shard string, bucket string, x string, y string, score string, _row string, words string"
+CLASHING = "_digest string, _winner string, _lost_keys string, fp string, keys string, n_lines string, shard string, bucket string, x string, y string, score string, _row string, words string, key string, node string, root string, digest string, u string, unit string, licence string, term string, count string, at string"
 
 
 @pytest.fixture(scope="session")
