@@ -37,7 +37,8 @@ N_MELS = 20
 TENSOR_FRAMES = 32
 TENSOR_SHAPE = (TENSOR_FRAMES, N_MELS)
 FLOOR_DB = -100.0
-OPEN_DB, CLOSE_DB = -12.0, -15.0
+#: Over the median energy of the signal itself.
+OPEN_DB, CLOSE_DB = 0.5, 0.2
 PAD_TO = 64
 BLOCK_SAMPLES = 1 << 16
 
@@ -97,10 +98,11 @@ def mel_filters(rate: int, n_mels: int = N_MELS, frame: int = FRAME) -> np.ndarr
 
 
 def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel rows in dB and frame energies in dB; a signal shorter than a frame is padded to one."""
+    """Log-mel rows in dB and frame energies in dB, each frame about its own mean, so that an offset has no energy; a signal shorter than a frame is padded to one."""
     n = max(1, 1 + (len(x) - FRAME + HOP - 1) // HOP)
     padded = np.concatenate([x, np.zeros(max(0, (n - 1) * HOP + FRAME - len(x)), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP][:n]
+    frames = frames - frames.mean(axis=1, keepdims=True)
     power = np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1)).astype(np.float32) ** 2
     mel = 10 * np.log10(np.maximum(power @ mel_filters(rate), np.float32(1e-10)))
     energy = 10 * np.log10(np.maximum(np.mean(frames * frames, axis=1), np.float32(1e-10)))
@@ -108,17 +110,18 @@ def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks_of(samples: np.ndarray, block: int) -> Iterator[np.ndarray]:
-    """Resampled signal of 8-bit samples in blocks: each is resampled with the SIDE_TAPS * DOWN samples on both sides, as the whole would be."""
+    """Resampled signal of 8-bit samples about their mean, in blocks: each is resampled with the SIDE_TAPS * DOWN samples on both sides, as the whole would be."""
     side = SIDE_TAPS * DOWN
+    centre = np.float32(samples.mean(dtype=np.float64)) if len(samples) else np.float32(0)
     for at in range(0, len(samples), block):
         begin, end = max(0, at - side), min(len(samples), at + block + side)
-        x = (samples[begin:end].astype(np.float32) - 128) / 128
+        x = (samples[begin:end].astype(np.float32) - centre) / 128
         out = resample(x)
         first = (at - begin) * UP // DOWN
         yield out[first : first + -(-min(block, len(samples) - at) * UP // DOWN)]
 
 
-def hysteresis(energy: np.ndarray, open_db: float = OPEN_DB, close_db: float = CLOSE_DB) -> list[tuple[int, int]]:
+def hysteresis(energy: np.ndarray, open_db: float, close_db: float) -> list[tuple[int, int]]:
     """Half-open frame runs that start at open_db or more and last while close_db or more holds."""
     loud = np.concatenate([[False], energy >= close_db, [False]])
     edges = np.flatnonzero(loud[1:] != loud[:-1])
@@ -130,6 +133,12 @@ def hysteresis(energy: np.ndarray, open_db: float = OPEN_DB, close_db: float = C
     return found
 
 
+def segments_of(energy: np.ndarray) -> list[tuple[int, int]]:
+    """Louder stretches of a signal by its own level: they open OPEN_DB over its median energy and last while CLOSE_DB over it holds; an even signal has none."""
+    level = float(np.median(energy))
+    return hysteresis(energy, level + OPEN_DB, level + CLOSE_DB)
+
+
 def analyse(media: bytes) -> dict:
     """Features of stored media, read in blocks of a fixed length; frames and segments span blocks as if the signal were whole."""
     payload, rate = decode_wav(media)
@@ -152,7 +161,7 @@ def analyse(media: bytes) -> dict:
     tensors[: len(mel)] = mel
     seconds = HOP / out_rate
     spans = [(k * TENSOR_FRAMES * seconds, min(len(mel), (k + 1) * TENSOR_FRAMES) * seconds) for k in range(n)]
-    segments = [(a * seconds, b * seconds) for a, b in hysteresis(energy)]
+    segments = [(a * seconds, b * seconds) for a, b in segments_of(energy)]
     return {"payload": payload, "n_frames": len(mel), "tensors": tensors.reshape(n, -1), "spans": spans, "segments": segments, "mean_db": mel.mean(axis=0, dtype=np.float64).astype(np.float32)}
 
 

@@ -55,7 +55,8 @@ def slow_log_mel(x, rate):
     wave = np.exp(-2j * np.pi * np.outer(np.arange(M.FRAME // 2 + 1), np.arange(M.FRAME)) / M.FRAME)
     rows = []
     for k in range(n):
-        frame = x[k * M.HOP : k * M.HOP + M.FRAME] * np.hanning(M.FRAME)
+        frame = x[k * M.HOP : k * M.HOP + M.FRAME]
+        frame = (frame - frame.mean()) * np.hanning(M.FRAME)
         power, row = np.abs(wave @ frame) ** 2, []
         for low, middle, high in zip(edges, edges[1:], edges[2:]):
             hertz = np.arange(M.FRAME // 2 + 1) * rate / M.FRAME
@@ -74,10 +75,29 @@ def test_log_mel_equals_the_slow_form(n):
 def test_blocks_equal_the_whole_signal(n):
     r = np.random.default_rng(n)
     payload = M.pad_payload((128 + 100 * np.sin(np.arange(n) / 7) * (r.random(n // 1000 + 1) > 0.5).repeat(1000)[:n]).astype(np.uint8).tobytes())
-    whole = M.resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)
+    samples = np.frombuffer(payload, np.uint8)
+    whole = M.resample((samples.astype(np.float32) - np.float32(samples.mean(dtype=np.float64))) / 128)
     mel, energy = M.log_mel(whole, 4000)
     found = M.analyse(M.encode_wav(payload))
     assert found["n_frames"] == len(mel)
     assert np.allclose(found["tensors"].reshape(-1, M.N_MELS)[: len(mel)], mel, atol=1e-2)
     assert found["spans"][-1][1] == pytest.approx(len(mel) * M.HOP / 4000)
-    assert found["segments"] == [(a * (M.HOP / 4000), b * (M.HOP / 4000)) for a, b in M.hysteresis(energy)]
+    assert found["segments"] == [(a * (M.HOP / 4000), b * (M.HOP / 4000)) for a, b in M.segments_of(energy)]
+
+
+def test_segments_follow_the_loud_stretches_whatever_the_offset():
+    t = np.arange(120_000)
+    loud = (t // 10_000) % 3 == 1
+    for offset in (128, 100):
+        samples = np.where(loud, offset + 60 * np.sin(t / 5), offset + 3 * np.sin(t / 5)).astype(np.uint8)
+        found = M.analyse(M.encode_wav(samples.tobytes()))["segments"]
+        assert len(found) == 4
+        for k, (a, b) in enumerate(found):
+            assert abs(a - (3 * k + 1) * 1.25) < 0.1 and abs(b - (3 * k + 2) * 1.25) < 0.1
+    assert M.analyse(M.encode_wav(bytes([90]) * 6400))["segments"] == []
+
+
+def test_segments_tell_texts_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = [len(r["segments"]) for r in M.media_features(docs).where("n_bytes > 2000").collect()]
+    assert len(found) > 100 and len(set(found)) > 5 and np.mean(np.array(found) > 1) > 0.3
