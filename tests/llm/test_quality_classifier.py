@@ -61,3 +61,37 @@ def test_labels_of_bad_documents_are_never_read(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     scores = [{r["doc_id"]: round(r["score"], 9) for r in Q.score_documents(docs, x).collect()} for x in (labels, labels.where("quality = 1"))]
     assert scores[0] == scores[1]
+
+
+def test_the_ridge_is_chosen_without_held_out_rows(spark, monkeypatch):
+    """Neither texts nor labels of held-out documents reach the choice."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    keep = Q.choose_ridge
+    monkeypatch.setattr(Q, "choose_ridge", lambda x, positive, part, prior: (seen.append((x.shape, x.sum(), positive.sum())), keep(x, positive, part, prior))[1])
+    held = Q.fold_is_held_out(Q.F.col("doc_id"))
+    Q.fit(Q.training_table(docs, labels))
+    Q.fit(Q.training_table(docs.withColumn("text", Q.F.when(held, Q.F.lit("#### || !!")).otherwise(Q.F.col("text"))), labels))
+    Q.fit(Q.training_table(docs, labels.where(~held)))
+    assert seen[0] == seen[1] == seen[2] and seen[0][0][0] == docs.where(~held).count()
+
+
+def test_the_fit_has_least_risk_and_a_ridge_suits_its_rows():
+    r = np.random.default_rng(6)
+    n = 600
+    good = r.random(n) < 0.6
+    x = np.c_[np.ones(n), r.standard_normal((n, 3)) + 1.5 * good[:, None]]
+    positive = good & (r.random(n) < 0.5)
+    sums, mean_p = Q.array_sums(x, positive), x[positive].mean(axis=0)
+    w = Q.minimise(sums, n, int(positive.sum()), mean_p, 0.6, 1e-2)
+
+    def risk(w):
+        t = sums(w)
+        ridges = np.array([1e-3, 1e-2, 1e-2, 1e-2])
+        return 0.6 * t.p_pos / positive.sum() + max(0.0, t.u_neg / n - 0.6 * t.p_neg / positive.sum()) + 0.5 * ridges @ (w * w)
+
+    assert all(risk(w + step * e) >= risk(w) - 1e-6 for e in np.eye(4) for step in (-0.05, 0.05))
+    assert np.mean((x @ w > 0) == good) > 0.9
+    part = np.arange(n) % 4
+    assert Q.choose_ridge(x, positive, part, 0.6) in Q.RIDGES
+    assert Q.choose_ridge(x, np.zeros(n, bool), part, 0.6) == max(Q.RIDGES)
