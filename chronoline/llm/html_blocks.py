@@ -21,7 +21,7 @@ FOREIGN_TAGS = frozenset(["svg", "math"])
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article aside body div dl fieldset figure footer form header html main nav ol section table td th ul blockquote".split())
 
-_TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)(?:>|\Z)")
+_TOKEN = re.compile(r"<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)(?:>|\Z)")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 _TEMPLATE = re.compile(r"<(/?)template(?=[\s/>])[^>]*>", re.IGNORECASE)

@@ -75,3 +75,18 @@ def test_odd_rows(spark):
     out = H.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' as text")).collect()
     assert len(out) == 6 and {r["text"] for r in out if r["page_id"] in (1, 2)} == {""}
     assert next(r for r in out if r["page_id"] == 4)["text"].count("\n") == 2999
+
+
+def test_comments_end_as_html_ends_them():
+    from chronoline.llm.html_blocks import leaf_blocks
+
+    for comment in ("<!-->", "<!--->", "<!---->", "<!-- x -->", "<!-- x --!>", "<!--x->y-->", "<!--<!-- x -->", "<!--\n-->"):
+        assert [b.text for b in leaf_blocks(f"<p>a{comment}b</p><p>c</p>")] == ["ab", "c"], comment
+    assert [b.text for b in leaf_blocks("<p>a</p><!-- open <p>b</p>")] == ["a"]
+
+
+def test_no_pages(spark):
+    from chronoline.llm import html_extract
+
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert html_extract.extract_main_text(pages).count() == 0
