@@ -73,10 +73,23 @@ class Vocabulary:
     added: dict[str, int]
 
 
+def _refuse_other_kinds(spec: dict) -> None:
+    """Only what this encoder does the same way is read: plain byte-level pairs without a normaliser, prefix space or marks that take white space with them."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["model"] if model.get("type", "BPE") != "BPE" else []
+    odd += ["normalizer"] if spec.get("normalizer") else []
+    odd += ["pre_tokenizer"] if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) else []
+    odd += [f"added token {a['content']!r}" for a in spec.get("added_tokens", []) if a.get("lstrip") or a.get("rstrip") or a.get("single_word")]
+    if odd:
+        raise ValueError(f"not supported: {', '.join(odd)}")
+
+
 @lru_cache(maxsize=4)
 def load_vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    _refuse_other_kinds(spec)
     back = byte_alphabet()
     raw = lambda token: bytes(back[c] for c in token)
     ids = {raw(token): i for token, i in spec["model"]["vocab"].items()}
@@ -336,9 +349,9 @@ class Encoder:
         rank = look_up(self.lexicon, pieces)
         found = [b""] * len(pieces)
         known = np.flatnonzero(rank >= 0)
-        whole = ids.tobytes()
+        whole = memoryview(ids).cast("B") if len(known) else b""
         for i, begin, end in zip(known.tolist(), (slots[rank[known]] * 4).tolist(), (slots[rank[known] + 1] * 4).tolist()):
-            found[i] = whole[begin:end]
+            found[i] = bytes(whole[begin:end])
         unseen = np.flatnonzero(rank < 0).tolist()
         for i, made in zip(unseen, merge_pieces([pieces[i] for i in unseen], self.vocab, self.pairs)):
             found[i] = made

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -64,3 +65,16 @@ def test_documents_round_trip(spark, library, odd_docs, no_docs):
     back = {r["doc_id"]: r["text"] for r in B.decode_documents(encoded.where("doc_id is not null"), PATH).collect()}
     assert back == texts
     assert B.encode_documents(no_docs, PATH).count() == 0
+
+
+@pytest.mark.parametrize("change", [
+    {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}},
+    {"model": {"ignore_merges": True}}, {"model": {"type": "Unigram"}}, {"added_tokens": [{"id": 0, "content": "x", "lstrip": True}]},
+])
+def test_other_kinds_of_vocabularies_are_refused(tmp_path, change):
+    spec = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}
+    spec |= {k: ({**spec[k], **v} if k == "model" else v) for k, v in change.items()}
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="not supported"):
+        B.load_vocabulary(str(path))
