@@ -39,5 +39,22 @@ def test_stages(spark, tmp_path):
 
 
 def test_registry_names_every_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_odd_rows_pass_every_stage(spark, odd_docs, no_docs):
+    """Nulls, empty and very long texts, repeated and missing ids, columns named like those used inside."""
+    docs = odd_docs
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        assert out.count() <= docs.count()
+        assert stage(spark, no_docs, SF).count() == 0, name
+    assert C.STAGES[-1][1](spark, docs, SF).count() == docs.count() and C.STAGES[-1][1](spark, no_docs, SF).count() == 0
+
+
+def test_near_copies_of_odd_rows_leave_one(spark, odd_docs):
+    kept = C.dedup_documents(spark, odd_docs, SF).collect()
+    texts = [" ".join((r["text"] or "").lower().split()) for r in kept]
+    assert 5 < len(texts) == len(set(texts)) <= len({" ".join((r["text"] or "").lower().split()) for r in odd_docs.collect()})
