@@ -112,4 +112,5 @@ ORACLES: dict[str, str] = {
     "op8_url_filters": url_filter.oracle(),
     "op11_divergence_audit": divergence_audit.oracle(),
     "op12_periodic_runs": periodic_runs.ORACLE,
+    "op13_set_join": set_join.ORACLE,
 }

@@ -524,3 +524,16 @@ def join_sets(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -
     answers = nodes.join(checkpoint(named), "root", "left").where("component_id is not null or copies > 1").select("node", F.coalesce("component_id", "least").alias("component_id"))
     told = rows.join(broadcast_keys(checkpoint(answers)), "node", "left")
     return told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+#: Every pair that shares a shingle is compared, and components are the closure of the links.
+ORACLE = r"""
+with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+place as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from docs where len(w) > 0),
+gram as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from place),
+size as (select doc_id, count(*) as n from gram group by doc_id),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as k from gram a join gram b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+link as (select a, b from met join size x on x.doc_id = a join size y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+reach as (select doc_id as a, doc_id as b from docs union select reach.a, link.b from reach join link on link.a = reach.b)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, min(b)::bigint as component_id
+from docs d left join size s on s.doc_id = d.doc_id join reach r on r.a = d.doc_id group by d.doc_id, n"""
