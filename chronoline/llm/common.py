@@ -38,6 +38,17 @@ def broadcast_keys(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+#: Rows of texts that travel to Python at once.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lowers the session's Arrow batches to so many rows: a batch of texts is held several times over, by the JVM and by its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def words_of(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text as an array; null and empty texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
