@@ -70,6 +70,32 @@ def vocal_part(notes: DataFrame, preferred: str | None = None) -> DataFrame:
     return notes.join(best, ["song_id", "part"], "left_semi")
 
 
+def repair_lyrics(notes: DataFrame) -> DataFrame:
+    """Notes of a vocal part with two engraving faults mended: punctuation on a note of its own, and words run together on one.
+
+    A text without letters or digits joins the text of the note before it, which it touches, and leaves its note without a text; of several such notes in a row every other one joins. A text with a
+    comma, full stop or space before another letter or digit gives what follows to the notes without a text behind it, a piece each, the last of them the rest.
+    """
+    order = ["offset", "pos"]
+    w = O.over(["song_id"], order)
+    touches = F.abs(F.col("offset") - F.lag(F.col("offset") + F.col("qlen")).over(w)) < 1e-6
+    joins = F.col("text").isNotNull() & (S.normalize_word(F.col("text")) == "") & F.lag("text").over(w).isNotNull() & F.coalesce(touches, F.lit(False))
+    marked = O.islands(notes.withColumn("_joins", joins), ["song_id"], order, F.col("_joins") != F.lag("_joins").over(w), "_run")
+    within = F.row_number().over(O.over(["song_id", "_run"], order))
+    marked = marked.withColumn("_gone", F.col("_joins") & (within % 2 == 1))
+    tail = F.when(F.lead("_gone").over(w), F.lead("text").over(w))
+    marked = marked.withColumns({"_text": F.when(~F.col("_gone"), F.concat(F.col("text"), F.coalesce(tail, F.lit("")))), "syllabic": F.when(~F.col("_gone"), F.col("syllabic"))})
+    # a text and the notes without one behind it
+    marked = marked.withColumn("_head", F.sum(F.col("_text").isNotNull().cast("int")).over(O.upto(["song_id"], order)))
+    own = Window.partitionBy("song_id", "_head")
+    pieces = F.split(F.first("_text", True).over(own), r"(?<=.[,.\s])(?=[A-Za-z0-9])")
+    marked = marked.withColumns({"_pieces": pieces, "_at": F.row_number().over(own.orderBy(*order)), "_of": F.count("*").over(own)})
+    rest = F.array_join(F.slice("_pieces", F.col("_at"), F.greatest(F.lit(1), F.size("_pieces"))), "")
+    piece = F.when(F.col("_head") == 0, F.col("_text")).when(F.col("_at") <= F.size("_pieces"), F.when(F.col("_at") == F.col("_of"), rest).otherwise(F.get("_pieces", F.col("_at") - 1)))
+    given = (F.col("_at") > 1) & piece.isNotNull()
+    return marked.withColumns({"text": piece, "syllabic": F.when(given, "single").otherwise(F.col("syllabic"))}).select(*notes.columns)
+
+
 def sung_words(notes: DataFrame) -> DataFrame:
     """song_id, pos, text, norm, offset, syllables of a vocal part: a word begins at syllabic single, begin or none; untexted notes that touch the one before extend its word."""
     w = O.over(["song_id"], ["offset", "pos"])

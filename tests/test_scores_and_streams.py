@@ -43,3 +43,41 @@ def test_gap_sessions(spark, tmp_path):
         sessions.gap_sessions(stream, "track", "t", 10, "20 seconds").writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     got = sorted((int(r["first_t"].timestamp()) - 1_000_000, int(r["last_t"].timestamp()) - 1_000_000, r["n"]) for r in spark.read.parquet(str(out)).collect())
     assert got[:3] == [(0, 5, 2), (100, 104, 2), (10_000, 10_000, 1)]  # 8 comes after the watermark
+
+
+def test_repaired_lyrics(spark):
+    """Dots join the word before them, every other one of several; words run together go to the notes without a text behind them."""
+
+    def walk(notes):
+        import re
+
+        out = [dict(n) for n in notes]
+        for i in range(1, len(out)):
+            a, b = out[i - 1], out[i]
+            if b["text"] and not re.sub("[^a-z0-9']", "", b["text"].lower()) and a["text"] and abs(b["offset"] - a["offset"] - a["qlen"]) < 1e-6:
+                a["text"] += b["text"]
+                b["text"] = b["syllabic"] = None
+        for i in range(len(out) - 1):
+            m = re.match(r"^(.+?[,.\s])([A-Za-z0-9].*)$", out[i]["text"] or "")
+            if m and not out[i + 1]["text"]:
+                out[i]["text"], out[i + 1]["text"] = m.groups()
+                out[i + 1]["syllabic"] = "single"
+        return [(n["pos"], n["text"], n["syllabic"]) for n in out]
+
+    import random
+
+    r = random.Random(4)
+    rows, kind = [], "song_id string, part string, pos long, offset double, qlen double, midi int, text string, syllabic string, tied boolean"
+    for song in range(40):
+        at = 0.0
+        for pos in range(25):
+            at += r.choice([0, 0, 0, 0.5])
+            text = r.choice(["la", "la", "know", "..", "!", "right,it's", "a,b,c d", ", x", "end.", None, None])
+            rows.append((f"s{song}", "P", pos, at, 1.0, 60, text, None if text is None else r.choice(["single", "begin", "end"]), False))
+            at += 1.0
+    got = {}
+    for x in X.repair_lyrics(spark.createDataFrame(rows, kind)).orderBy("song_id", "pos").collect():
+        got.setdefault(x["song_id"], []).append((x["pos"], x["text"], x["syllabic"]))
+    names = kind.replace(",", "").split()[::2]
+    want = {f"s{song}": walk([dict(zip(names, x)) for x in rows if x[0] == f"s{song}"]) for song in range(40)}
+    assert got == want
