@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +43,24 @@ def broadcast_keys(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 BATCH_ROWS = 2_000
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lowers the session's Arrow batches to so many rows: a batch of texts is held several times over, by the JVM and by its Python worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+    if not 0 < int(spark.conf.get(ARROW_ROWS, "10000")) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside; for rows that are large themselves."""
+    before = spark.conf.get(ARROW_ROWS, "10000")
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def words_of(text: Column) -> Column:

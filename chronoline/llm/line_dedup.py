@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.common import broadcast_keys, checkpoint, free_names
+from chronoline.llm.common import batches_of, broadcast_keys, checkpoint, free_names
 
 COUNTS = ("n_lines", "n_dropped")
 MIN_CHARS = 40
@@ -49,6 +49,8 @@ MIN_FILTER_BITS = 1 << 20
 MAX_FILTER_BITS = 1 << 27
 SLICE_BITS = 1 << 19
 MERGE_FAN = 64
+#: Slices of 128 KiB that travel in one Arrow batch.
+SLICES_AT_ONCE = 64
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
@@ -146,9 +148,10 @@ def build_twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray
     partly = filled.repartition("slice", "of").select("slice", "bits").mapInArrow(some, kinds)
     merged = partly.repartition("slice").mapInArrow(last, kinds)
     twice = np.zeros(bits // 8, dtype=np.uint8)
-    for found in merged.toLocalIterator():
-        part = np.frombuffer(found["bits"], dtype=np.uint8)
-        twice[found["slice"] * len(part) :][: len(part)] = part
+    with batches_of(docs.sparkSession, SLICES_AT_ONCE):
+        for found in merged.toLocalIterator():
+            part = np.frombuffer(found["bits"], dtype=np.uint8)
+            twice[found["slice"] * len(part) :][: len(part)] = part
     return twice
 
 
