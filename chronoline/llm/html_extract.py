@@ -96,8 +96,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray):
-    """Hidden states (n, t, h) and what the backward pass needs."""
+def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, learn: bool = True):
+    """Hidden states (n, t, h) and, to learn, what the backward pass needs."""
     n, t, _ = x.shape
     h, c = np.zeros((n, HIDDEN), dtype=x.dtype), np.zeros((n, HIDDEN), dtype=x.dtype)
     pre, out, tape = x @ w + b, np.empty((n, t, HIDDEN), dtype=x.dtype), []
@@ -107,7 +107,8 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray):
         i, f, o, a = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(g[:, 3 * HIDDEN :])
         c_new = f * c + i * a
         tc = np.tanh(c_new)
-        tape.append((i, f, o, a, c, tc, h))
+        if learn:
+            tape.append((i, f, o, a, c, tc, h))
         h, c = o * tc, c_new
         out[:, k] = h
     return out, tape
@@ -141,13 +142,13 @@ class Labeller:
             "out": draw(2 * HIDDEN + WIDTH, 1), "out_bias": np.zeros(1, np.float32),
         }
 
-    def forward(self, batch: Batch):
+    def forward(self, batch: Batch, learn: bool = True):
         p = self.p
         x = batch.embed(p["table"], p["dense"], p["bias"])
         back = batch.back[:, :, None]
         xr = np.take_along_axis(x, back, axis=1)
-        hf, tape_f = lstm(x, p["wf"], p["uf"], p["bf"])
-        hr, tape_b = lstm(xr, p["wb"], p["ub"], p["bb"])
+        hf, tape_f = lstm(x, p["wf"], p["uf"], p["bf"], learn)
+        hr, tape_b = lstm(xr, p["wb"], p["ub"], p["bb"], learn)
         joint = np.concatenate([hf, np.take_along_axis(hr, back, axis=1), x], axis=2)
         return (joint @ p["out"])[:, :, 0] + p["out_bias"], (x, xr, tape_f, tape_b, joint)
 
@@ -201,7 +202,7 @@ class Labeller:
                 longest = len(pages[order[n]])
                 n += 1
             part, order = order[:n], order[n:]
-            z, _ = self.forward(Batch([pages[i] for i in part]))
+            z, _ = self.forward(Batch([pages[i] for i in part]), learn=False)
             for i, row in zip(part, z):
                 found[i] = row[: len(pages[i])] > 0
         return found

@@ -90,3 +90,46 @@ def test_no_pages(spark):
 
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert html_extract.extract_main_text(pages).count() == 0
+
+
+def test_batches_equal_a_page_by_page_walk():
+    """Every block's score by a walk over one page in plain form: vectors, both directions, output; and the text joined from the blocks over nought."""
+    import numpy as np
+    from chronoline.llm import html_extract as H
+    from chronoline.llm.html_training import labelled_pages
+
+    labeller = H.Labeller(3)
+    p = {k: v.astype(float) for k, v in labeller.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def steps(xs, w, u, b):
+        h, c, out = np.zeros(H.HIDDEN), np.zeros(H.HIDDEN), []
+        for x in xs:
+            i, f, o, a = np.split(x @ w + h @ u + b, 4)
+            c = sigmoid(f) * c + sigmoid(i) * np.tanh(a)
+            h = sigmoid(o) * np.tanh(c)
+            out.append(h)
+        return out
+
+    def walk(blocks):
+        xs, run = [], 0
+        for i, b in enumerate(blocks):
+            run = run + 1 if i and blocks[i - 1].path == b.path else 0
+            x = np.array(H._dense(b, i, len(blocks), run)) @ p["dense"] + p["bias"] + sum(p["table"][r] for r in H._path_rows(b.path))
+            words = H._word_rows(b.text)
+            xs.append(np.tanh(x + sum(p["table"][r] for r in words) / max(1, len(words))))
+        ahead, back = steps(xs, p["wf"], p["uf"], p["bf"]), steps(xs[::-1], p["wb"], p["ub"], p["bb"])[::-1]
+        return [float(np.concatenate(v) @ p["out"][:, 0] + p["out_bias"][0]) for v in zip(ahead, back, xs)]
+
+    pages = [blocks for blocks, _ in labelled_pages(12, 5)] + [[]]
+    want = [walk(b) for b in pages]
+    middle = float(np.median([v for w in want for v in w]))
+    labeller.p["out_bias"] = labeller.p["out_bias"] - np.float32(middle)
+    kept = labeller.main_blocks(pages)
+    for w, k in zip(want, kept):
+        sure = np.abs(np.array(w) - middle) > 1e-4
+        assert ((np.array(w) > middle) == k)[sure].all()
+    assert 0.3 < np.mean(np.concatenate(kept)) < 0.7
+    html = "<html><body><p>One &amp; two</p><div><p>three\n  four</p></div></body></html>"
+    blocks = H.leaf_blocks(html)
+    assert H.main_texts(labeller, [html, None, ""]) == ["\n".join(b.text for b, k in zip(blocks, labeller.main_blocks([blocks])[0]) if k), "", ""]
