@@ -34,8 +34,9 @@ def normalize_edges(text: Column) -> Column:
 
 
 def normalize_line(text: Column) -> Column:
-    """Normalized words of a line, joined by single spaces."""
-    return F.array_join(F.filter(F.transform(F.split(text, r"\s+"), normalize_word), lambda w: w != ""), " ")
+    """Normalized words of a line, joined by single spaces; white space stays while the rest is normalized at once, and is folded then."""
+    kept = F.regexp_replace(F.translate(F.lower(text), "’‘", "''"), r"[^a-z0-9'\s]", "")
+    return F.btrim(F.regexp_replace(kept, r"\s+", " "))
 
 
 def without_fillers(normalized_line: Column, fillers: tuple[str, ...] = FILLERS) -> Column:
