@@ -35,16 +35,22 @@ OUTLIER_SECONDS, MIN_ANCHORS, MAX_GAP = 4.0, 6, 45.0
 RESCUE_SHARE = 0.3
 
 
-def calibrate(candidates: DataFrame, key: list[str], order: list[str], t: str, delta: str, model: str = "isotonic") -> tuple[DataFrame, DataFrame]:
+def calibrate(candidates: DataFrame, key: list[str], order: list[str], t: str, delta: str, model: str = "isotonic", rescued: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(summary, anchors): kind constant, drift, isotonic or piecewise, or null, with offset, slope and confidence; anchors(key, x, y) of the accepted songs.
 
-    A later tier is tried only where the ones before it do not agree well enough; the last one also needs some support from them.
+    A later tier is tried only where the ones before it do not agree well enough; the last one also needs some support from them, or that the song is
+    among the rescued(key), those whose repeated lines are known to match the timed lyric's (alignment.repeat_structure).
     """
     candidates = checkpoint(candidates)
     one = E.constant_calibration(candidates, key, order, delta, MIN_SAMPLES, MIN_SHARE).withColumnRenamed("confidence", "share1")
     open_ = candidates.join(one.where(~F.col("accepted") & (F.col("total") >= MIN_DRIFT_SAMPLES)).select(*key), key, "left_semi")
     two = checkpoint(E.theil_sen(open_, key, t, delta, DRIFT_TOLERANCE).withColumnRenamed("share", "share2"))
-    weak = two.where(F.col("share2") < MIN_DRIFT_SHARE).join(one.select(*key, "share1"), key).where(F.greatest("share1", "share2") >= RESCUE_SHARE)
+    weak = two.where(F.col("share2") < MIN_DRIFT_SHARE).join(one.select(*key, "share1"), key)
+    supported = F.greatest("share1", "share2") >= RESCUE_SHARE
+    if rescued is not None:
+        weak = weak.join(rescued.select(*key).distinct().withColumn("_rescued", F.lit(True)), key, "left")
+        supported = supported | F.coalesce("_rescued", F.lit(False))
+    weak = weak.where(supported).drop("_rescued")
     near = open_.join(weak, key).where(F.abs(F.col(delta) - (F.col("intercept") + F.col("slope") * F.col(t))) <= OUTLIER_SECONDS)
     near = near.withColumns({"x": F.col(t).cast("double"), "y": (F.col(t) + F.col(delta)).cast("double")})
     fitted = N.isotonic_anchors(near, key, "x", "y") if model == "isotonic" else O.monotone_anchors(near, key, ["x", *order], "y").select(*key, "x", "y")

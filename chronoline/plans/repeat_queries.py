@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronoline.functions import scalars as S
+from chronoline.operators import alignment as A
+from chronoline.operators import calibration as K
 from chronoline.operators import ordered as O
 from chronoline.operators import retiming as RT
 from chronoline.operators import score_reference as SR
-from chronoline.plans.estimator_queries import SECONDS, seconds
-from chronoline.plans.recursive_sql import matched
+from chronoline.plans.estimator_queries import CAND, SECONDS, seconds
+from chronoline.plans.recursive_sql import TIERS_SQL, matched
 from chronoline.plans.sequence_queries import KEY, ORDER, WIN
 
 DAY = 86400.0
@@ -82,5 +85,43 @@ y as (select k, pos, p + case when up > 6 then up - 12 else up end as np from u)
 select lf.k as song_id, lf.pos::bigint as pos, coalesce(np, p)::bigint as pitch, round(case when coalesce(np, p) <> p then greatest(c, 0.75) else c end, 6) as confidence from lf left join y on y.k = lf.k and y.pos = lf.pos"""
 
 
-QUERIES = {"misheard_in_lines": misheard_in_lines, "repeated_score_pitches": repeated_score_pitches}
-ORACLES = {"misheard_in_lines": MISHEARD_SQL, "repeated_score_pitches": REPEATED_SCORE_SQL}
+def _shaken(spark, sf_dir):
+    """Candidates five seconds apart: of four users one is off by a constant, one drifts, one scatters by three seconds and one by six."""
+    pos = F.row_number().over(O.over(KEY, ORDER)) - 1
+    ev = seconds(spark, sf_dir).select("user_id", "t_us", "event_id", pos.alias("i"))
+    kind, small = F.col("user_id") % 4, F.col("event_id") % 97 / 1000
+    delta = F.when(kind == 0, 2.0).when(kind == 1, F.col("i") * 0.5).when(kind == 2, F.col("i") * 5 % 9 - 4.0).otherwise(F.col("i") * 5 % 13 - 6.0)
+    return ev.select("user_id", "t_us", "event_id", (F.col("i") * 5.0).alias("x"), (delta + small).alias("delta"))
+
+
+_SHAKEN = f"""{SECONDS}, si as (select *, row_number() {WIN} - 1 as i from t),
+ca as (select user_id, t_us, event_id, i * 5.0::double as x, (case user_id % 4 when 0 then 2.0 when 1 then i * 0.5 when 2 then i * 5 % 9 - 4.0 else i * 5 % 13 - 6.0 end)::double + event_id % 97 / 1000 as delta from si)"""
+
+
+def _tiers(summary, anchors):
+    counted = anchors.groupBy(*KEY).agg(F.count("*").alias("anchors"))
+    return summary.join(counted, KEY, "left").select("user_id", F.coalesce("kind", F.lit("")).alias("kind"), F.round("confidence", 6).alias("confidence"), F.coalesce("anchors", F.lit(0)).alias("anchors"))
+
+
+def shaken_tiers(spark, sf_dir):
+    """Calibration of candidates that reach every tier."""
+    return _tiers(*K.calibrate(_shaken(spark, sf_dir), KEY, ORDER, "x", "delta"))
+
+
+SHAKEN_SQL = TIERS_SQL.replace(CAND, _SHAKEN)
+
+
+def rescued_tiers(spark, sf_dir):
+    """The same where songs whose repeated lines match open the last tier: every third user's lyric lacks a quarter of the lines."""
+    lines = seconds(spark, sf_dir).select("user_id", F.col("event_id").alias("line_no"), F.concat("event_type", F.lit(" again")).alias("line"))
+    theirs = lines.where(~((F.col("user_id") % 3 == 0) & (F.col("line_no") % 4 == 0)))
+    same = A.repeat_structure(lines, theirs, "user_id", S.normalize_word).where("not differs")
+    return _tiers(*K.calibrate(_shaken(spark, sf_dir), KEY, ORDER, "x", "delta", rescued=same))
+
+
+_SAME = """with recursive nl as (select user_id, event_type, count(*) as c, count(*) filter (where user_id % 3 = 0 and event_id % 4 = 0) as gone from events group by all),
+ok as (select user_id from nl group by user_id having max(c) >= 3 and sum(gone) <= greatest(1.0, round_even(sum(c) * 0.15, 0))), """
+RESCUED_SQL = SHAKEN_SQL.replace("with recursive ", _SAME, 1).replace("greatest(share1, share2) >= 0.3", "(greatest(share1, share2) >= 0.3 or user_id in (select user_id from ok))")
+
+QUERIES = {"misheard_in_lines": misheard_in_lines, "repeated_score_pitches": repeated_score_pitches, "shaken_tiers": shaken_tiers, "rescued_tiers": rescued_tiers}
+ORACLES = {"misheard_in_lines": MISHEARD_SQL, "repeated_score_pitches": REPEATED_SCORE_SQL, "shaken_tiers": SHAKEN_SQL, "rescued_tiers": RESCUED_SQL}
