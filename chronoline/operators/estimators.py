@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoline.functions import scalars as S
 from chronoline.operators.ordered import over
+from chronoline.operators.ranges import within_windows
 from chronoline.operators.slopes import median_slopes
 
 #: The Krumhansl-Kessler key profiles, from C.
@@ -90,6 +92,32 @@ def class_mass(rows: DataFrame, key: list[str], values: str, bins: int = 12) ->
     return flat.groupBy(*key, F.pmod("i", F.lit(bins)).cast("int").alias("pc")).agg(F.sum(F.col("v").cast("double")).alias("mass"))
 
 
+#: The cents over 10 Hz of the first bin of a pitch model's activation, and from bin to bin.
+FIRST_CENTS, CENTS_STEP = 1997.3794084376191, 20.0
+FRAME_BUCKET = 1.0
+
+
+def note_class_mass(notes: DataFrame, frames: DataFrame, key: list[str], note: str, start: str, end: str, t: str, activation: str, first: float = FIRST_CENTS, step: float = CENTS_STEP) -> DataFrame:
+    """key, note, pc, mass: the activation of a note's frames by pitch class, a bin's class being that of its cents.
+
+    A note's frames start within it, both ends included; a note without one takes the next frame behind its start, and has no row if there is none.
+    """
+    own = notes.select(*key, note, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    shown = frames.select(*key, F.col(t).alias("_t"), F.col(activation).alias("_v"))
+    inside = within_windows(shown, own, key, "_t", "_s", "_e", FRAME_BUCKET).select(*key, note, "_v")
+    bare = own.join(inside.select(*key, note).distinct(), [*key, note], "left_anti")
+    # notes and frames on one line of time: a note sees the first frame at or behind its start
+    none = F.lit(None)
+    line = bare.select(*key, note, F.col("_s").alias("_t"), none.cast(frames.schema[activation].dataType).alias("_v"), F.lit(0).alias("_side")).union(
+        shown.select(*key, none.cast(notes.schema[note].dataType).alias(note), "_t", "_v", F.lit(1).alias("_side"))
+    )
+    behind = Window.partitionBy(*key).orderBy("_t", "_side").rowsBetween(1, Window.unboundedFollowing)
+    next_ = line.withColumn("_next", F.first("_v", True).over(behind)).where("_side = 0 and _next is not null").select(*key, note, F.col("_next").alias("_v"))
+    flat = inside.union(next_).select(*key, note, F.posexplode("_v").alias("_i", "_x"))
+    pc = S.cents_to_class(F.lit(first) + F.col("_i") * F.lit(step))
+    return flat.groupBy(*key, note, pc.alias("pc")).agg(F.sum(F.col("_x").cast("double")).alias("mass"))
+
+
 def key_fit(mass: DataFrame, key: list[str]) -> DataFrame:
     """tonic, mode and corr of the best of 24 rotated profiles; a constant mass is C major. Major and low tonics come first on ties."""
     spark = mass.sparkSession

@@ -100,3 +100,18 @@ def frames_in_notes(notes: DataFrame, frames: DataFrame, key: list[str], start:
     found = line.withColumn("_next", next_).where(F.col(row_id).isNotNull() & F.col("_next").isNotNull())
     extra = lone.join(found.select(row_id, "_next.*"), row_id)
     return inside.unionByName(extra.select(*inside.columns))
+
+
+def within_windows(points: DataFrame, windows: DataFrame, key: list[str], t: str, low: str, high: str, bucket: float) -> DataFrame:
+    """points and windows of a key where low <= t <= high, columns of both; an equi-join on buckets, whatever the windows' lengths.
+
+    A window meets buckets of a size like its own, twice the bucket as often as needed, so it lies in three at the most; a point is in one bucket of each size that its key has.
+    Windows without a length or the wrong way round meet nothing.
+    """
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col(high) - F.col(low), F.lit(bucket)) / bucket))).cast("int")
+    at = lambda c, level: F.floor(c / (F.lit(bucket) * F.pow(F.lit(2.0), level))).cast("long")
+    sized = windows.where(F.col(low) <= F.col(high)).withColumn("_size", size)
+    dealt = sized.withColumn("_bucket", F.explode(F.sequence(at(F.col(low), F.col("_size")), at(F.col(high), F.col("_size")))))
+    sizes = sized.groupBy(*key).agg(F.collect_set("_size").alias("_sizes"))
+    spread = points.join(sizes, key).withColumn("_size", F.explode("_sizes")).withColumn("_bucket", at(F.col(t), F.col("_size"))).drop("_sizes")
+    return spread.join(dealt, [*key, "_size", "_bucket"]).where(F.col(t).between(F.col(low), F.col(high))).drop("_size", "_bucket")

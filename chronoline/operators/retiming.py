@@ -113,12 +113,9 @@ def heard_near_lines(lines: DataFrame, heard: DataFrame, key: list[str], slack:
 
     lines(key, line_no, t, t_end); without t_end a line ends where the next one starts, the last after five seconds.
     """
-    bucket = lambda c: F.floor(c / WINDOW_BUCKET)
     ended = lines if "t_end" in lines.columns else R.line_windows(lines, key, ["line_no"], "t")
-    windows = ended.select(*key, "line_no", "t", "t_end").withColumns({"_lo": F.col("t") - slack, "_hi": F.col("t_end") + slack})
-    windows = windows.where("_lo <= _hi").withColumn("_b", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))))
-    near = heard.withColumn("_b", bucket(F.col("start"))).join(windows.select(*key, "line_no", "_lo", "_hi", "_b"), [*key, "_b"])
-    return near.where(F.col("start").between(F.col("_lo"), F.col("_hi"))).drop("_b", "_lo", "_hi")
+    windows = ended.select(*key, "line_no", (F.col("t") - slack).alias("_lo"), (F.col("t_end") + slack).alias("_hi"))
+    return R.within_windows(heard, windows, key, "start", "_lo", "_hi", WINDOW_BUCKET).drop("_lo", "_hi")
 
 
 def heard_in_lines(words: DataFrame, lines: DataFrame, heard: DataFrame, key: list[str]) -> DataFrame:

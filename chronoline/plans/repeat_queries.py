@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chronoline.functions import scalars as S
 from chronoline.operators import alignment as A
 from chronoline.operators import calibration as K
+from chronoline.operators import estimators as E
 from chronoline.operators import ordered as O
 from chronoline.operators import retiming as RT
 from chronoline.operators import score_reference as SR
@@ -123,5 +124,26 @@ _SAME = """with recursive nl as (select user_id, event_type, count(*) as c, coun
 ok as (select user_id from nl group by user_id having max(c) >= 3 and sum(gone) <= greatest(1.0, round_even(sum(c) * 0.15, 0))), """
 RESCUED_SQL = SHAKEN_SQL.replace("with recursive ", _SAME, 1).replace("greatest(share1, share2) >= 0.3", "(greatest(share1, share2) >= 0.3 or user_id in (select user_id from ok))")
 
-QUERIES = {"misheard_in_lines": misheard_in_lines, "repeated_score_pitches": repeated_score_pitches, "shaken_tiers": shaken_tiers, "rescued_tiers": rescued_tiers}
-ORACLES = {"misheard_in_lines": MISHEARD_SQL, "repeated_score_pitches": REPEATED_SCORE_SQL, "shaken_tiers": SHAKEN_SQL, "rescued_tiers": RESCUED_SQL}
+BINS = 48
+
+
+def note_classes(spark, sf_dir):
+    """Purchases as notes of two days, other events as frames of 48 bins each, in days."""
+    ev = seconds(spark, sf_dir).select("user_id", "event_id", "event_type", (F.col("s") / DAY).alias("day"), F.round("value").cast("long").alias("v"))
+    notes = ev.where("event_type = 'purchase'").select("user_id", "event_id", "day", (F.col("day") + 2).alias("end"))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: ((F.col("v") * (k + 1)) % 11).cast("double"))
+    frames = ev.where("event_type <> 'purchase'").select("user_id", "day", bins.alias("bins"))
+    mass = E.note_class_mass(notes, frames, ["user_id"], "event_id", "day", "end", "day", "bins")
+    return mass.select("user_id", "event_id", F.col("pc").cast("long").alias("pc"), F.col("mass").cast("long").alias("mass"))
+
+
+NOTE_CLASSES_SQL = f"""
+with {SECONDS}, e as (select user_id, event_id, event_type, s / {DAY} as d, round(value)::bigint as v from t),
+f as (select * from e where event_type <> 'purchase'), n as (select * from e where event_type = 'purchase'),
+i as (select n.user_id, n.event_id, f.v from n join f on f.user_id = n.user_id and f.d between n.d and n.d + 2),
+x as (select n.user_id, n.event_id, arg_min(f.v, f.d) as v from n join f on f.user_id = n.user_id and f.d >= n.d where n.event_id not in (select event_id from i) group by all),
+a as (select * from i union all select * from x), k as (select k, (round_even(69 + 12 * log2(10 * pow(2, (1997.3794084376191 + 20 * k) / 1200) / 440.0), 0)::bigint % 12 + 12) % 12 as pc from range({BINS}) r(k))
+select user_id, event_id, pc, sum((v * (k + 1)) % 11)::bigint as mass from a, k group by all"""
+
+QUERIES = {"misheard_in_lines": misheard_in_lines, "repeated_score_pitches": repeated_score_pitches, "shaken_tiers": shaken_tiers, "rescued_tiers": rescued_tiers, "note_classes": note_classes}
+ORACLES = {"misheard_in_lines": MISHEARD_SQL, "repeated_score_pitches": REPEATED_SCORE_SQL, "shaken_tiers": SHAKEN_SQL, "rescued_tiers": RESCUED_SQL, "note_classes": NOTE_CLASSES_SQL}

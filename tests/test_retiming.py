@@ -1,5 +1,7 @@
 """Re-timing and pitch correction by scores, on small songs whose results can be told by hand."""
 
+import random
+
 from chronoline.operators import alignment as A
 from chronoline.operators import retiming as RT
 from chronoline.operators import score_reference as SR
@@ -126,3 +128,16 @@ def test_generation_counts(spark):
     n = spark.createDataFrame([("s", 0, 0.0, 0.3, 1, 0.9, False), ("s", 1, 0.3, 0.5, 2, 0.9, False), ("s", 2, 0.6, 1.0, 3, 0.9, False)], "song_id string, pos long, start double, end double, pitch long, confidence double, protected boolean")
     got = pipelines.generation_counts(pipelines.notes_of_words(w, n)).first().asDict()
     assert got == {"song_id": "s", "words": 3, "with_notes": 2, "without_notes": 1, "melismas": 1, "merged": 1, "notes": 3, "in_cut_groups": 2}
+
+
+def test_windows_of_any_length_meet_their_points(spark):
+    """Also one with a wild end, which lies in three buckets at the most."""
+    from chronoline.operators import ranges as R
+
+    r = random.Random(3)
+    windows = [("s", k, a, a + r.choice([0.0, 0.3, 7.0, 300.0, 1e9])) for k in range(60) for a in [r.uniform(-50, 400)]] + [("s", 99, 5.0, 1.0), ("t", 0, 0.0, 2.0)]
+    points = [(r.choice(["s", "t", "u"]), i, r.uniform(-60, 500)) for i in range(300)]
+    w = spark.createDataFrame(windows, "k string, n int, lo double, hi double")
+    p = spark.createDataFrame(points, "k string, i int, x double")
+    got = sorted((x["i"], x["k"], x["n"]) for x in R.within_windows(p, w, ["k"], "x", "lo", "hi", 5.0).collect())
+    assert got == sorted((i, k, n) for k, i, x in points for wk, n, lo, hi in windows if wk == k and lo <= x <= hi)
