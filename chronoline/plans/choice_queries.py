@@ -32,7 +32,7 @@ def chosen_lyrics(spark, sf_dir):
         ((F.col("conv_id") % 11 == 0) & (F.col("turn") == 1)).alias("pinned"),
     )
     out = X.choose_lyrics(candidates, songs, "conv_id", "pinned")
-    return out.select("conv_id", F.col("pos").cast("long").alias("pos"), F.round("ratio", 6).alias("ratio"), F.round("gap", 6).alias("gap"), "forced")
+    return out.select("conv_id", F.col("pos").cast("long").alias("pos"), F.round("ratio", 6).alias("ratio"), F.coalesce(F.round("gap", 6), F.lit(-1.0)).alias("gap"), "forced")
 
 
 CHOSEN_SQL = r"""
@@ -46,7 +46,7 @@ e as (select *, case when timed and last >= duration then last else duration end
 g as (select *, abs(eff - seconds) as gap, case when mine = 0 then 0.0 else 2.0 * mine / (mine + total) end as ratio from e),
 o as (select *, max(pinned) over (partition by conv_id) as any_pinned, again = 1 and (conv_id + turn) % 9 <> 0 and not bare and duration is not null and gap <= 15 and mine > 0 and ratio >= 0.3 as fits from g),
 r as (select *, row_number() over (partition by conv_id order by same desc, gap nulls last, ratio desc, turn) as k from o where case when any_pinned then pinned else fits end)
-select conv_id, turn::bigint as pos, round(ratio, 6) as ratio, round(gap, 6) as gap, pinned as forced from r where k = 1 and timed"""
+select conv_id, turn::bigint as pos, round(ratio, 6) as ratio, coalesce(round(gap, 6), -1) as gap, pinned as forced from r where k = 1 and timed"""
 
 
 def tried_scores(spark, sf_dir):

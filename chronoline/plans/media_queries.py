@@ -22,19 +22,20 @@ def probe_facts(spark, sf_dir):
         F.array(F.struct(F.when(F.col("l_tax") > 0.04, "audio").otherwise("video").alias("codec_type"))).alias("streams"))))
     seen = B.video_facts(li.select("l_orderkey", answer.alias("answer"), sound.alias("sound"))).withColumnRenamed("malformed", "video_malformed")
     both = B.container_facts(seen, "sound")
-    return both.groupBy("l_orderkey").agg(
+    sums = both.groupBy("l_orderkey").agg(
         F.count("*").alias("rows"), F.count_if("video_malformed").alias("malformed"), F.sum("width").alias("width"), F.sum("height").alias("height"), F.round(F.sum("fps"), 6).alias("fps"),
         F.count_if(F.col("codec") == "hevc").alias("hevc"), F.sum("bit_rate").alias("bits"), F.count_if("malformed").alias("sound_malformed"), F.round(F.sum("seconds"), 4).alias("seconds"),
         F.sum("container_bit_rate").alias("container_bits"), F.count_if("has_audio").alias("audio"),
     )
+    return sums.fillna(0)
 
 
 PROBE_SQL = """
 with l as (select *, l_orderkey % 11 = 0 as bad, l_orderkey % 11 > 1 and l_suppkey % 7 > 0 as said, l_orderkey % 5 = 0 as mute from lineitem),
 f as (select *, case when l_linenumber = 1 then 30000.0 / 1001.0 when l_linenumber = 2 or l_linenumber >= 6 then 0.0 else (l_quantity + 1)::int end::double as fps from l)
-select l_orderkey, count(*) as rows, count(*) filter (where bad) as malformed, sum(l_quantity::int) filter (where said)::bigint as width, sum(l_partkey % 1000) filter (where said)::bigint as height,
-  round(sum(fps) filter (where said), 6) as fps, count(*) filter (where said and l_returnflag = 'A') as hevc, sum(floor(l_extendedprice)) filter (where said and l_suppkey % 7 > 1)::bigint as bits,
-  count(*) filter (where mute) as sound_malformed, round(sum(l_extendedprice / 100) filter (where not mute), 4) as seconds, nullif(128000 * count(*) filter (where not mute), 0)::bigint as container_bits,
+select l_orderkey, count(*) as rows, count(*) filter (where bad) as malformed, coalesce(sum(l_quantity::int) filter (where said), 0)::bigint as width, coalesce(sum(l_partkey % 1000) filter (where said), 0)::bigint as height,
+  coalesce(round(sum(fps) filter (where said), 6), 0) as fps, count(*) filter (where said and l_returnflag = 'A') as hevc, coalesce(sum(floor(l_extendedprice)) filter (where said and l_suppkey % 7 > 1), 0)::bigint as bits,
+  count(*) filter (where mute) as sound_malformed, coalesce(round(sum(l_extendedprice / 100) filter (where not mute), 4), 0) as seconds, (128000 * count(*) filter (where not mute))::bigint as container_bits,
   count(*) filter (where not mute and l_tax > 0.04) as audio
 from f group by l_orderkey"""
 
@@ -47,9 +48,10 @@ def found_candidates(spark, sf_dir):
     whole = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("c")))), lambda x: x["c"]))
     answers = ev.groupBy("user_id").agg(whole.alias("whole")).select("user_id", F.when(F.col("user_id") % 7 == 0, F.expr("left(whole, length(whole) - 1)")).otherwise(F.col("whole")).alias("answer"))
     rows = B.search_candidates(answers, ["user_id"])
-    broken = B.malformed_answers(answers, ["user_id"]).select("user_id", F.length("answer").cast("long").alias("id"))
+    broken = B.malformed_answers(answers, ["user_id"])
     found = rows.select("user_id", F.col("pos").cast("long").alias("pos"), "id", "track_name", "artist_name", "duration", "instrumental", F.coalesce("synced_lyrics", F.lit("")).alias("synced"))
-    return found.unionByName(broken.select("user_id", "id"), allowMissingColumns=True).select("user_id", "pos", F.when(F.col("pos").isNotNull(), F.col("id")).alias("id"), "track_name", "artist_name", "duration", "instrumental", "synced")
+    both = found.unionByName(broken.select("user_id"), allowMissingColumns=True)
+    return both.fillna(-1, ["pos", "id", "duration"]).fillna("", ["track_name", "artist_name", "synced"]).fillna(False, ["instrumental"])
 
 
 CANDIDATES_SQL = """
@@ -57,7 +59,7 @@ with c as (select user_id, row_number() over (partition by user_id order by even
     case when event_id % 3 > 0 then 'user' || user_id else '' end as artist_name, round(value * 2, 3) as duration, event_id % 8 = 0 as instrumental,
     case when value > 5 then '[00:01.0]' || props else '' end as synced from events)
 select user_id, pos::bigint as pos, id, track_name, artist_name, duration, instrumental, synced from c where user_id % 7 <> 0
-union all select distinct user_id, null::bigint, null::bigint, null::varchar, null::varchar, null::double, null::boolean, null::varchar from events where user_id % 7 = 0"""
+union all select distinct user_id, -1, -1, '', '', -1.0, false, '' from events where user_id % 7 = 0"""
 
 
 def _big_endian(n: Column, size: int) -> Column:
@@ -86,12 +88,12 @@ def cover_pictures(spark, sf_dir):
     mp4 = F.concat(box("ftyp", _bytes("M4A ")), box("moov", box("udta", box("meta", F.concat(_big_endian(F.lit(0), 4), inner)))))
     whole = F.when(F.col("doc_id") % 4 == 0, id3).when(F.col("doc_id") % 4 == 1, flac).when(F.col("doc_id") % 4 == 2, mp4).otherwise(F.concat(_bytes("no tag"), F.col("image")))
     files = docs.select(F.col("doc_id").alias("path_key"), whole.alias("whole")).select("path_key", F.when(F.col("path_key") % 5 == 0, F.expr("substring(whole, 1, octet_length(whole) - 1)")).otherwise(F.col("whole")).alias("content"))
-    return M.embedded_pictures(files).select(F.col("path_key").alias("doc_id"), F.coalesce("container", F.lit("")).alias("container"), F.sha2("picture", 256).alias("picture_sha256"))
+    return M.embedded_pictures(files).select(F.col("path_key").alias("doc_id"), F.coalesce("container", F.lit("")).alias("container"), F.coalesce(F.sha2("picture", 256), F.lit("")).alias("picture_sha256"))
 
 
 COVERS_SQL = """
 select doc_id, case when doc_id % 5 = 0 or coalesce(text, '') = '' then '' else ['id3', 'flac', 'mp4', ''][doc_id % 4 + 1] end as container,
-  case when doc_id % 5 <> 0 and doc_id % 4 <> 3 and coalesce(text, '') <> '' then sha256(text) end as picture_sha256
+  case when doc_id % 5 <> 0 and doc_id % 4 <> 3 and coalesce(text, '') <> '' then sha256(text) else '' end as picture_sha256
 from documents"""
 
 

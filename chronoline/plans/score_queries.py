@@ -53,14 +53,14 @@ def lyric_files(spark, sf_dir):
     read = spark.read.format("song_lyric").option("path", folder).load().select("name", "text")
     lines = C.parse_timed_lines(read, "name", "text").groupBy("name").agg(F.count("*").alias("lines"), F.min("t").alias("first"), F.max("t").alias("last"))
     out = read.join(lines, "name", "left")
-    return out.select("name", F.col("text").isNotNull().alias("timed"), F.coalesce("lines", F.lit(0)).alias("lines"), "first", "last")
+    return out.select("name", F.col("text").isNotNull().alias("timed"), F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("first", F.lit(-1.0)).alias("first"), F.coalesce("last", F.lit(-1.0)).alias("last"))
 
 
 LYRIC_FILES_SQL = r"""
 with c as (select 'c' || conv_id || '-' || turn as name, turn, string_split(text, chr(10)) as l from conversations),
 n as (select *, len(list_filter(l, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) as k, trim(l[1], ' ' || chr(9) || chr(13)) <> '' as begins from c)
 select name, turn % 2 = 1 and k > 0 as timed, (case when turn % 2 = 1 then k else 0 end)::bigint as lines,
-  case when turn % 2 = 1 and k > 0 then case when begins then turn % 10 + 0.5 else 60.0 end end::double as first, case when turn % 2 = 1 and k > 0 then case when k > begins::int then 60.0 else turn % 10 + 0.5 end end::double as last
+  case when turn % 2 = 1 and k > 0 then case when begins then turn % 10 + 0.5 else 60.0 end else -1.0 end::double as first, case when turn % 2 = 1 and k > 0 then case when k > begins::int then 60.0 else turn % 10 + 0.5 end else -1.0 end::double as last
 from n"""
 
 
