@@ -188,8 +188,10 @@ def hot_cells(sets: DataFrame, k: int, shards: int) -> np.ndarray:
     levels = sorted((r["level"], r["count"]) for r in over.groupBy(level.alias("level")).count().collect())
     while sum(n for _, n in levels) > HOT_MOST:
         levels = levels[1:]
-    found = [r["cell"] for r in over.where(level >= levels[0][0]).select("cell").collect()] if levels else []
-    return np.sort(np.array(found, dtype=np.int64).astype(np.uint32))
+    if not levels:
+        return np.empty(0, dtype=np.uint32)
+    found = over.where(level >= levels[0][0]).select("cell").toArrow().column("cell").to_numpy()
+    return np.sort(found.astype(np.uint32))
 
 
 def _candidates(sets: DataFrame, rows: DataFrame, k: int, percent: int, shards: int, hot: Broadcast) -> DataFrame:
