@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterable
+from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ from chronoline.operators import estimators as E
 from chronoline.operators import ordered as O
 from chronoline.operators import placement as P
 from chronoline.operators import ranges as R
+from chronoline.operators.walks import walk_pairs
 from chronoline.session import checkpoint
 
 MIN_CONFIDENCE, MIN_RATIO = 0.3, 0.6
@@ -49,29 +50,17 @@ def _stand_ins(spans: Iterable[tuple], ours: list[str], heard: list[str], sure:
 
 
 class _Heard:
-    """Heard words of a group in order."""
+    """Heard words (start, pos, text, end, confidence) of a group in order."""
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values(["start", "pos"], kind="stable")
-        self.norms = [A.norm(w) for w in rows["text"]]
-        self.sure = (rows["confidence"].fillna(1.0) >= MIN_CONFIDENCE).tolist()
-        self.times = list(zip(rows["start"].tolist(), rows["end"].tolist()))
-
-
-def _hits(group: pd.DataFrame, key: list[str], found: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(found, columns=["pos", "heard_start", "heard_end"])
-    for name in reversed(key):
-        out.insert(0, name, group[name].iloc[0] if len(group) else None)
-    return out
-
-
-def _typed(df: DataFrame, key: list[str]) -> str:
-    return ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in key), _HITS])
+    def __init__(self, rows: list[tuple]):
+        self.norms = [A.norm(text) for _, _, text, _, _ in rows]
+        self.sure = [sure is None or sure != sure or sure >= MIN_CONFIDENCE for *_, sure in rows]
+        self.times = [(start, end) for start, _, _, end, _ in rows]
 
 
 def _heard_columns(heard: DataFrame, key: list[str]) -> DataFrame:
     sure = F.col("confidence") if "confidence" in heard.columns else F.lit(None)
-    return heard.select(*key, F.col("pos").cast("long").alias("pos"), "text", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), sure.cast("double").alias("confidence"))
+    return heard.select(*key, F.col("start").cast("double").alias("start"), F.col("pos").cast("long").alias("pos"), "text", F.col("end").cast("double").alias("end"), sure.cast("double").alias("confidence"))
 
 
 def with_chunks(words: DataFrame, key: list[str]) -> DataFrame:
@@ -89,23 +78,22 @@ def heard_in_order(words: DataFrame, heard: DataFrame, key: list[str]) -> DataFr
     words(key, pos, text, line_no) and heard(key, pos, text, start, end, confidence).
     """
 
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ear, found, cursor, pending = _Heard(b), [], 0, 0
-        for _, chunk in a.sort_values("pos", kind="stable").groupby("chunk"):
-            ours = [A.norm(w) for w in chunk["text"]]
+    def one(a: list[tuple], b: list[tuple]) -> Iterable[tuple]:
+        ear, cursor, pending = _Heard(b), 0, 0
+        for _, chunk in groupby(a, lambda w: w[0]):
+            rows = list(chunk)
+            ours = [A.norm(text) for _, _, text in rows]
             pending = min(pending + len(ours), MAX_PENDING)
             spans = A.find_from(cursor, ear.norms, ours, pending, lenient=1)
             if spans is None:
                 continue
             ahead = [(tag, i0, i1, cursor + j0, cursor + j1) for tag, j0, j1, i0, i1 in spans]
             hits = _stand_ins(ahead, ours, ear.norms, ear.sure)
-            numbers = chunk["pos"].tolist()
-            found += [(numbers[i], *ear.times[j]) for i, j in hits.items()]
+            yield from ((rows[i][1], *ear.times[j]) for i, j in hits.items())
             cursor, pending = max(hits.values(), default=cursor - 1) + 1, 0
-        return _hits(a, key, found)
 
-    chunked = with_chunks(words, key).select(*key, F.col("pos").cast("long").alias("pos"), "text", "chunk")
-    return A.cogroup(chunked, _heard_columns(heard, key), key, one, _typed(words, key))
+    chunked = with_chunks(words, key).select(*key, F.col("chunk").cast("long").alias("chunk"), F.col("pos").cast("long").alias("pos"), "text")
+    return walk_pairs(chunked, _heard_columns(heard, key), key, (["chunk", "pos"], ["start", "pos"]), one, _HITS)
 
 
 def heard_near_lines(lines: DataFrame, heard: DataFrame, key: list[str], slack: float = WINDOW_SLACK) -> DataFrame:
@@ -122,15 +110,15 @@ def heard_in_lines(words: DataFrame, lines: DataFrame, heard: DataFrame, key: li
     """As heard_in_order, each line against the words heard in its own time; words without a line have no hits."""
     both = [*key, "line_no"]
 
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, ear = a.sort_values("pos", kind="stable"), _Heard(b)
-        ours, numbers = [A.norm(w) for w in a["text"]], a["pos"].tolist()
+    def one(a: list[tuple], b: list[tuple]) -> Iterable[tuple]:
+        ear, ours = _Heard(b), [A.norm(text) for _, text in a]
         hits = _stand_ins(A.blocks(ours, ear.norms), ours, ear.norms, ear.sure)
-        return _hits(a, key, [(numbers[i], *ear.times[j]) for i, j in hits.items()])
+        return ((a[i][0], *ear.times[j]) for i, j in hits.items())
 
     ours = words.where("line_no is not null").select(*key, F.col("line_no").cast("long").alias("line_no"), F.col("pos").cast("long").alias("pos"), "text")
     near = heard_near_lines(lines.withColumn("line_no", F.col("line_no").cast("long")), _heard_columns(heard, key), key)
-    return A.cogroup(ours, near.select(*both, "pos", "text", "start", "end", "confidence"), both, one, _typed(words, key))
+    met = walk_pairs(ours, near.select(*both, "start", "pos", "text", "end", "confidence"), both, (["pos"], ["start", "pos"]), one, _HITS)
+    return met.select(*key, "pos", "heard_start", "heard_end")
 
 
 def prepared_lines(ours: DataFrame, theirs: DataFrame, heard: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronoline.operators import choices as X
 from chronoline.plans.estimator_queries import SECONDS, seconds
 from chronoline.plans.sequence_queries import KEY, ORDER, WIN
-from chronoline.session import table
+from chronoline.session import checkpoint, table
 from chronoline.sources import charts as C
 
 
@@ -111,8 +111,8 @@ select path_key, case when n is null then 'missing' when issues <> '' then 'issu
 def aligned_by_trust(spark, sf_dir):
     """Words of each turn but every sixth, against the turn's own lines; every second conversation keeps time."""
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), "conv_id", "text")
-    lines = C.parse_lyrics(c, "k", "text")
-    tokens = C.tokenize(lines, "k")
+    lines = checkpoint(C.parse_lyrics(c, "k", "text"))
+    tokens = checkpoint(C.tokenize(lines, "k"))
     words = tokens.where("pos % 6 <> 5").select("k", "pos", F.col("original").alias("text"), F.col("pos").cast("double").alias("start"), (F.col("pos") + 0.5).cast("double").alias("end"))
     tracking = c.select("k", (F.col("conv_id") % 2 == 0).alias("tracks"))
     out = X.align_by_trust(words, tokens, lines, tracking, "k")
