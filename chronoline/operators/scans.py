@@ -19,6 +19,8 @@ from chronoline.operators.ordered import MIN_DURATION, MIN_GAP
 from chronoline.session import checkpoint
 
 ROWS_PER_BLOCK = 200_000
+#: Smaller blocks grow up to ROWS_PER_BLOCK before there are more than so many: each costs a task a step, a sample and a report to the driver.
+FEW_BLOCKS = 400
 BLOCK = "_block"
 
 
@@ -32,9 +34,14 @@ class Scan:
     back: bool = False
 
 
+def block_count(rows: int, rows_per_block: int) -> int:
+    blocks = -(-rows // rows_per_block)
+    return max(1, blocks if blocks <= FEW_BLOCKS else min(blocks, max(FEW_BLOCKS, -(-rows // ROWS_PER_BLOCK))))
+
+
 def blocked(df: DataFrame, key: list[str], order: list[str], rows_per_block: int | None = None) -> DataFrame:
     """df with the number of its block, written once: every later step reads the same blocks. Rows equal in key and order share a block."""
-    blocks = max(1, -(-df.count() // (rows_per_block or ROWS_PER_BLOCK)))
+    blocks = block_count(df.count(), rows_per_block or ROWS_PER_BLOCK)
     return checkpoint(df.repartitionByRange(blocks, *key, *order).withColumn(BLOCK, F.spark_partition_id()))
 
 

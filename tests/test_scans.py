@@ -47,3 +47,9 @@ def test_sums_and_fills_without_values(spark):
     got = S.running(S.blocked(df, ["k"], ["i"], 1), ["k"], ["i"], total=S.Scan("sum", F.col("v")), top=S.Scan("max", F.col("v")), back=S.Scan("last", F.col("v"), back=True))
     assert sorted(tuple(r) for r in got.select("k", "i", "total", "top", "back").collect()) == [("x", 1, 0, None, None), ("x", 2, 0, None, None), ("y", 1, 5, 5, 5)]
     assert S.quantize(df.limit(0), ["k"], ["i"], "v", "v").count() == 0
+
+
+def test_small_blocks_grow_before_they_are_too_many():
+    asked = [S.block_count(n, 4_000) for n in (0, 600_000, 36_000_000, 216_000_000)]
+    assert asked == [1, 150, 400, 1080]
+    assert S.block_count(600_000_000, S.ROWS_PER_BLOCK) == 3000 and S.block_count(3_000_000_000, 1_000_000) == 3000
