@@ -116,10 +116,10 @@ def ordered(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~is_hot], hashes[is_hot]]) if is_hot.any() else hashes
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def keyed_rows(docs: DataFrame) -> DataFrame:
     """key, doc_id, text: the key is the id where one row holds it; other rows are written out and numbered below zero."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    odd = checkpoint(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null or doc_id < 0").select(F.col("doc_id").alias("odd_id")))
+    odd = checkpoint(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(f"n > 1 or doc_id is null or doc_id < 0 or doc_id >= {HUBS}").select(F.col("doc_id").alias("odd_id")))
     whole = rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
     if odd.isEmpty():
         return whole
@@ -194,8 +194,8 @@ def hot_cells(sets: DataFrame, k: int, shards: int) -> np.ndarray:
     return np.sort(found.astype(np.uint32))
 
 
-def _candidates(sets: DataFrame, rows: DataFrame, k: int, percent: int, shards: int, hot: Broadcast) -> DataFrame:
-    """a, b: links whose components hold every pair at the similarity; ids from HUBS on are hubs.
+def _candidates(sets: DataFrame, rows: DataFrame, k: int, percent: int, shards: int, hot: Broadcast, known: DataFrame | None = None) -> DataFrame:
+    """a, b: links whose components hold every pair at the similarity that known(node, root) does not join; ids from HUBS on are hubs.
 
     A prefix shingle of a hot cell links its set to hubs at once. The others meet in shards, packed: 24 bytes each; of the pairs found there, those whose parity bits
     differ too much are no candidates.
@@ -290,7 +290,11 @@ def _candidates(sets: DataFrame, rows: DataFrame, k: int, percent: int, shards:
     packed = "shard bigint, tokens binary, keys binary, sizes binary, places binary, a bigint, b bigint"
     found = checkpoint(sets.select("key", "text").mapInArrow(run, packed).groupBy("shard").applyInArrow(linked, "a bigint, b bigint, sure boolean"))
     side = lambda at: rows.where("key = node").select(F.col("key").alias(at), F.col("bits").alias(f"bits_{at}"), F.col("n").alias(f"n_{at}"))
-    pairs = found.where("not sure").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = found.where("not sure").select("a", "b").distinct()
+    if known is not None:
+        root = lambda df, at: df.join(known.select(F.col("node").alias(at), F.col("root").alias(f"root_{at}")), at, "left")
+        pairs = root(root(pairs, "a"), "b").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     return found.where("sure").select("a", "b").union(pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, "a bigint, b bigint"))
 
 
@@ -460,7 +464,10 @@ def _own_bundle() -> Column:
     return (-1 - F.pmod(F.xxhash64("cluster", "salt", "block"), F.lit(1 << 40))).alias("bundle")
 
 
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows with root: the component's node as far as it is known."""
+    if roots is None:
+        return rows.withColumn("root", F.col("key"))
     return rows.join(roots, F.col("key") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "key"))
 
 
@@ -468,8 +475,8 @@ def _groups(rows: Column, shingles: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(rows / GROUP_ROWS), F.ceil(shingles / GROUP_SHINGLES)).cast("long")
 
 
-def _large_links(large: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """large(cluster, key, n) -> links within clusters of any size: salted groups with common pivots first, then what stays outside the largest component, in blocks, against all."""
+def _large_links(large: DataFrame, sets: DataFrame, k: int, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """large(cluster, key, n) and known(node, root) -> links within clusters of any size: salted groups with common pivots first, then what stays outside the largest component, in blocks, against all."""
     zero = F.lit(0).cast("long")
     salted = lambda groups, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(groups))
     pivot = F.array(*[F.min_by("key", F.xxhash64("key", F.lit(p))) for p in range(PIVOTS)]).alias("pivots")
@@ -477,8 +484,9 @@ def _large_links(large: DataFrame, sets: DataFrame, k: int, percent: int) -> Dat
     each = F.explode(F.sequence(zero, F.col("groups") - 1)).alias("salt")
     own = checkpoint(large.join(sizes.select("cluster", "groups"), "cluster").select("cluster", salted("groups", -1).alias("salt"), "key", "n"))
     pivots = sizes.select("cluster", each, "pivots").select("cluster", "salt", F.explode("pivots").alias("key"))
-    first = own.select("cluster", "salt", "key").union(pivots).distinct().withColumns({"block": zero, "root": F.col("key")})
-    roots = components(_joined(checkpoint(first.select("*", _own_bundle())), sets, k, percent))
+    first = _rooted(own.select("cluster", "salt", "key").union(pivots).distinct().withColumn("block", zero), known)
+    links = _joined(checkpoint(first.select("*", _own_bundle())), sets, k, percent)
+    roots = components(links if known is None else links.union(known.toDF("a", "b")))
 
     held = checkpoint(_rooted(own, roots))
     ranked = held.groupBy("cluster", "root").agg(F.count("*").alias("rows")).groupBy("cluster").agg(F.max_by("root", F.struct("rows", -F.col("root"))).alias("largest"))
@@ -493,30 +501,38 @@ def _large_links(large: DataFrame, sets: DataFrame, k: int, percent: int) -> Dat
     return found.union(_joined(checkpoint(second), sets, k, percent))
 
 
-def _cluster_links(candidates: DataFrame, rows: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Exact links of the pairs that lie in a component of the candidate links."""
+def _cluster_links(candidates: DataFrame, rows: DataFrame, sets: DataFrame, k: int, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """Exact links of the pairs that lie in a component of the candidate links; a cluster that known(node, root) joins whole is done."""
     found = components(candidates)
     clusters = found.where(F.col("node") < HUBS).select(F.col("node").alias("key"), F.col("root").alias("cluster")).union(found.select("root", "root").distinct())
-    sized = checkpoint(clusters.join(rows.where("key = node").select("key", "n"), "key"))
-    sums = sized.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
-    sums = checkpoint(sums.withColumn("large", F.expr(f"rows > {GROUP_ROWS} or (rows > 2 and shingles > {GROUP_SHINGLES})")))
+    sized = checkpoint(_rooted(clusters.join(rows.where("key = node").select("key", "n"), "key"), known))
+    sums = sized.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    sums = checkpoint(sums.drop("r0", "r1").withColumn("large", F.expr(f"rows > {GROUP_ROWS} or (rows > 2 and shingles > {GROUP_SHINGLES})")))
     total = sums.agg(F.sum(F.when(~F.col("large"), F.col("shingles"))).alias("shingles"), F.max("large").alias("large")).first()
     members = sized.join(sums, "cluster")
     zero, bundles = F.lit(0).cast("long"), F.lit(1 + (total["shingles"] or 0) // BUNDLE_SHINGLES)
-    small = members.where("not large").select("cluster", zero.alias("salt"), zero.alias("block"), "key", F.col("key").alias("root"), F.pmod(F.xxhash64("cluster"), bundles).alias("bundle"))
+    small = members.where("not large").select("cluster", zero.alias("salt"), zero.alias("block"), "key", "root", F.pmod(F.xxhash64("cluster"), bundles).alias("bundle"))
     links = _joined(checkpoint(small), sets, k, percent)
-    return links.union(_large_links(checkpoint(members.where("large").select("cluster", "key", "n")), sets, k, percent)) if total["large"] else links
+    return links.union(_large_links(checkpoint(members.where("large").select("cluster", "key", "n")), sets, k, percent, known)) if total["large"] else links
+
+
+def set_links(sets: DataFrame, rows: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, known: DataFrame | None = None) -> DataFrame:
+    """a, b: links that join, with those of known(node, root), every pair at the similarity.
+
+    sets(key, text); rows(key, node, n, bits), of which those with key = node are the sets'.
+    """
+    shards = 1 + (rows.where("key = node").agg(F.sum("n").alias("n")).first()["n"] or 0) // SHARD_SHINGLES
+    hot = sets.sparkSession.sparkContext.broadcast(hot_cells(sets, k, shards))  # at most HOT_MOST cells
+    return _cluster_links(_candidates(sets, rows, k, percent, shards, hot, known), rows, sets, k, percent, known)
 
 
 def join_sets(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable) of every row; sets link where 100 * intersection >= percent * union."""
-    keyed = _keyed(docs)
+    keyed = keyed_rows(docs)
     rows = _nodes(keyed, k)
     idle = checkpoint(rows.where("node is null or node <> key").select("key"))
     sets = keyed.join(broadcast_keys(idle), "key", "left_anti")
-    shards = 1 + (rows.where("key = node").agg(F.sum("n").alias("n")).first()["n"] or 0) // SHARD_SHINGLES
-    hot = sets.sparkSession.sparkContext.broadcast(hot_cells(sets, k, shards))  # at most HOT_MOST cells
-    roots = components(_cluster_links(_candidates(sets, rows, k, percent, shards, hot), rows, sets, k, percent))
+    roots = components(set_links(sets, rows, k, percent))
 
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = checkpoint(least.join(roots.toDF("of", "root"), F.col("node") == F.col("of"), "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root")))

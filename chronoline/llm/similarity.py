@@ -4,7 +4,7 @@ Two bits of a SimHash stand for nearly equal texts only: a Jaccard similarity of
 0.8 moves about ten of 64 bits, a radius at which vantage-point bounds no longer prune.
 At such a threshold this search is therefore added to the vantage-point one:
 
-1. Equal word sequences fold into one node. A node carries its SimHash, the least
+1. Equal word sequences fold into one node. Its shingle hashes are not stored: a step that needs them hashes the texts again. A node carries its SimHash, the least
    shingle hash of each of ``PARTS`` parts of the hash space (each agrees between two texts with a
    probability equal to their similarity) and a one-permutation sketch of ``BINS`` bytes.
 2. Nodes meet in a group if they agree in a part. A pair is looked at only where it has no earlier part in
@@ -17,11 +17,12 @@ At such a threshold this search is therefore added to the vantage-point one:
    similarity by ``MARGIN`` links, one under it by ``MARGIN`` does not, and rows of a pair between go on.
 4. Those rows meet again in the same group, now with all their shingle hashes, and every pair of them that is not
    joined already is decided exactly (``decide``).
+5. What the groups cannot find (pairs that agree in no part, pairs whose common parts are all large and fewer than ``LEVELS``, pairs
+   that an estimate screens out) is found by operator 13's exact join over all nodes (``rest_links``): prefixes meet, and of their
+   candidates only pairs and clusters that are not joined yet are decided. No pair at the similarity is missed.
 
-A pair at 0.8 that agrees in no part is missed: 0.2 ** 8. So is one whose common parts are all large and fewer than
-``LEVELS``: for one large part 8e-5. Beyond that a clear estimate is wrong only where the sketch (deviation 0.025 at most around 0.8)
-is off by over four deviations, or, from ``FEW`` shingles on, the SimHash distance by over six. Texts under ``FEW``
-shingles are never linked by an estimate or screened by SimHash.
+A link by a clear estimate is wrong only where the sketch (deviation 0.025 at most around 0.8) is off by over four deviations. Texts under ``FEW``
+shingles are never linked by an estimate or screened by SimHash. The similarity is a whole number of percents.
 
 Defined cases: null and empty texts and texts of white space are one node of no shingles and similar to each other alone;
 texts under a shingle's words are one shingle; repeated rows and equal texts fold; rows without an id take part and rank behind all
@@ -40,9 +41,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from chronoline.llm.common import broadcast_keys, checkpoint, free_names
 from chronoline.llm.components import components, spanning_labels
+from chronoline.llm.set_join import keyed_rows, parity_bits, set_links
 from chronoline.llm.simhash import BLOCK, MAX_BITS, SEED, links, shingles
 
 PARTS = 8
@@ -95,23 +98,35 @@ def sketch(h: np.ndarray) -> tuple[int, list[int], bytes]:
     return fp, parts.view(np.int64).tolist(), values.tobytes()
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, digest, fp, n, parts, sketch, hashes of every row."""
-    source = docs.select("doc_id", "text")
-    kind = source.schema["doc_id"].dataType.simpleString()
+def sketches(keyed: DataFrame, k: int) -> DataFrame:
+    """id, doc_id, digest, fp, n, parts, sketch and parity bits of the shingle hashes of every row of keyed(key, doc_id, text)."""
+    kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest = [word_digest(t.as_py()) for t in batch.column(1)]
-            hashes = [shingle_hashes(t.as_py(), k) for t in batch.column(1)]
+            digest = [word_digest(t.as_py()) for t in batch.column(2)]
+            hashes = [shingle_hashes(t.as_py(), k) for t in batch.column(2)]
             fp, parts, values = zip(*map(sketch, hashes)) if hashes else ((), (), ())
             columns = [
                 pa.array(digest, pa.binary()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(list(map(len, hashes)), pa.int64()),
-                pa.array(parts, pa.list_(pa.int64())), pa.array(values, pa.binary()), pa.array([h.tobytes() for h in hashes], pa.binary()),
+                pa.array(parts, pa.list_(pa.int64())), pa.array(values, pa.binary()), pa.array(list(map(parity_bits, hashes)), pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "fp", "n", "parts", "sketch", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "doc_id", "digest", "fp", "n", "parts", "sketch", "bits"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, digest binary, fp bigint, n bigint, parts array<bigint>, sketch binary, hashes binary")
+    return keyed.select("key", "doc_id", "text").mapInArrow(run, f"id bigint, doc_id {kind}, digest binary, fp bigint, n bigint, parts array<bigint>, sketch binary, bits binary")
+
+
+def hashed(sets: DataFrame, k: int) -> DataFrame:
+    """sets(id, hashes) as they are, or the hashes of sets(id, text)."""
+    if "hashes" in sets.columns:
+        return sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t.as_py(), k).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], names=["id", "hashes"])
+
+    return sets.select("id", "text").mapInArrow(run, "id bigint, hashes binary")
 
 
 def estimates(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -268,8 +283,8 @@ def _bundled(members: DataFrame) -> DataFrame:
     return members.withColumns({"b0": F.when(small, F.lit(-1)).otherwise(F.col("mask")), "b1": F.when(small, bundle).otherwise(F.col("key"))})
 
 
-def search_groups(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, roots: DataFrame | None = None) -> DataFrame:
-    """members(mask, key, salt, block, id, asks, size, bundles), nodes of CARRIED, sets(id, hashes) -> links (a, b) that span the pairs of each group at the similarity or above."""
+def search_groups(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, roots: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """members(mask, key, salt, block, id, asks, size, bundles), nodes of CARRIED, sets(id, text or hashes) -> links (a, b) that span the pairs of each group at the similarity or above."""
     carried, kept = [*GROUP_KEYS, "asks", "size", "bundles"], ["b0", "b1", "salt", "block"]
     kinds = "mask int, key bigint, salt int, block int, asks boolean, size bigint, bundles bigint"
 
@@ -298,8 +313,8 @@ def search_groups(members: DataFrame, nodes: DataFrame, sets: DataFrame, similar
     doubtful = checkpoint(_rooted(found.where("b is null").select(*carried, F.col("a").alias("id")), known))
     split = doubtful.groupBy(*GROUP_KEYS).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select(*GROUP_KEYS)
     doubtful = checkpoint(doubtful.join(split, GROUP_KEYS, "left_semi"))
-    hashed = sets.join(broadcast_keys(checkpoint(doubtful.select("id").distinct())), "id", "left_semi")
-    exact = _bundled(doubtful).join(nodes.select(*CARRIED), "id").join(hashed, "id").groupBy(*kept).applyInArrow(confirm, "a bigint, b bigint")
+    open_ = hashed(sets.join(broadcast_keys(checkpoint(doubtful.select("id").distinct())), "id", "left_semi"), k)
+    exact = _bundled(doubtful).join(nodes.select(*CARRIED), "id").join(open_, "id").groupBy(*kept).applyInArrow(confirm, "a bigint, b bigint")
     return known.toDF("a", "b").union(exact)
 
 
@@ -344,7 +359,7 @@ def _group_count(rows: Column, shingles_: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(rows / GROUP_ROWS), F.ceil(shingles_ / GROUP_SHINGLES)).cast("int")
 
 
-def clump_links(clumps: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, roots: DataFrame) -> DataFrame:
+def clump_links(clumps: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, roots: DataFrame, k: int = 5) -> DataFrame:
     """clumps(mask, key, id, n) -> links within clumps of any size: salted groups with pivots first, then what they left, in blocks, against all."""
     keys, none = ["mask", "key"], F.lit(0)
     alone = [F.lit(SMALL_ROWS + 1).cast("long").alias("size"), F.lit(1).cast("long").alias("bundles")]
@@ -354,7 +369,7 @@ def clump_links(clumps: DataFrame, nodes: DataFrame, sets: DataFrame, similarity
     each = F.explode(F.sequence(none, F.col("groups") - 1)).alias("salt")
     pivots = sizes.select(*keys, each, F.array(*[f"p{p}" for p in range(PIVOTS)]).alias("ps")).select(*keys, "salt", F.explode("ps").alias("id"))
     members = own.select(*keys, "salt", "id").union(pivots).distinct().select(*keys, "salt", none.alias("block"), "id", F.lit(True).alias("asks"), *alone)
-    first = components(search_groups(members, nodes, sets, similarity, roots).union(roots.toDF("a", "b")))
+    first = components(search_groups(members, nodes, sets, similarity, roots, k).union(roots.toDF("a", "b")))
 
     held = checkpoint(_rooted(own, first))
     largest = held.groupBy(*keys, "root").agg(F.count("*").alias("rows")).groupBy(*keys).agg(F.max_by("root", F.struct("rows", -F.col("root"))).alias("largest"))
@@ -365,20 +380,40 @@ def clump_links(clumps: DataFrame, nodes: DataFrame, sets: DataFrame, similarity
     counted = blocks.join(sizes.select(*keys, "groups"), keys)
     asking = rest.join(counted, keys).select(*keys, each, _salt("blocks", -2).alias("block"), "id", F.lit(True).alias("asks"), *alone)
     asked = held.join(blocks, keys).select(*keys, "salt", F.explode(F.sequence(none, F.col("blocks") - 1)).alias("block"), "id", F.lit(False).alias("asks"), *alone)
-    return first.toDF("a", "b").union(search_groups(asking.union(asked), nodes, sets, similarity, first))
+    return first.toDF("a", "b").union(search_groups(asking.union(asked), nodes, sets, similarity, first, k))
+
+
+def rest_links(keyed: DataFrame, table: DataFrame, nodes: DataFrame, k: int, similarity: float, roots: DataFrame) -> DataFrame:
+    """Links (a, b) that join every pair of nodes at the similarity that roots leave apart. keyed(key, text) and table(id, n, bits) hold the nodes and their copies."""
+    percent = round(100 * similarity)
+    if abs(100 * similarity - percent) > 1e-9:
+        raise ValueError("the similarity is a whole number of percents")
+    copies = table.select("id").join(nodes.select("id"), "id", "left_anti").union(nodes.where("n = 0").select("id"))
+    idle = broadcast_keys(checkpoint(copies.withColumnRenamed("id", "key")))
+    rows = table.select(F.col("id").alias("key"), F.col("id").alias("node"), "n", "bits").join(idle, "key", "left_anti")
+    return set_links(keyed.join(idle, "key", "left_anti"), rows, k, percent, roots)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """As keyed_rows; where ids are no integers, all rows are written out and numbered."""
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return keyed_rows(docs)
+    return checkpoint(docs.select((-1 - F.monotonically_increasing_id()).alias("key"), "doc_id", "text"))
 
 
 def text_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, digest, root, copies: every different (doc_id, text) with its group and its number of rows."""
-    table = checkpoint(sketches(docs, k).withColumn("id", F.monotonically_increasing_id()))  # numbers are fixed once this is written
+    keyed = _keyed(docs)
+    table = checkpoint(sketches(keyed, k))
     nodes = checkpoint(table.groupBy("digest").agg(F.min("id").alias("id")).join(table.select(*CARRIED), "id"))
-    sets = table.select("id", "hashes")
+    sets = keyed.select(F.col("key").alias("id"), "text")
     by_print = checkpoint(nodes.groupBy("fp").agg(F.min("id").alias("id")))
     same = nodes.select("fp", F.col("id").alias("a")).join(by_print.toDF("fp", "b"), "fp").where("a <> b").select("a", "b")
     whole, clumps = meetings(nodes)
-    roots = components(links(by_print, max_bits).union(same).union(search_groups(whole, nodes, sets, similarity)))
+    roots = components(links(by_print, max_bits).union(same).union(search_groups(whole, nodes, sets, similarity, k=k)))
     if clumps is not None:
-        roots = components(clump_links(clumps, nodes, sets, similarity, roots))
+        roots = components(clump_links(clumps, nodes, sets, similarity, roots, k))
+    roots = components(rest_links(keyed, table, nodes, k, similarity, roots).union(roots.toDF("a", "b")))
     rooted = nodes.join(roots, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"))
     return checkpoint(table.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")).join(rooted, "digest"))
 

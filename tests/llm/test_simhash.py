@@ -221,3 +221,46 @@ def test_keep_one_row_of_each_group(spark, odd_docs, no_docs):
     got = M.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(7, "another text of the same id"), (7, "same words of a text")]
     assert M.keep_one(no_docs).count() == 0
+
+
+def apart_in_parts(name, but=()):
+    """A text and its near copy, at over 0.8, that lacks the text's least shingle of every part but those given; and these shingles by part."""
+    words = [f"{name}{i}" for i in range(504)]
+    grams = [" ".join(words[i : i + 5]) for i in range(500)]
+    mixed = np.array([xxhash.xxh64_intdigest(g.encode(), M.SEED) for g in grams], dtype=np.uint64) * M.MIX
+    place = {int(h) | 1: i for i, h in enumerate(mixed)}
+    least = [place[int(np.int64(p).view(np.uint64))] for p in M.sketch(M.shingle_hashes(" ".join(words), 5))[1]]
+    other = list(words)
+    for part, i in enumerate(least):
+        if part not in but:
+            other[i + 2] = f"{name}other{part}"
+    return " ".join(words), " ".join(other), [grams[i] for i in least]
+
+
+def test_pairs_that_agree_in_no_part_are_found(spark):
+    rows = []
+    for n in range(3):
+        a, b, _ = apart_in_parts(f"w{n}x")
+        x, y = (M.sketch(M.shingle_hashes(t, 5))[1] for t in (a, b))
+        assert not [1 for p, q in zip(x, y) if p == q]
+        rows += [(2 * n, a), (2 * n + 1, b)]
+    got = {r["doc_id"]: r["component_id"] for r in M.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), max_bits=0).collect()}
+    assert got == {i: i - i % 2 for i in range(6)}
+
+
+def test_pairs_whose_one_common_part_is_large_are_found(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROUP_ROWS", 12)
+    a, b, least = apart_in_parts("w", but=(3,))
+    x, y = (M.sketch(M.shingle_hashes(t, 5))[1] for t in (a, b))
+    assert [p for p in range(M.PARTS) if x[p] == y[p]] == [3]
+    crowd = [t for t in (f"{least[3]} own{i} of{i} its{i} self{i}" for i in range(60)) if M.sketch(M.shingle_hashes(t, 5))[1][3] == x[3]]
+    assert len(crowd) > 20
+    rows = list(enumerate([a, b, *crowd]))
+    got = {r["doc_id"]: r["component_id"] for r in M.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), max_bits=0).collect()}
+    assert got == {i: 0 if i < 2 else i for i in range(len(rows))}
+
+
+def test_ids_that_are_no_integers(spark):
+    rows = [("b", "we walk in time"), ("a", "We walk\tin time"), ("c", "of another kind"), (None, "of another kind")]
+    got = M.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [("a", "We walk\tin time"), ("c", "of another kind")]
