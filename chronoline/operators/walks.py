@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,20 @@ TYPES = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "b
 ROWS_AT_ONCE = 8192
 
 
+def plain(column: pa.Array) -> list:
+    """to_pylist without a scalar object an element, for numbers, booleans and strings."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type) or pa.types.is_boolean(column.type)):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    values = column.fill_null(False if pa.types.is_boolean(column.type) else 0).to_numpy(zero_copy_only=False).tolist()
+    for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+        values[i] = None
+    return values
+
+
 def dealt(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """df with each key's rows in one task, in order; small results keep all tasks.
 
@@ -55,17 +70,30 @@ def walk_pairs(left: DataFrame, right: DataFrame, key: list[str], order: tuple[l
             return out
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             of = [batch.schema.field(i).type for i in range(len(key))] + [TYPES[t] for t in types]
-            columns = [c.to_pylist() for c in batch.columns]
-            ours = zip(*columns[cut[0] : cut[1]]), zip(*columns[cut[1] :])
-            for k, n, a, b in zip(zip(*columns[: len(key)]), columns[len(key)], *ours):
-                if k != held:
+            columns = batch.columns
+            keys, side = list(zip(*map(plain, columns[: len(key)]))), columns[len(key)].to_numpy()
+            # only a side's own columns are read, they are null in the other's rows
+            rows_of, taken = [], [0, 0]
+            for n, own in enumerate((columns[cut[0] : cut[1]], columns[cut[1] :])):
+                mine = pa.array(side == n)
+                rows_of.append(list(zip(*(plain(c.filter(mine)) for c in own))) if own else [()] * len(keys))
+            changes = set((np.flatnonzero(np.diff(side)) + 1).tolist())
+            changes.update(i for i, (x, y) in enumerate(zip(keys, keys[1:]), 1) if x != y)
+            at = 0
+            for end in [*sorted(changes), len(keys)]:
+                if keys[at] != held:
                     if held is not None:
                         done += [(*held, *row) for row in one(*sides)]
                         if len(done) >= ROWS_AT_ONCE:
                             yield table()
-                    held, sides = k, ([], [])
-                sides[n].append(b if n else a)
+                    held, sides = keys[at], ([], [])
+                n = int(side[at])
+                upto = taken[n] + end - at
+                sides[n].extend(rows_of[n][taken[n] : upto])
+                taken[n], at = upto, end
         if held is not None:
             done += [(*held, *row) for row in one(*sides)]
             yield table()

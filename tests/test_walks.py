@@ -1,8 +1,12 @@
+import time
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chronoline.operators import alignment as A
+from chronoline.operators import blocks as B
 from chronoline.operators import retiming as RT
-from chronoline.operators.walks import walk_pairs
+from chronoline.operators.walks import plain, walk_pairs
 
 
 def test_walks_meet_every_key_once_and_in_order(spark):
@@ -34,3 +38,19 @@ def test_words_without_times_are_amid_silence(spark):
     tokens = spark.createDataFrame([("s", i, t, t, 0) for i, t in enumerate("axc")], "s string, pos long, norm string, original string, line_no long")
     got = A.align_to_reference(words, tokens, "s").orderBy("pos").collect()
     assert [(r["reference_text"], r["dropped"]) for r in got] == [("a", False), ("x", False), ("x", False), ("c", False)]
+
+
+def test_columns_come_as_plain_lists():
+    for values, kind in (([1, None, 2**62 + 1], pa.int64()), ([0.1, None, float("inf")], pa.float64()), ([True, None], pa.bool_()), (["a", None, ""], pa.string()), ([["a"], None], pa.list_(pa.string())), ([3, 4], pa.int32()), ([], pa.int64())):
+        got = plain(pa.array([*values, *values], kind).slice(len(values)))
+        assert got == values and [type(x) for x in got] == [type(x) for x in values]
+
+
+def test_a_text_that_opens_the_other_is_matched_without_a_search():
+    words = [f"w{i % 5}" for i in range(60)]
+    assert B.opcodes(words, words[:30]) == [("equal", 0, 30, 0, 30), ("delete", 30, 60, 30, 30)] and B.opcodes(words[:30], words) == [("equal", 0, 30, 0, 30), ("insert", 30, 30, 30, 60)]
+    assert B.opcodes([], words[:2]) == [("insert", 0, 0, 0, 2)] and B.opcodes(words, words) == [("equal", 0, 60, 0, 60)] and B.opcodes([], []) == []
+    began = time.perf_counter()
+    for _ in range(2000):
+        B.opcodes(words, words[:30])
+    assert time.perf_counter() - began < 0.2
