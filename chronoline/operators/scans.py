@@ -7,15 +7,17 @@ came before it. The results are those of the window forms in ``ordered``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoline.operators.ordered import MIN_DURATION, MIN_GAP
+from chronoline.operators.walks import plain
 from chronoline.session import checkpoint
 
 ROWS_PER_BLOCK = 200_000
@@ -120,17 +122,50 @@ def interpolate_anchors(df: DataFrame, key: list[str], order: list[str], orig_st
     return rows.withColumn("new_end", end).drop("_b_new", "_b_old", "_a_new", "_a_old", "_part", "_start", "_end", "_held", "_following", BLOCK)
 
 
-def two_passes(rows: DataFrame, key: list[str], order: list[str], summary: Callable[[pd.DataFrame], tuple], kinds: str, carry: Callable[[float | None, tuple], float | None], apply: Callable[[pd.DataFrame, float | None], pd.DataFrame], out: str) -> DataFrame:
-    """A scan that is no sum, maximum or fill: summary of each block (fields of kinds), carry folded over a key's summaries, and each block again with what came before it.
+def two_passes(rows: DataFrame, key: list[str], order: list[str], inputs: list[str], summary: Callable[..., tuple], kinds: str, carry: Callable[[float | None, tuple], float | None], walk: Callable[..., tuple], outputs: tuple[str, str]) -> DataFrame:
+    """A scan that is no sum, maximum or fill: summary of a key's rows in a block (fields of kinds), carry folded over a key's summaries, and the rows again with what came before their block.
 
-    rows are blocked; blocks come to the functions in order. A block is one task's work, and the fold holds a row a block.
+    rows are blocked. summary(*lists of inputs) sees a key's rows in order; walk(held, *lists of inputs) gives the lists of outputs and what it holds then, for a part of a key's
+    rows at a time. Keys stream through the tasks; only a block's first and last key can go on in another block, so the fold holds two rows a block at the most.
     """
     fields = [k.split()[0] for k in kinds.split(", ")]
-    typed = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*key, BLOCK])
-    named = lambda pdf: {k: [pdf[k].iloc[0]] for k in [*key, BLOCK]}
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**named(pdf), **{f: [v] for f, v in zip(fields, summary(pdf.sort_values(order, kind="stable")))}})
+    typed = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*key, BLOCK]]
+    width = len(key)
+    placed = rows.select(*key, BLOCK, *order, *[F.col(c).cast("double").alias(f"_in{i}") for i, c in enumerate(inputs)])
+    floats = lambda column: column.to_numpy(zero_copy_only=False).tolist()  # noqa: E731  nulls are NaN
+
+    def runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, int, int]]:
+        """A key and where its rows lie in the batch."""
+        keys = list(zip(*(plain(batch.column(c)) for c in names)))
+        at = 0
+        for end in [*(i for i, (x, y) in enumerate(zip(keys, keys[1:]), 1) if x != y), len(keys)]:
+            if at < end:
+                yield keys[at], at, end
+            at = end
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Summaries of the first and the last key of each block of a task."""
+        held, of, done = None, [], []
+        values: tuple[list[float], ...] = tuple([] for _ in inputs)
+
+        def close(last: bool) -> None:
+            if held is not None and (last or not done or done[-1][width] != held[-1]):
+                done.append((*held, *summary(*values)))
+
+        for batch in batches:
+            of = [batch.schema.field(c).type for c in [*key, BLOCK]]
+            columns = [floats(batch.column(f"_in{i}")) for i in range(len(inputs))]
+            for k, at, end in runs(batch, [*key, BLOCK]):
+                if k != held:
+                    close(held is not None and held[-1] != k[-1])
+                    held = k
+                    for v in values:
+                        v.clear()
+                for v, c in zip(values, columns):
+                    v.extend(c[at:end])
+        close(True)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), [*of, *[pa.float64()] * len(fields)])], names=[*key, BLOCK, *fields])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(BLOCK)
@@ -140,14 +175,29 @@ def two_passes(rows: DataFrame, key: list[str], order: list[str], summary: Calla
             held = carry(held, row)
         return pdf[[*key, BLOCK]].assign(_carry=pd.Series(carries, dtype="float64", index=pdf.index))
 
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pdf["_carry"].iloc[0]
-        return apply(pdf.drop(columns="_carry").sort_values(order, kind="stable"), None if pd.isna(held) else float(held))
-
-    summaries = rows.groupBy(*key, BLOCK).applyInPandas(first, f"{typed}, {kinds}")
-    carries = summaries.groupBy(*key).applyInPandas(fold, f"{typed}, _carry double")
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held = None, None
+        for batch in batches:
+            columns = [floats(batch.column(f"_in{i}")) for i in range(len(inputs))]
+            carried = plain(batch.column("_carry"))
+            made: tuple[list[float], list[float]] = [], []
+            for k, at, end in runs(batch, [*key, BLOCK]):
+                if k != before:
+                    before, held = k, carried[at]
+                *found, held = walk(held, *(c[at:end] for c in columns))
+                for out, f in zip(made, found):
+                    out.extend(f)
+            kept = [batch.column(c) for c in [*key, *order]]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(m, pa.float64(), from_pandas=True) for m in made)], names=[*key, *order, *outputs])
+
+    sort = lambda df: df.sortWithinPartitions(BLOCK, *key, *order)
+    summaries = sort(placed).mapInArrow(ends, ", ".join([*typed, kinds]))
+    carries = summaries.groupBy(*key).applyInPandas(fold, ", ".join([*typed, "_carry double"])).where("_carry is not null")
     same = reduce(lambda a, b: a & b, (F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*key, BLOCK]))
-    return rows.alias("l").join(carries.alias("r"), same).select("l.*", "r._carry").groupBy(*key, BLOCK).applyInPandas(second, out)
+    # two rows a block at the most
+    met = placed.alias("l").join(F.broadcast(carries).alias("r"), same, "left").select("l.*", "r._carry")
+    out = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*key, *order]] + [f"{c} double" for c in outputs]
+    return sort(met).mapInArrow(second, ", ".join(out))
 
 
 def enforce_monotonic(df: DataFrame, key: list[str], order: list[str], start: str, end: str, min_gap: float = MIN_GAP, min_duration: float = MIN_DURATION, rows_per_block: int | None = None) -> DataFrame:
@@ -159,27 +209,23 @@ def enforce_monotonic(df: DataFrame, key: list[str], order: list[str], start: st
     step = min_gap + min_duration
     names = [*key, *order]
 
-    def walk(pdf: pd.DataFrame, last: float | None) -> tuple[list[float], list[float]]:
+    def walk(last: float | None, starts: list[float], ends: list[float]) -> tuple[list[float], list[float], float | None]:
         begins, stops = [], []
-        for s, e in zip(pdf[start].to_numpy(float).tolist(), pdf[end].to_numpy(float).tolist()):
+        for s, e in zip(starts, ends):
             begin = s if last is None or s >= last + min_gap else last + min_gap
             last = begin + min_duration if e <= begin else e
             begins.append(begin)
             stops.append(last)
-        return begins, stops
+        return begins, stops, last
 
-    def summary(pdf: pd.DataFrame) -> tuple:
-        forgets = pdf[[start, end]].max(axis=1).to_numpy(float) - min_gap - step * pd.RangeIndex(len(pdf)).to_numpy()
-        return walk(pdf, None)[1][-1], float(forgets.max()), float(len(pdf))
+    def summary(starts: list[float], ends: list[float]) -> tuple:
+        highest = pd.DataFrame({"s": starts, "e": ends}).max(axis=1)
+        forgets = highest.to_numpy(float) - min_gap - step * pd.RangeIndex(len(starts)).to_numpy()
+        return walk(None, starts, ends)[2], float(forgets.max()), float(len(starts))
 
     def carry(held: float | None, block: tuple) -> float:
         last, forgets, n = block
         return last if held is None or held < forgets else held + n * step
 
-    def apply(pdf: pd.DataFrame, held: float | None) -> pd.DataFrame:
-        begins, stops = walk(pdf, held)
-        return pdf[names].assign(new_start=begins, new_end=stops)
-
     rows = blocked(df.select(*names, start, end) if start not in names and end not in names else df, key, order, rows_per_block)
-    out = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + ", new_start double, new_end double"
-    return two_passes(rows, key, order, summary, "last double, forgets double, n double", carry, apply, out)
+    return two_passes(rows, key, order, [start, end], summary, "last double, forgets double, n double", carry, walk, ("new_start", "new_end"))

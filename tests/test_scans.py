@@ -53,3 +53,15 @@ def test_small_blocks_grow_before_they_are_too_many():
     asked = [S.block_count(n, 4_000) for n in (0, 600_000, 36_000_000, 216_000_000)]
     assert asked == [1, 150, 400, 1080]
     assert S.block_count(600_000_000, S.ROWS_PER_BLOCK) == 3000 and S.block_count(3_000_000_000, 1_000_000) == 3000
+
+
+def test_keys_of_a_monotonic_scan_cost_no_call_each(rows):
+    """All keys stream through Arrow maps; the one grouped function folds the first and the last key of each block."""
+    plan = S.enforce_monotonic(rows, KEY, ORDER, "s", "e", rows_per_block=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("MapInArrow") == 2
+
+
+@pytest.mark.parametrize("per_block", [1, 7, 5_000])
+def test_a_monotonic_scan_of_many_small_keys(spark, per_block):
+    small = spark.range(400).select((F.col("id") % 150).alias("k"), (F.col("id") / 7).cast("int").alias("a"), F.col("id").cast("int").alias("b"), (F.col("id") * 0.02 % 3).alias("s"), (F.col("id") * 0.03 % 2).alias("e"))
+    assert same(S.enforce_monotonic(small, KEY, ORDER, "s", "e", rows_per_block=per_block), O.enforce_monotonic(small, KEY, ORDER, "s", "e"), 6)
