@@ -5,6 +5,8 @@ All of it is window algebra or a keyed join; a sequence is one song, as in ``ord
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def _upto(weights: Column, i: Column) -> Column:
     return F.aggregate(F.slice(weights, 1, i), F.lit(0.0), lambda acc, w: acc + w)
 
 
+def _running(values: Column, first: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """first, and every fold of the values so far."""
+    return F.aggregate(values, F.array(first.cast(kind)), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x).cast(kind))))
+
+
 def slice_text(text: Column, weights: Column) -> Column:
     """One piece of text a weight, cut at half-even rounded shares of its length, each piece a character or more; null if it is too short.
 
@@ -30,11 +37,19 @@ def slice_text(text: Column, weights: Column) -> Column:
     ``i + least(length - n, running maximum of (share - i))``.
     """
     n, size = F.size(weights), F.length(text)
-    whole = _upto(weights, n)
-    share = lambda i: F.bround(_upto(weights, i) / F.when(whole == 0, n).otherwise(whole) * size).cast("int") - i
-    cut = lambda i: F.when(i == n, size).otherwise(i + F.least(size - n, F.array_max(F.transform(F.sequence(F.lit(0), i), share))))
-    cuts = F.transform(F.sequence(F.lit(0), n), cut)
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, F.element_at(cuts, i) + 1, F.element_at(cuts, i + 1) - F.element_at(cuts, i)))
+    # one-element arrays hold what is worked out once a row: an expression that a lambda repeats is evaluated anew each time
+    sums = _running(weights, F.lit(0.0), lambda acc, w: acc + w, "double")
+
+    def bounds(upto: Column) -> Column:
+        whole = F.element_at(upto, -1)
+        divisor = F.when(whole == 0, n).otherwise(whole)
+        shares = F.transform(upto, lambda s, i: F.bround(s / divisor * size).cast("int") - i)
+        highest = _running(F.slice(shares, 2, n), F.get(shares, F.lit(0)), lambda acc, x: F.greatest(acc, x), "int")
+        return F.transform(highest, lambda top, i: F.when(i == n, size).otherwise(i + F.least(size - n, top)))
+
+    cuts = F.flatten(F.transform(F.array(sums), bounds))
+    cut = lambda c: F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda x, y: F.substring(text, x + 1, y - x))
+    pieces = F.flatten(F.transform(F.array(cuts), cut))
     return F.when((n > 0) & (size >= n), pieces)
 
 
