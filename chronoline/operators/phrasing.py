@@ -1,12 +1,15 @@
-"""Line breaks of a chart. Strict mode is a window; else the length of the open line is state, and a song one group."""
+"""Line breaks of a chart. Strict mode is a window; else the length of the open line is state, and songs stream through their tasks in order."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoline.operators import ordered as O
+from chronoline.operators.walks import dealt, plain
 
 SYLLABLES, HARD = 8, 12
 GAP, SOFT_GAP = 0.35, 0.15
@@ -40,27 +43,35 @@ def free_breaks(syllables: DataFrame, key: list[str], order: list[str]) -> DataF
     extra = overflow_breaks(syllables, key, order).withColumn("_extra", F.lit(True))
     marked = syllables.join(extra, [*key, *order], "left").withColumn("_extra", F.coalesce("_extra", F.lit(False)))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out, length, line, last_end = [], 0, None, None
-        for start, end, opens, own, forced in pdf[["start", "end", "is_word_start", "line_id", "_extra"]].itertuples(index=False):
-            own = None if pd.isna(own) else own
-            cut = False
-            if opens and last_end is not None:
-                gap, known = start - last_end, line is not None and own is not None
-                if known and own == line:
-                    cut = forced
-                else:
-                    cut = (known and own != line) or gap >= GAP or (not known and (length >= HARD or (length >= SYLLABLES and gap >= SOFT_GAP)))
-            out.append(bool(cut))
-            length = 1 if cut else length + 1
-            line = own if opens and own is not None else line
-            last_end = end
-        return pdf.drop(columns="_extra").assign(break_before=out)
-
     kept = [c for c in marked.columns if c != "_extra"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Songs stream through a task in order; what is open goes on from batch to batch."""
+        song: tuple | None = None
+        length, line, last_end = 0, None, None
+        for batch in batches:
+            times = [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False).tolist() for c in ("start", "end")]  # nulls are NaN
+            keys = zip(*(plain(batch.column(c)) for c in key))
+            out = []
+            for k, start, end, opens, own, forced in zip(keys, *times, *(plain(batch.column(c)) for c in ("is_word_start", "line_id", "_extra"))):
+                if k != song:
+                    song, length, line, last_end = k, 0, None, None
+                own = None if own != own else own
+                cut = False
+                if opens and last_end is not None:
+                    gap, known = start - last_end, line is not None and own is not None
+                    if known and own == line:
+                        cut = forced
+                    else:
+                        cut = (known and own != line) or gap >= GAP or (not known and (length >= HARD or (length >= SYLLABLES and gap >= SOFT_GAP)))
+                out.append(bool(cut))
+                length = 1 if cut else length + 1
+                line = own if opens and own is not None else line
+                last_end = end
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.bool_())], names=[*kept, "break_before"])
+
     schema = ", ".join(f"{c} {marked.schema[c].dataType.simpleString()}" for c in kept) + ", break_before boolean"
-    return marked.select(*kept, "_extra").groupBy(*key).applyInPandas(one, schema)
+    return dealt(marked.select(*kept, "_extra"), key, [F.asc_nulls_last(c) for c in order]).mapInArrow(run, schema)
 
 
 def with_breaks(syllables: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ def plain(column: pa.Array) -> list:
     return values
 
 
-def dealt(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def dealt(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
     """df with each key's rows in one task, in order; small results keep all tasks.
 
     Dealt by a hash of the key: a union of sides that are joined by the key counts as dealt by it already, and stops being so when such a join turns into a broadcast.
