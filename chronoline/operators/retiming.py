@@ -10,7 +10,9 @@ their run is a chunk of its own; songs without heard words have no hits; texts t
 from __future__ import annotations
 
 import difflib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
+from functools import lru_cache
 from itertools import groupby
 
 from pyspark.sql import DataFrame, Window
@@ -33,18 +35,24 @@ FLAG_SECONDS = 2.0
 _HITS = "pos bigint, heard_start double, heard_end double"
 
 
+@lru_cache(maxsize=100_000)
+def _likeness(a: str, b: str) -> float:
+    """Ratio of two short strings; 0 where upper bounds of it are under MIN_RATIO."""
+    matcher = difflib.SequenceMatcher(None, a, b)
+    return matcher.ratio() if matcher.real_quick_ratio() >= MIN_RATIO and matcher.quick_ratio() >= MIN_RATIO else 0.0
+
+
 def _stand_ins(spans: Iterable[tuple], ours: list[str], heard: list[str], sure: list[bool]) -> dict[int, int]:
     """Our index -> heard index over spans (tag, ours from, ours to, heard from, heard to).
 
     Equal words stand for each other; a lone word of ours also for the most alike heard word of its span, if alike enough. Unsure words never do.
     """
-    ratio = lambda i, j: difflib.SequenceMatcher(None, ours[i], heard[j]).ratio()
     pairs: list[tuple[int, int]] = []
     for tag, i0, i1, j0, j1 in spans:
         if tag == "equal":
             pairs += zip(range(i0, i1), range(j0, j1))
         elif tag == "replace" and i1 == i0 + 1:
-            likeness, nearest = max((ratio(i0, j), -j) for j in range(j0, j1))
+            likeness, nearest = max((_likeness(ours[i0], heard[j]), -j) for j in range(j0, j1))
             pairs += [(i0, -nearest)] if likeness >= MIN_RATIO else []
     return {i: j for i, j in pairs if sure[j]}
 
@@ -107,18 +115,34 @@ def heard_near_lines(lines: DataFrame, heard: DataFrame, key: list[str], slack:
 
 
 def heard_in_lines(words: DataFrame, lines: DataFrame, heard: DataFrame, key: list[str]) -> DataFrame:
-    """As heard_in_order, each line against the words heard in its own time; words without a line have no hits."""
-    both = [*key, "line_no"]
+    """As heard_in_order, each line against the words heard in its own time (heard_near_lines); words without a line have no hits.
+
+    A song is met once, with its lines' times among its words; what is heard in a line's time is a stretch of the song's heard words.
+    """
 
     def one(a: list[tuple], b: list[tuple]) -> Iterable[tuple]:
-        ear, ours = _Heard(b), [A.norm(text) for _, text in a]
-        hits = _stand_ins(A.blocks(ours, ear.norms), ours, ear.norms, ear.sure)
-        return ((a[i][0], *ear.times[j]) for i, j in hits.items())
-
-    ours = words.where("line_no is not null").select(*key, F.col("line_no").cast("long").alias("line_no"), F.col("pos").cast("long").alias("pos"), "text")
-    near = heard_near_lines(lines.withColumn("line_no", F.col("line_no").cast("long")), _heard_columns(heard, key), key)
-    met = walk_pairs(ours, near.select(*both, "start", "pos", "text", "end", "confidence"), both, (["pos"], ["start", "pos"]), one, _HITS)
-    return met.select(*key, "pos", "heard_start", "heard_end")
+        timed = [h for h in b if h[0] is not None and h[0] == h[0]]
+        ear, starts = _Heard(timed), [h[0] for h in timed]
+        for _, rows in groupby(a, lambda w: w[0]):
+            line = list(rows)
+            ours = [(pos, A.norm(text)) for _, pos, text, low, _ in line if low is None]
+            spans = [(bisect_left(starts, low), bisect_right(starts, high)) for *_, low, high in line if low is not None and low <= high]
+            near = [j for span in spans for j in range(*span)]
+            if not ours or not near:
+                continue
+            near = sorted(near) if len(spans) > 1 else near
+            norms, mine = [ear.norms[j] for j in near], [norm for _, norm in ours]
+            hits = _stand_ins(A.blocks(mine, norms), mine, norms, [ear.sure[j] for j in near])
+            yield from ((ours[i][0], *ear.times[near[j]]) for i, j in hits.items())
+
+    number, none = F.col("line_no").cast("long").alias("line_no"), F.lit(None).cast("double")
+    ours = words.where("line_no is not null").select(*key, number, F.col("pos").cast("long").alias("pos"), "text", none.alias("low"), none.alias("high"))
+    ended = lines if "t_end" in lines.columns else R.line_windows(lines, key, ["line_no"], "t")
+    at = lambda c, name: c.cast("double").alias(name)
+    windows = ended.where("line_no is not null and t is not null and t_end is not null").select(
+        *key, number, F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), at(F.col("t") - WINDOW_SLACK, "low"), at(F.col("t_end") + WINDOW_SLACK, "high")
+    )
+    return walk_pairs(ours.unionByName(windows), _heard_columns(heard, key), key, (["line_no", "pos"], ["start", "pos"]), one, _HITS)
 
 
 def prepared_lines(ours: DataFrame, theirs: DataFrame, heard: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import time
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -54,3 +55,28 @@ def test_a_text_that_opens_the_other_is_matched_without_a_search():
     for _ in range(2000):
         B.opcodes(words, words[:30])
     assert time.perf_counter() - began < 0.2
+
+
+def test_short_texts_are_matched_by_bits_and_likeness_is_asked_once():
+    """Lines of few words that repeat; the standard library meets every pair of equal words, and asks for each pair's likeness anew."""
+    ours = ["view", "click"] * 25
+    heard = ["view", "click", "clicx", "view"] * 12
+    B.opcodes(ours, heard)
+    began = time.perf_counter()
+    for _ in range(200):
+        B.opcodes(ours, heard)
+    bits = time.perf_counter() - began
+    began = time.perf_counter()
+    for _ in range(200):
+        SequenceMatcher(None, ours, heard, autojunk=False).get_opcodes()
+    assert bits < 0.6 * (time.perf_counter() - began)
+    assert RT._likeness("click", "clicx") == 0.8 and RT._likeness("click", "zzz") == 0.0 and RT._likeness("", "") == 1.0
+
+
+def test_lines_meet_their_stretch_of_the_song_without_a_range_join(spark):
+    words = spark.createDataFrame([("s", p, t, n) for p, (t, n) in enumerate([("go", 0), ("on", 0), ("go", 1), ("up", 2), ("no", 3), ("in", None)])], "song_id string, pos long, text string, line_no long")
+    lines = spark.createDataFrame([("s", 0, 0.0, 2.0), ("s", 1, 5.0, 6.0), ("s", 1, 8.0, 9.0), ("s", 2, None, 9.0), ("s", 3, 9.0, 1.0), ("t", 0, 0.0, 9.0)], "song_id string, line_no long, t double, t_end double")
+    heard = spark.createDataFrame([("s", p, t, x, 9.5) for p, (t, x) in enumerate([("on", -0.5), ("go", None), ("go", float("nan")), ("go", 7.0), ("go", 8.2), ("up", 8.3), ("no", 4.0), ("in", 1.0)])], "song_id string, pos long, text string, start double, end double")
+    found = RT.heard_in_lines(words, lines, heard, ["song_id"])
+    assert {r["pos"]: r["heard_start"] for r in found.collect()} == {1: -0.5, 2: 8.2}
+    assert "Join" not in found._jdf.queryExecution().toString()
