@@ -52,19 +52,34 @@ def slots(tokens: Column, parts: Column, slot_texts: Column) -> Column:
     return F.concat(merged, F.array_repeat(F.lit(TAIL), F.greatest(F.lit(0), n - F.size(merged))))
 
 
+def _tokens(lines: DataFrame) -> DataFrame:
+    """song_id, pos, raw, norm, line_no of every token of the lines."""
+    # normalized before the rows are made: a filter on a text worked out behind them would work it out twice
+    both = F.transform(F.split(F.btrim("line"), r"\s+"), lambda raw: F.struct(raw.alias("raw"), S.normalize_word(raw).alias("norm")))
+    tokens = lines.select("song_id", "line_no", F.posexplode(both).alias("at", "t")).select("song_id", "line_no", "at", "t.*").where("norm <> ''")
+    return tokens.select("song_id", (F.row_number().over(O.over(KEY, ["line_no", "at"])) - 1).cast("long").alias("pos"), "raw", "norm", "line_no")
+
+
+def _with_parts(tokens: DataFrame) -> DataFrame:
+    """Tokens with parts: their hyphen pieces or their syllables."""
+    hyphened = _hyphen_pieces(F.col("raw"))
+    split = tokens.withColumn("_split", syllables("raw"))
+    return split.withColumn("parts", F.when(F.col("raw").contains("-") & (hyphened != F.array("raw")), hyphened).otherwise(F.col("_split"))).drop("_split")
+
+
 def line_tokens(lines: DataFrame) -> DataFrame:
     """song_id, pos, raw, norm, line_no, parts of every token of the lines; parts are its hyphen pieces or its syllables."""
-    tokens = lines.select("song_id", "line_no", F.posexplode(F.split(F.btrim("line"), r"\s+")).alias("at", "raw"))
-    tokens = tokens.withColumn("norm", S.normalize_word(F.col("raw"))).where("norm <> ''")
-    tokens = tokens.withColumn("pos", (F.row_number().over(O.over(KEY, ["line_no", "at"])) - 1).cast("long")).withColumn("_split", syllables("raw"))
-    hyphened = _hyphen_pieces(F.col("raw"))
-    parts = F.when(F.col("raw").contains("-") & (hyphened != F.array("raw")), hyphened).otherwise(F.col("_split"))
-    return tokens.select("song_id", "pos", "raw", "norm", "line_no", parts.alias("parts"))
+    return _with_parts(_tokens(lines))
 
 
-def _block_rows(blocks: DataFrame, rows: DataFrame, low: str, high: str, item: Column, name: str) -> DataFrame:
+def _spread(blocks: DataFrame, rows: DataFrame, low: str, high: str) -> DataFrame:
+    """The rows of each block."""
     spread = blocks.where(F.col(high) > F.col(low)).select("song_id", "i0", "j0", F.explode(F.sequence(F.col(low), F.col(high) - 1)).alias("pos"))
-    return spread.join(rows, ["song_id", "pos"]).groupBy("song_id", "i0", "j0").agg(F.sort_array(F.collect_list(item)).alias(name))
+    return spread.join(rows, ["song_id", "pos"])
+
+
+def _gathered(rows: DataFrame, item: Column, name: str) -> DataFrame:
+    return rows.groupBy("song_id", "i0", "j0").agg(F.sort_array(F.collect_list(item)).alias(name))
 
 
 def _flat_syllables(ours: Column) -> Column:
@@ -80,14 +95,15 @@ def lines_for_words(words: DataFrame, lines: DataFrame) -> DataFrame:
     as a whole takes the tokens syllable by syllable if each pair is alike (shown), cuts a lone word's time among several tokens, or fills its words
     as slots; a block of several words for one token is a group that is to be heard as one. Lines fill forward, at the start backward.
     """
-    tokens = checkpoint(line_tokens(lines))
+    tokens = checkpoint(_tokens(lines))
     blocks = checkpoint(A.match_blocks(words, tokens, KEY, "norm", "norm").where("tag in ('equal', 'replace')"))
     same = blocks.where("tag = 'equal'").select("song_id", F.posexplode(F.sequence(F.col("i0"), F.col("i1") - 1)).alias("k", "pos"), "j0")
     same = same.select("song_id", "pos", (F.col("j0") + F.col("k")).alias("j")).join(tokens.withColumnRenamed("pos", "j"), ["song_id", "j"])
     same = same.select("song_id", "pos", "line_no", F.col("raw").alias("clean_text"))
     short = blocks.where(f"tag = 'replace' and i1 - i0 <= {BLOCK_WORDS} and j1 - j0 <= {BLOCK_WORDS}")
-    ours = _block_rows(short, words, "i0", "i1", F.struct("pos", "norm", "text", "syllables"), "ours")
-    theirs = _block_rows(short, tokens, "j0", "j1", F.struct("pos", "norm", "raw", "line_no", "parts"), "theirs")
+    ours = _gathered(_spread(short, words, "i0", "i1"), F.struct("pos", "norm", "text", "syllables"), "ours")
+    told = _with_parts(_spread(short, tokens, "j0", "j1"))  # only tokens of short blocks are split
+    theirs = _gathered(told, F.struct("pos", "norm", "raw", "line_no", "parts"), "theirs")
     met = ours.join(theirs, ["song_id", "i0", "j0"]).withColumns({"n": F.size("ours"), "m": F.size("theirs")})
     joined = lambda c: F.array_join(F.transform(c, lambda x: x["norm"]), "")
     met = met.withColumn("_ratio", A.text_ratio(joined("ours"), joined("theirs")))
@@ -201,13 +217,16 @@ def shown_texts(clean: Column, parts: Column, syllable_texts: Column) -> Column:
     spread = F.transform(own, lambda _, i: F.when(F.array_contains(real, i), F.coalesce(F.get(pieces, F.greatest(F.lit(0), F.array_position(real, i).cast("int") - 1)), F.lit(TAIL))).otherwise(TAIL))
     whole = F.transform(own, lambda _, i: F.when(i == F.coalesce(F.get(real, F.lit(0)), F.lit(0)), clean).otherwise(TAIL))
     same = (joined != "") & (joined == S.normalize_word(clean))
-    unlike = clean.rlike(r"\s") | (A.text_ratio(joined, S.normalize_word(clean)) < MIN_RATIO)
+    left = clean.isNotNull() & ~same & (n > 1)  # the others are decided without a ratio
+    unlike = clean.rlike(r"\s") | (A.text_ratio(F.when(left, joined), F.when(left, S.normalize_word(clean))) < MIN_RATIO)
     return F.when(clean.isNull() | same, own).when(n <= 1, whole).when(unlike, own).otherwise(spread)
 
 
 def score_syllables(placed: DataFrame) -> DataFrame:
     """song_id, pos, k, text, start, end, pitch, is_word_start, line_no: a placed word's time shared by its notes' offsets."""
-    texts = placed.withColumn("_parts", syllables("clean_text")).withColumn("_own", F.transform("syllables", lambda s: s["text"]))
+    texts = placed.withColumn("_own", F.transform("syllables", lambda s: s["text"]))
+    several = F.size(F.filter("_own", lambda t: t.isNotNull() & ~t.isin("", TAIL))) > 1
+    texts = texts.withColumn("_parts", syllables(F.when(several, F.col("clean_text"))))  # a lone syllable takes its word whole
     texts = texts.withColumn("_shown", shown_texts(F.col("clean_text"), F.col("_parts"), F.col("_own")))
     plain = F.transform("_shown", lambda t, i: F.struct(t.alias("text"), (i == 0).alias("is_word_start")))
     pairs = F.arrays_zip(F.col("syllables").alias("s"), F.coalesce("shown", plain).alias("d"))
