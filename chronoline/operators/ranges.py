@@ -61,17 +61,17 @@ def nearest_note(words: DataFrame, notes: DataFrame, key: list[str], start: str,
     Only the edges next to the middle can be closest, so each note gives two edges, and a word reads the last edge up to it and the first edge from it.
     """
     kept = [pos, *payload]
-    edge = lambda c: notes.select(*key, F.col(c).alias("_t"), F.struct(F.col(c).alias("_e"), *kept).alias("_note"))
-    edges = edge(start).union(edge(end))
-    # of equal edges the first note in order stands
-    edges = edges.groupBy(*key, "_t").agg(F.min_by("_note", F.col(f"_note.{pos}")).alias("_note"))
+    edge = lambda c: notes.select(*key, F.col(c).alias("_t"), *kept, F.lit(None).cast(words.schema[row_id].dataType).alias(row_id), F.lit(True).alias("_edge"))
     middle = ((F.col(start) + F.col(end)) / 2.0).alias("_t")
-    points = words.select(*key, middle, F.col(row_id)).withColumn("_note", F.lit(None).cast(edges.schema["_note"].dataType))
-    line = edges.withColumn(row_id, F.lit(None).cast(words.schema[row_id].dataType)).unionByName(points)
-    w = Window.partitionBy(*key).orderBy("_t")
-    down = F.last("_note", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    up = F.first("_note", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    met = line.withColumns({"_down": down, "_up": up}).where(F.col(row_id).isNotNull())
+    points = words.select(*key, middle, *[F.lit(None).cast(notes.schema[c].dataType).alias(c) for c in kept], row_id, F.lit(False).alias("_edge"))
+    line = edge(start).union(edge(end)).union(points)
+    # of equal edges the first note in order stands; the last edge up to a row is read in either direction, so that no row looks at all that follow it
+    up, down = (Window.partitionBy(*key).orderBy(c) for c in (F.desc("_t"), F.asc("_t")))
+    note = F.when(F.col("_edge"), F.struct(F.col("_t").alias("_e"), *kept))
+    line = line.withColumn("_note", F.min_by(note, F.when(F.col("_edge"), F.col(pos))).over(up.rangeBetween(Window.currentRow, Window.currentRow))).select(*key, "_t", row_id, "_edge", "_note")
+    upto = lambda w: F.last("_note", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    line = line.withColumn("_up", upto(up)).withColumn("_down", upto(down))
+    met = line.where(~F.col("_edge"))
     gap = lambda c: F.abs(F.col("_t") - F.col(f"{c}._e"))
     lower = F.col("_up").isNull() | (gap("_down") < gap("_up")) | ((gap("_down") == gap("_up")) & (F.col(f"_down.{pos}") <= F.col(f"_up.{pos}")))
     chosen = met.withColumn("_best", F.when(F.col("_down").isNotNull() & lower, F.col("_down")).otherwise(F.col("_up")))

@@ -9,14 +9,16 @@ from chronoline.operators import estimators as E
 from chronoline.operators import ordered as O
 from chronoline.operators import ranges as R
 from chronoline.plans.sequence_queries import EV, KEY, ORDER, PRE, UPTO, WIN, events
-from chronoline.session import table
+from chronoline.session import dealt_by_rows, table
 
 SECONDS = f"{EV}, t as (select *, (t_us - min(t_us) over (partition by user_id)) / 1e6 as s from ev)"
 
 
 def seconds(spark, sf_dir):
-    rel = (F.col("t_us") - F.min("t_us").over(Window.partitionBy(*KEY))) / 1e6
-    return events(spark, sf_dir).withColumn("s", rel)
+    # in the order that what follows needs, so that rows are sorted once
+    whole = O.over(KEY, ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rel = (F.col("t_us") - F.min("t_us").over(whole)) / 1e6
+    return dealt_by_rows(events(spark, sf_dir), KEY).withColumn("s", rel)
 
 
 def _spans_and_notes(spark, sf_dir):

@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Sorts of a task hold all its rows, so tasks grow in number rather than in size.
+ROWS_A_TASK = 250_000
+
+
+def dealt_by_rows(df: DataFrame, key: list[str]) -> DataFrame:
+    """df, a table as it is read, dealt by key to so many tasks that none has many rows more than that; small tables are left to Spark."""
+    tasks = -(-df.count() // ROWS_A_TASK)
+    return df if tasks <= 1 else df.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *key)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder in spark.checkpoint.dir, as this session uses it; a local one only where it is unset."""
     sc = spark.sparkContext
