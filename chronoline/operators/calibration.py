@@ -42,7 +42,8 @@ def calibrate(candidates: DataFrame, key: list[str], order: list[str], t: str, d
     among the rescued(key), those whose repeated lines are known to match the timed lyric's (alignment.repeat_structure).
     """
     candidates = checkpoint(candidates)
-    one = E.constant_calibration(candidates, key, order, delta, MIN_SAMPLES, MIN_SHARE).withColumnRenamed("confidence", "share1")
+    # a row a song, read by every tier: without a checkpoint one task would hold the sorts and counts of them all at once
+    one = checkpoint(E.constant_calibration(candidates, key, order, delta, MIN_SAMPLES, MIN_SHARE).withColumnRenamed("confidence", "share1"))
     open_ = candidates.join(one.where(~F.col("accepted") & (F.col("total") >= MIN_DRIFT_SAMPLES)).select(*key), key, "left_semi")
     two = checkpoint(E.theil_sen(open_, key, t, delta, DRIFT_TOLERANCE).withColumnRenamed("share", "share2"))
     weak = two.where(F.col("share2") < MIN_DRIFT_SHARE).join(one.select(*key, "share1"), key)
@@ -53,11 +54,12 @@ def calibrate(candidates: DataFrame, key: list[str], order: list[str], t: str, d
     weak = weak.where(supported).drop("_rescued")
     near = open_.join(weak, key).where(F.abs(F.col(delta) - (F.col("intercept") + F.col("slope") * F.col(t))) <= OUTLIER_SECONDS)
     near = near.withColumns({"x": F.col(t).cast("double"), "y": (F.col(t) + F.col(delta)).cast("double")})
+    near = checkpoint(near)
     fitted = N.isotonic_anchors(near, key, "x", "y") if model == "isotonic" else O.monotone_anchors(near, key, ["x", *order], "y").select(*key, "x", "y")
     fitted = checkpoint(fitted)
     size = fitted.groupBy(*key).agg(F.count("*").alias("n")).join(E.max_anchor_gap(fitted, key), key).where((F.col("n") >= MIN_ANCHORS) & (F.col("max_gap") <= MAX_GAP))
     share3 = near.groupBy(*key).agg(F.count("*").alias("kept")).join(one.select(*key, "total"), key).select(*key, (F.col("kept") / F.col("total")).alias("share3"))
-    three = size.select(*key).join(share3, key)
+    three = checkpoint(size.select(*key).join(share3, key))
     summary = one.join(two, key, "left").join(three, key, "left")
     drift = F.col("share2") >= MIN_DRIFT_SHARE
     kind = F.when(F.col("accepted"), "constant").when(drift, "drift").when(F.col("share3").isNotNull(), model)

@@ -1,6 +1,7 @@
 import time
 
 from chronoline import session
+from chronoline.operators import calibration as K
 from chronoline.operators import ranges as R
 from pyspark.sql import functions as F
 
@@ -27,3 +28,11 @@ def test_nearest_note_of_equal_edges_is_the_first(spark):
     words = spark.createDataFrame([(1, 10, 4.0, 4.0), (1, 11, 5.0, 5.0), (1, 12, 2.0, 2.0), (2, 13, 1.0, 1.0), (3, 14, 1.0, 1.0)], "k int, row long, a double, b double")
     found = {r["row"]: r["near_pitch"] for r in R.nearest_note(words, notes, ["k"], "a", "b", "pos", ["pitch"], "row").collect()}
     assert found == {10: "a", 11: "a", 12: "a", 13: "n", 14: None}
+
+
+def test_tiers_are_worked_out_once(spark):
+    """Every tier reads the first one's result; before, each of them worked it out anew inside the last stage."""
+    rows = spark.range(200).select((F.col("id") % 4).alias("k"), F.col("id").alias("i"), (F.col("id") * 5.0).alias("x"), (F.col("id") % 4 * F.col("id") % 9).cast("double").alias("d"))
+    summary, anchors = K.calibrate(rows, ["k"], ["i"], "x", "d")
+    assert summary.count() == 4
+    assert "Window" not in summary.join(anchors, "k", "left")._jdf.queryExecution().optimizedPlan().toString()
