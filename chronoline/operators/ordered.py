@@ -26,6 +26,11 @@ def upto(key: list[str], order: list[str]):
     return over(key, order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def after(key: list[str], order: list[str]):
+    """The rows behind a row, the nearest last: read backwards, since a frame that ends with the sequence is read anew for each row."""
+    return Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def onward(key: list[str], order: list[str]):
     return over(key, order).rowsBetween(0, Window.unboundedFollowing)
 
@@ -109,15 +114,12 @@ def interpolate_anchors(df: DataFrame, key: list[str], order: list[str], orig_st
     Between two anchors by their rate, beside one by its shift, without any not at all; then rows without an anchor
     are held between the starts around them, and an end never passes the next start.
     """
-    up, down = before(key, order), over(key, order).rowsBetween(1, Window.unboundedFollowing)
+    up, down = before(key, order), after(key, order)
     is_anchor = F.col(anchor_start).isNotNull()
     at = lambda c: F.when(is_anchor, F.col(c))
-    df = df.withColumns(
-        {
-            "_b_new": F.last(at(anchor_start), True).over(up), "_b_old": F.last(at(orig_start), True).over(up),
-            "_a_new": F.first(at(anchor_start), True).over(down), "_a_old": F.first(at(orig_start), True).over(down),
-        }
-    )
+    # backwards first: the windows that follow share the other order
+    df = df.withColumns({"_a_new": F.last(at(anchor_start), True).over(down), "_a_old": F.last(at(orig_start), True).over(down)})
+    df = df.withColumns({"_b_new": F.last(at(anchor_start), True).over(up), "_b_old": F.last(at(orig_start), True).over(up)})
     span = F.col("_a_old") - F.col("_b_old")
     rate = F.when(span > 1e-6, (F.col("_a_new") - F.col("_b_new")) / span)
     both = F.col("_b_new").isNotNull() & F.col("_a_new").isNotNull()

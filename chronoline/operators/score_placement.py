@@ -172,9 +172,8 @@ def place_words(words: DataFrame, lines: DataFrame, heard: DataFrame) -> DataFra
     both = words.join(anchors, ["song_id", "pos"], "left").join(timed, ["song_id", "line_no"])
     both = both.withColumn("clean_text", F.when(F.col("_single"), F.coalesce(F.nullif("clean_text", F.lit("")), "candidate")).otherwise(F.col("clean_text"))).drop("_single")
     point = F.when(F.col("a").isNotNull(), F.struct(F.col("offset").alias("o"), F.col("a").alias("s")))
-    after = O.over(KEY, ORDER).rowsBetween(1, Window.unboundedFollowing)
     prior = lambda c: F.last(c, True).over(O.before(KEY, ORDER))
-    later = lambda c: F.first(c, True).over(after)
+    later = lambda c: F.last(c, True).over(O.after(KEY, ORDER))
     both = both.withColumns({"_p": prior(point), "_n": later(point)})
     far = lambda c: F.when(F.col("a").isNotNull(), F.struct(F.col(c)["o"].alias("o"), F.col(c)["s"].alias("s")))
     both = both.withColumns({"_pp": prior(far("_p")), "_nn": later(far("_n"))})
