@@ -18,6 +18,9 @@ from chronoline.operators import ordered as O
 STEPS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 SCHEMA = "song_id string, part string, pos bigint, offset double, qlen double, midi int, text string, syllabic string, tied boolean"
 
+#: Files whose notes a task holds at a time.
+FILES_AT_ONCE = 64
+
 
 def _notes(song_id: str, text: str | None) -> Iterator[tuple]:
     """Pitched notes of every part in document order; offsets and lengths in quarter notes. Files that are no XML have none."""
@@ -57,7 +60,9 @@ def read_scores(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         for pdf in frames:
-            yield pd.DataFrame([n for s, t in zip(pdf["song_id"], pdf["text"]) for n in _notes(s, t)], columns=names)
+            for k in range(0, len(pdf), FILES_AT_ONCE):
+                some = pdf.iloc[k : k + FILES_AT_ONCE]
+                yield pd.DataFrame([n for s, t in zip(some["song_id"], some["text"]) for n in _notes(s, t)], columns=names)
 
     return files.select("song_id", "text").mapInPandas(run, SCHEMA)
 
